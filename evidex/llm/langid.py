@@ -68,7 +68,7 @@ def as_windows(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def fit(windows: list[bytes], labels: list[str], *, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 11) -> ByteCnn:
-    """Adam on cross-entropy. Windows are cut at random to teach short texts; every language weighs the same."""
+    """Adam on cross-entropy. Windows are cut and put in capitals at random, to teach short and shouted texts; every language weighs the same."""
     langs = tuple(sorted(set(labels)))
     rng = np.random.default_rng(seed)
     span, filters = max(WIDTHS), PER_WIDTH * len(WIDTHS)
@@ -90,6 +90,11 @@ def fit(windows: list[bytes], labels: list[str], *, epochs: int = 8, batch: int
     x = np.full((len(windows), WINDOW), PAD, np.int16)
     for i, w in enumerate(windows):
         x[i, : len(w)] = np.frombuffer(w, np.uint8)
+    upper = x.copy()
+    for i, w in enumerate(windows):
+        big = w.decode(errors="ignore").upper().encode()[:WINDOW]
+        upper[i] = PAD
+        upper[i, : len(big)] = np.frombuffer(big, np.uint8)
     size = (x != PAD).sum(1)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     t = 0
@@ -97,7 +102,7 @@ def fit(windows: list[bytes], labels: list[str], *, epochs: int = 8, batch: int
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             rows = order[lo : lo + batch]
-            xb = x[rows].copy()
+            xb = np.where(rng.random((len(rows), 1)) < 0.15, upper[rows], x[rows])
             keep = np.where(rng.random(len(rows)) < 0.5, size[rows], 1 + (rng.random(len(rows)) ** 2 * size[rows]).astype(int))
             xb[np.arange(WINDOW)[None, :] >= keep[:, None]] = PAD
             net = ByteCnn(langs, **p)
@@ -181,7 +186,7 @@ def predict(docs: DataFrame, model: ByteCnn, *, text: str = "text", out: str = "
             mean = total / np.maximum(size, 1)[:, None]
             best = mean.argmax(1)
             names = np.array([*model.langs, UNKNOWN], object)
-            score = np.where(known, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+            score = np.where(known, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0).round(6)
             yield pa.StructArray.from_arrays([pa.array(names[np.where(known, best, len(model.langs))], pa.string()), pa.array(score, pa.float64())], fields=list(result))
 
     return docs.withColumn(out, identify(F.col(text), has_letter(F.col(text))))

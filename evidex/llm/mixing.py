@@ -98,11 +98,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row once for every time that it takes half of the document or more."""
+    """docs as the mix takes them: a row once for every time that it takes half of the document or more; rows of one id and size alike."""
     mixed = mix(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    counts = mixed.groupBy("doc_id").agg(F.max(copies).alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    counts = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_n")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
+    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (words(F.col("text")) == F.col("_n")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -23,7 +23,7 @@ from .common import table, text_bytes, written
 from .decontam import words
 from .histogram_sort import MOST, splitters
 
-BUCKETS, SMOOTH, SCALE, SEED = 1 << 16, 1.0, 4.0, 29
+BUCKETS, SMOOTH, SCALE, SEED = 1 << 16, 1.0, 12.0, 29
 
 
 def features(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

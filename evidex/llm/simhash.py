@@ -166,14 +166,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """(key, fingerprint bigint, component): a component is the least key that links reach from a document."""
-    rows = written(with_fingerprint(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), text="t", out="fp", shingle=shingle).select("id", "fp"), "simhash")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    """(key, text_hash, fingerprint bigint, component, first): a component is the least key that links reach, ``first`` whether a row is that one (by key, then text hash)."""
+    named = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    rows = written(with_fingerprint(named, text="t", out="fp", shingle=shingle).select("id", F.xxhash64("t").alias("h"), "fp"), "simhash")
+    prints = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("least"))
     roots = components(links(prints, bits=bits))
     named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = written(named.join(least, "root").select("fp", "component"), "simhash-components")
-    return rows.join(named, "fp").select(F.col("id").alias(key), F.col("fp").alias("fingerprint"), "component")
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = written(named.join(least, "root").select("fp", "first"), "simhash-components")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    return rows.join(named, "fp").select(F.col("id").alias(key), F.col("h").alias("text_hash"), F.col("fp").alias("fingerprint"), F.col("first.id").alias("component"), own.alias("first"))
 
 
 def component_documents(docs: DataFrame) -> DataFrame:
@@ -182,15 +184,14 @@ def component_documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """One row of docs of each component: the one with the least key; of several rows with that key the one with the least hash of its columns."""
+    """One row of docs of each component: the one with the least key, then the least text hash; of equal ones that with the least hash of its columns."""
     found = near_duplicates(docs, key=key, text=text, shingle=shingle, bits=bits)
-    own = F.col(key).eqNullSafe(F.col("component"))
-    gone = found.where(~own).select(F.col(key).alias("_gone")).distinct()
-    rows = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = written(found.where(own).groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again"), "simhash-again")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
+    named = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "first")
+    rows = docs.join(named.where(~F.col("first")).drop("first").distinct(), same, "left_anti")
+    again = written(named.where("first").groupBy("_key", "_hash").count().where("count > 1").drop("count"), "simhash-again")
     if again.isEmpty():
         return rows
-    match = F.col(key).eqNullSafe(F.col("_again"))
-    one = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
-    several = rows.join(again, match, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return rows.join(again, match, "left_anti").unionByName(several)
+    one = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
+    several = rows.join(again, same, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return rows.join(again, same, "left_anti").unionByName(several)
