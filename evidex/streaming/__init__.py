@@ -1,0 +1 @@
+"""Structured Streaming forms of the receipts, leases, heartbeats and quotas."""
