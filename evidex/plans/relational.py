@@ -260,14 +260,17 @@ def recipe_state(spark: SparkSession, d: str) -> DataFrame:
     return oplog.states(op_receipts(spark, d))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id::VARCHAR AS owner, event_id, (['flour', 'salt', 'milk'])[event_id % 3 + 1] AS name, event_id % 4 <> 1 AS weighed, (event_id % 10 + 1) * CASE WHEN event_id % 4 = 0 THEN 1000 ELSE 1 END AS quantity FROM events a
+    WHERE NOT (event_id % 19 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.event_id = a.event_id - 1 AND b.user_id = a.user_id)))
+  SELECT owner, 'i' || min(event_id) AS target, count(*) AS revision, sum(quantity)::DOUBLE AS quantity, count(*) AS changes FROM e GROUP BY owner, name, CASE WHEN NOT weighed THEN event_id END""")
 def shopping_state(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     name = F.get(F.array(*[F.lit(x) for x in ("flour", "salt", "milk")]), i % 3)
     unit = F.when(i % 4 == 0, "kg").when(i % 4 == 1, "ml").otherwise("g")
     raw = F.concat((i % 10 + 1).cast("string"), F.lit(" "), unit, F.lit(" "), name)
     payload = F.to_json(F.struct(F.concat(F.lit("i"), i.cast("string")).alias("id"), name.alias("name"), raw.alias("raw_text"), (i % 10 + 1).alias("quantity"), unit.alias("unit")))
-    return oplog.states(oplog.fold(_log(spark, d, F.lit("add"), payload), oplog.shopping))
+    s = oplog.states(oplog.fold(_log(spark, d, F.lit("add"), payload), oplog.shopping))
+    return s.select("owner", "target", "revision", F.get_json_object("result", "$.quantity").cast("double").alias("quantity"), "changes")
 
 
 @query()

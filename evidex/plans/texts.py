@@ -278,7 +278,9 @@ def topk_thumbnail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.collect_list(t).alias("t")).select("user_id", subtitles.largest_thumbnail(F.col("t")).alias("url"))
 
 
-@query()
+@query(f"""SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, missing, concat_ws(',', CASE WHEN l_linenumber = 5 THEN 'unsupported_field_evidence:ingredients.0.quantity' END, CASE WHEN missing <> '' THEN 'source_support_requires_review' END) AS warnings,
+  CASE WHEN missing <> '' THEN 'partial' ELSE 'recipe' END AS status, l_linenumber = 7 AS withheld, CASE WHEN l_linenumber <> 5 THEN regexp_extract(line, '^(\\d+)', 1)::DOUBLE END AS quantity FROM (SELECT *, concat_ws(',', CASE WHEN l_linenumber = 5 THEN 'ingredients.0.quantity' END,
+  CASE WHEN l_linenumber = 7 THEN 'ingredients.0.source_support' END, CASE WHEN NOT contains(lower(line), 'g') THEN 'ingredients.0.unit' END, CASE WHEN l_linenumber = 3 THEN 'steps.0.duration_seconds' END) AS missing FROM ({LINES_SQL}))""")
 def fidelity(spark: SparkSession, d: str) -> DataFrame:
     """Drafts of one line item each, whose citations are right, wrong or missing by their number."""
     n = F.col("l_linenumber")
