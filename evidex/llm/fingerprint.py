@@ -3,11 +3,11 @@
 Every paragraph (line) of a text is hashed to a wide vector of 14-bit lanes, packed four to a 64-bit word with two guard bits, and the
 vectors are summed lane by lane modulo 2^14. The sum doesn't depend on the paragraphs' order, and adding or subtracting a
 paragraph's vector inserts or deletes it. ``EXACT`` words carry hashed lanes (equality: 32 lanes of 14 bits); ``SKETCH`` words count set
-hash bits of the paragraph's sentences, from which the inner products of two texts' sentence multisets, and so a likeness, follow (tug of war:
-a lane's count c of n sentences stands for 2c - n). Lanes and the sentence count are all sums modulo 2^14.
+hash bits of the paragraph's phrases (up to four words), from which the inner products of two texts' phrase multisets, and so a likeness, follow
+(tug of war: a lane's count c of n phrases stands for 2c - n). Lanes and the phrase count are all sums modulo 2^14.
 
 Defined results: a null text is empty, an empty text is one empty paragraph; equal texts have equal fingerprints; likeness is 1 for equal
-fingerprints and an estimate in [0, 1] otherwise, meant for texts of fewer than 8192 sentences more or less than each other.
+fingerprints and an estimate in [0, 1] otherwise, meant for texts of fewer than 8192 phrases more or less than each other.
 Documents are ordered by doc_id (null first), then text (null first), so ties and repeated rows have a defined neighbour.
 """
 
@@ -22,6 +22,7 @@ EXACT, SKETCH = 8, 16
 LANES = 0x3FFF3FFF3FFF3FFF
 ONES = 0x0001000100010001
 SENTENCE = r"(?<=[.!?])\s+"
+PHRASE = r"\S+(?:\s+\S+){0,3}"
 
 
 def add(a: Column, b: Column) -> Column:
@@ -45,8 +46,10 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def sentence_hashes(paras: Column) -> Column:
-    return F.flatten(F.transform(paras, lambda p: F.transform(F.split(p, SENTENCE), lambda s: F.xxhash64(F.lit("sentence"), s))))
+def phrase_hashes(paras: Column) -> Column:
+    """Hashes of the phrases of all paragraphs: runs of up to four words, counted from the start of each sentence."""
+    phrases = lambda s: F.regexp_extract_all(s, F.lit(PHRASE), F.lit(0))
+    return F.flatten(F.transform(paras, lambda p: F.flatten(F.transform(F.split(p, SENTENCE), lambda s: F.transform(phrases(s), lambda x: F.xxhash64(F.lit("phrase"), x))))))
 
 
 def sums(paras: Column, hashes: Column) -> Column:
@@ -65,7 +68,7 @@ def sums(paras: Column, hashes: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with a column ``out`` of words; the arrays it goes through are projected once."""
     rows = df.withColumn("_paras", paragraphs(F.col(text)))
-    rows = rows.withColumn("_hashes", sentence_hashes(F.col("_paras")))
+    rows = rows.withColumn("_hashes", phrase_hashes(F.col("_paras")))
     return rows.withColumn(out, sums(F.col("_paras"), F.col("_hashes"))).drop("_paras", "_hashes")
 
 
@@ -83,7 +86,7 @@ def _centred(x: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the sentence multisets behind two fingerprints."""
+    """Estimated Jaccard likeness of the phrase multisets behind two fingerprints."""
     n = EXACT + SKETCH + 1
     size_a, size_b = F.element_at(a, n), F.element_at(b, n)
     gap = _centred(size_a - size_b)
