@@ -22,20 +22,18 @@ def supported_quotes(texts: DataFrame, quotes: DataFrame, *, words: int = 3) ->
     """(doc, quote_id): quotes contained verbatim in a text of their source kind.
 
     texts: doc, source_kind, text; quotes: quote_id, source_kind, quote. Every text is joined by its source kind and runs of ``words``
-    words with the quotes' first such runs, so a pair is tested only where the quote can begin; quotes of fewer words, or
-    that don't start and end at words, are tested by their kind alone.
+    words with the quotes' first whole such runs, ids only, so a pair is tested only where the quote can begin; quotes of too few words for
+    that are tested by their kind alone. doc and quote_id are unique.
     """
     split = lambda c: F.split(F.col(c), " ")
     q = quotes.where(F.col("quote") != "").withColumn("_w", split("quote"))
-    long = q.where(F.size("_w") > words + 1).withColumn("_key", F.array_join(F.slice("_w", 2, words), " ")).drop("_w")
-    w = texts.withColumn("_w", split("text"))
+    keys = q.where(F.size("_w") > words + 1).select("quote_id", "source_kind", F.array_join(F.slice("_w", 2, words), " ").alias("_key"))
+    w = texts.withColumn("_w", split("text")).where(F.size("_w") >= words)
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.array_join(F.slice("_w", i, words), " ")))
-    keyed = w.where(F.size("_w") >= words).select("doc", "source_kind", "text", F.explode(runs).alias("_key"))
-    keys = long.select("source_kind", "_key").distinct()
-    near = keyed.join(keys, ["source_kind", "_key"], "left_semi")
-    a = near.join(long, ["source_kind", "_key"]).where(F.contains("text", "quote")).select("doc", "quote_id")
-    b = texts.join(q.where(F.size("_w") <= words + 1), "source_kind").where(F.contains("text", "quote")).select("doc", "quote_id")
-    return a.unionByName(b).distinct()
+    near = w.select("doc", "source_kind", F.explode(runs).alias("_key")).join(keys, ["source_kind", "_key"]).select("doc", "quote_id").distinct()
+    both = near.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("doc", "text"), "doc")
+    short = texts.join(q.where(F.size("_w") <= words + 1), "source_kind")
+    return both.select("doc", "quote_id", "text", "quote").unionByName(short.select("doc", "quote_id", "text", "quote")).where(F.contains("text", "quote")).select("doc", "quote_id").distinct()
 
 
 def has_number(value: Column, quote: Column) -> Column:
