@@ -48,6 +48,7 @@ def counts_below(rows: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
 def splitters(rows: DataFrame, targets: list[float], tolerances: list[float], *, first: int = 4096, each: int = 16, measure: int = 0) -> tuple[list[int], list[tuple[int, int]]]:
     """Keys such that the bytes (measure 0) or rows (measure 1) below each are within its tolerance of its target, or the nearest there are."""
     known: dict[int, tuple[int, int]] = {LEAST: (0, 0)}
+    first = max(first, 4 * len(targets))
     span = (MOST - LEAST) // first
     ask = [LEAST + span * i for i in range(1, first)]
     while ask:
@@ -108,7 +109,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
     """keys: (key, row, size), read once for each round of probes."""
     spark = keys.sparkSession
-    per = max(1, -(-partitions(spark) // shards))
+    per = max(1, -(-4 * partitions(spark) // shards))  # several ranges a task, so that tasks come out even
     total = keys.agg(F.sum("size")).first()[0] or 0
     share = total / shards
     found = keys.groupBy("key").agg(F.sum("size").alias("b")).where(F.col("b") > tolerance * share).collect() if total else []
