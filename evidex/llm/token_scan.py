@@ -120,7 +120,8 @@ def count_documents(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFra
     folder = shared_path(spark, "tokens")
     places = write_tokens(docs.select("doc_id", "text"), folder, vocabulary=vocabulary)
     counts = document_tokens(scan_blocks(spark, folder))
-    return places.join(counts, ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    # Both sides grow with the documents, and the manifest's files are far smaller than its rows: never broadcast.
+    return places.hint("merge").join(counts, ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
