@@ -185,7 +185,11 @@ def component_documents(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """One row of docs of each component: the one with the least key, then the least text hash; of equal ones that with the least hash of its columns."""
-    found = near_duplicates(docs, key=key, text=text, shingle=shingle, bits=bits)
+    return keep_first(docs, near_duplicates(docs, key=key, text=text, shingle=shingle, bits=bits), key=key, text=text)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The rows of docs that ``found`` (key, text_hash, first) has as first, each once."""
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
     named = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "first")
     rows = docs.join(named.where(~F.col("first")).drop("first").distinct(), same, "left_anti")
