@@ -4,23 +4,27 @@ Every paragraph (line) of a text is hashed to a wide vector of 14-bit lanes, pac
 vectors are summed lane by lane modulo 2^14. The sum doesn't depend on the paragraphs' order, and adding or subtracting a
 paragraph's vector inserts or deletes it. ``EXACT`` words carry hashed lanes (equality: 32 lanes of 14 bits); ``SKETCH`` words count set
 hash bits of the paragraph's phrases (up to four words), from which the inner products of two texts' phrase multisets, and so a likeness, follow
-(tug of war: a lane's count c of n phrases stands for 2c - n). Lanes and the phrase count are all sums modulo 2^14.
+(tug of war: a lane's count c of n phrases stands for 2c - n). These lanes are 32 bits wide, two to a word,
+and the phrase count has a word of its own, so neither wraps.
 
 Defined results: a null text is empty, an empty text is one empty paragraph; equal texts have equal fingerprints; likeness is 1 for equal
-fingerprints and an estimate in [0, 1] otherwise, meant for texts of fewer than 8192 phrases more or less than each other.
+fingerprints and an estimate in [0, 1] otherwise, for texts of any length.
 Documents are ordered by doc_id (null first), then text (null first), so ties and repeated rows have a defined neighbour.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 
-EXACT, SKETCH = 8, 16
+EXACT, SKETCH = 8, 32
 LANES = 0x3FFF3FFF3FFF3FFF
 ONES = 0x0001000100010001
+WIDE = 0x0000000100000001
 SENTENCE = r"(?<=[.!?])\s+"
 PHRASE = r"\S+(?:\s+\S+){0,3}"
 
@@ -34,12 +38,18 @@ def negate(a: Column) -> Column:
     return add(F.lit(LANES) - a, F.lit(ONES))
 
 
+def _each(a: Column, b: Column, exact: Callable[[Column, Column], Column], wide: Callable[[Column, Column], Column]) -> Column:
+    """``exact`` of the words of 14-bit lanes, ``wide`` of the rest."""
+    rest = lambda x: F.slice(x, EXACT + 1, SKETCH + 1)
+    return F.concat(F.zip_with(F.slice(a, 1, EXACT), F.slice(b, 1, EXACT), exact), F.zip_with(rest(a), rest(b), wide))
+
+
 def insert(fingerprint: Column, part: Column) -> Column:
-    return F.zip_with(fingerprint, part, add)
+    return _each(fingerprint, part, add, lambda a, b: a + b)
 
 
 def delete(fingerprint: Column, part: Column) -> Column:
-    return F.zip_with(fingerprint, part, lambda a, b: add(a, negate(b)))
+    return _each(fingerprint, part, lambda a, b: add(a, negate(b)), lambda a, b: a - b)
 
 
 def paragraphs(text: Column) -> Column:
@@ -60,9 +70,9 @@ def sums(paras: Column, hashes: Column) -> Column:
         return F.aggregate(paras, zero, lambda acc, p: add(acc, F.xxhash64(F.lit(j), p).bitwiseAND(F.lit(LANES))))
 
     def sketch(i: int) -> Column:
-        return F.aggregate(hashes, zero, lambda acc, h: add(acc, F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ONES))))
+        return F.aggregate(hashes, zero, lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(WIDE)))
 
-    return F.array(*map(exact, range(EXACT)), *map(sketch, range(SKETCH)), F.pmod(F.size(hashes).cast("bigint"), F.lit(1 << 14)))
+    return F.array(*map(exact, range(EXACT)), *map(sketch, range(SKETCH)), F.size(hashes).cast("bigint"))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -78,23 +88,19 @@ def as_text(fingerprint: Column) -> Column:
 
 def _lanes(fingerprint: Column) -> Column:
     words = F.slice(fingerprint, EXACT + 1, SKETCH)
-    return F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 16 * k).bitwiseAND(F.lit(0x3FFF)) for k in range(4)])))
-
-
-def _centred(x: Column) -> Column:
-    return F.pmod(x + 8192, F.lit(16384)) - 8192
+    return F.flatten(F.transform(words, lambda w: F.array(w.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(w, 32))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of the phrase multisets behind two fingerprints."""
     n = EXACT + SKETCH + 1
     size_a, size_b = F.element_at(a, n), F.element_at(b, n)
-    gap = _centred(size_a - size_b)
+    gap = size_a - size_b
 
     def power(lanes: Column, size: Column) -> Column:
         return F.aggregate(lanes, F.lit(0.0), lambda acc, c: acc + F.pow(2.0 * c - size, 2.0))
 
-    apart = F.aggregate(F.zip_with(_lanes(a), _lanes(b), lambda x, y: F.pow(2.0 * _centred(x - y) - gap, 2.0)), F.lit(0.0), lambda acc, x: acc + x)
+    apart = F.aggregate(F.zip_with(_lanes(a), _lanes(b), lambda x, y: F.pow(2.0 * (x - y) - gap, 2.0)), F.lit(0.0), lambda acc, x: acc + x)
     both = power(_lanes(a), size_a) + power(_lanes(b), size_b)
     shared = (both - apart) / 2
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(shared, both - shared))), F.lit(0.0)))

@@ -55,3 +55,10 @@ def test_likeness_follows_shared_sentences(spark):
     a, b, c = prints(spark, texts)
     got = spark.createDataFrame([(a, b, c)], "a array<bigint>, b array<bigint>, c array<bigint>").select(fp.likeness(F.col("a"), F.col("a")).alias("same"), fp.likeness(F.col("a"), F.col("b")).alias("near"), fp.likeness(F.col("a"), F.col("c")).alias("far")).first()
     assert got.same == 1 and 0.35 < got.near < 0.85 and got.far < 0.2
+
+
+@pytest.mark.parametrize(("n", "m", "shared"), [(20_000, 18_000, 0), (30_000, 25_000, 0), (20_000, 20_000, 10_000)])
+def test_likeness_of_long_texts(spark, n, m, shared):
+    a, b = prints(spark, ["\n".join(f"one {i}" for i in range(n)), "\n".join(f"one {i}" if i < shared else f"two {i}" for i in range(m))])
+    got = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert abs(got - shared / (n + m - shared)) < 0.2
