@@ -1,13 +1,18 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
-Words and word pairs are hashed to ``BUCKETS`` features. Two generative models, feature frequencies with add-``SMOOTH`` smoothing, are counted
-over all target texts and over all raw texts. A document's weight is the mean log ratio of the two over its features times ``SCALE`` (so that length
-doesn't decide); seeded Gumbel noise is added, and the ``share`` of the documents with the largest sums is taken, which samples without
-replacement in proportion to the weights' exponentials. Counting keeps one array of BUCKETS a task; the k-th largest sum is found by
-counting ranks below probes (histogram_sort), not by a global sort.
+Words and word pairs are hashed to ``BUCKETS`` features. Two generative models, feature frequencies with add-``SMOOTH`` smoothing, are counted in one
+scan: over all texts (raw), and over the target texts. A document's log weight is the log of the ratio of the models' probabilities of its features; a
+document of more than ``LENGTH`` features has that ratio's mean a feature times ``LENGTH``, as if it had been LENGTH of them: a plain sum grows with
+the text, so that length alone would decide and the noise nothing. Seeded Gumbel noise is added, and the ``share`` of the documents with the largest sums
+is taken, which samples without replacement in proportion to the weights. Counting keeps one array of BUCKETS a task; the k-th largest
+sum is found by counting ranks below probes (histogram_sort), not by a global sort.
+
+``quality_documents`` takes as target the texts of at most ``LABELLED`` labelled good ids, those of least hash, so the ids are a table of proven size: they are
+broadcast at every size of the input, and texts are never exchanged. Raw counts cover all documents.
 
 Defined results: null or wordless texts have weight 0; without target texts all weights are 0; ties are broken by a hash of id and text, so
-reruns agree; repeated rows are taken or left together only as the rank allows; an empty table has no rows.
+reruns agree; repeated rows are taken or left together only as the rank allows; a label row counts as good if every row of its id is good and none toxic, null
+ids and null labels never; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from .common import table, text_bytes, written
 from .decontam import words
 from .histogram_sort import MOST, splitters
 
-BUCKETS, SMOOTH, SCALE, SEED = 1 << 16, 1.0, 12.0, 29
+BUCKETS, SMOOTH, LENGTH, LABELLED, SEED = 1 << 16, 1.0, 12, 50_000, 29
 
 
 def features(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def with_weight(docs: DataFrame, ratios: np.ndarray, *, text: str = "text", out:
                 f, owner = features(body, at[lo : hi + 1])
                 total[lo:hi] += np.bincount(owner, ratios[f], minlength=hi - lo)
                 number[lo:hi] += np.bincount(owner, minlength=hi - lo)
-            yield pa.array(total / np.maximum(number, 1) * SCALE)
+            yield pa.array(total * np.minimum(1.0, LENGTH / np.maximum(number, 1)))
 
     return docs.withColumn(out, weigh(F.col(text)))
 
@@ -109,9 +114,14 @@ def resample(docs: DataFrame, *, share: float = 0.5, key: str = "doc_id", text:
     return scored.select(key, "log_weight", "gumbel_key", (F.col("rank") < F.lit(min(cut, MOST))).alias("selected"))
 
 
+def target_ids(labels: DataFrame, *, key: str = "doc_id", most: int = LABELLED) -> DataFrame:
+    """(id): at most ``most`` ids, those of least hash, all of whose label rows are good and not toxic."""
+    marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg((F.min("quality") == 1).alias("good"), (F.max("toxic") == 0).alias("clean"))
+    return marks.where("good and clean").select("id").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(most)
+
+
 def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected of every document; the target model is that of texts labelled good and not toxic."""
-    good = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("q"), (F.max("toxic") == 1).alias("x"))
+    ids = F.broadcast(target_ids(table(spark, sf_dir, "labels")).withColumn("target", F.lit(True)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.join(good, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce(F.col("q") & ~F.col("x"), F.lit(False)).alias("target"))
-    return resample(rows)
+    return resample(docs.join(ids, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "target"))
