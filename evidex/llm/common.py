@@ -1,13 +1,15 @@
-"""Shared helpers of the training-data operators: the shared work folder and views of Arrow text."""
+"""Shared helpers of the training-data operators: the shared work folder, rows kept whole under one name, and views of Arrow text."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset an own one, on a local master only, since a cluster's machines share no such folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidex-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -36,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unpacked(df: DataFrame, row: str, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns of the rows that are kept whole in the struct ``row``, and new ones, which replace those of the same name."""
+    names = {name.lower() for name in new}
+    fields = {c: F.col(row).getField(c) for c in columns if c.lower() not in names}
+    return df.select(*[f.alias(c) for c, f in fields.items()], *[c.alias(name) for name, c in new.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

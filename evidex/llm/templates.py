@@ -1,20 +1,30 @@
 """Main text of web pages by site template removal.
 
-Pages are parsed to a tree of elements (open paragraphs, list items and cells end where HTML ends them). Every element's subtree is hashed over its tags and
-texts; Spark counts on how many pages of a host each hash stands, and subtrees on ``share`` of the host's pages (and ``least`` pages) or more are
-its template. What is left of the page after removing them, and elements that say what they are (navigation, footers, adverts, forms, comments and so
-on), is its text: the article's blocks, where the page marks an article, else the body's. In a marked article plain text blocks are never
-template, so an article keeps a paragraph that many pages share.
-
-Because template subtrees stand on a share of all pages, a host has at most (subtrees a page / share) of them, and the table of hosts' templates is
-small; pages are joined to it by host, broadcast when Spark finds it small enough, else with skewed hosts split. Defined results: null or empty html has the
-empty text; pages without a host have no template; repeated pages count as pages; an empty table has no rows.
+Pages are parsed to a tree of elements (open paragraphs, list items and cells end where HTML ends them), in time linear in their length. Every element has two
+hashes: ``exact``, of its subtree's tags and texts, and ``loose``, of its tag, class and id and those of the elements below it, without any text, with
+equal neighbours counted once, so that a menu or an advert whose words change, or a list that grows, keeps its hash. Spark counts on how many distinct pages of
+a host each hash stands; pages of the same content are one. Exact hashes on ``share`` of a host's pages, loose ones on ``loose_share``, and both on ``least``
+pages or more, are its template. Where nothing marks the article, the place (path of tags, classes and ids) that holds over half of the
+text on ``loose_share`` of the host's pages is its content.
+
+A page's content is its article or main element, else the host's content place, else the innermost container with over half of the page's text. An
+exact template subtree goes wherever it stands, but for plain text blocks (paragraphs, headings, items, cells) of a marked article or the host's content place,
+which keep a paragraph that many pages share. A loose template subtree goes outside of the content, and inside it if a name supports it or, where nothing marks
+the article, if it has a class or id, and no paragraph or heading. The content itself and what it stands in never go. What an element says about itself decides the rest: scripts, styles and
+forms never count; navigation, side and foot elements, roles and plain names ("comments", "cookie") go; names that may mean other things ("related", "notice") go outside of
+the content, and inside only with the template's support or on a host without template; a name never removes half of the content. Outside of a marked article, a
+host with a template keeps paragraphs and headings that are not template, a host without one keeps nothing.
+
+Templates are at most (subtrees a page / share) hashes a host; pages are joined to them by host, broadcast when Spark finds the table small enough, else with
+skewed hosts split. Defined results: null or empty html has the empty text; pages without a host, and hosts of fewer than ``least`` distinct pages, have no template;
+an empty table has no rows; an own column of the name ``out`` is replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,15 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unpacked, written
 
 #: HTML's elements by what they mean for the text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template nav aside footer form iframe svg math button select option textarea dialog canvas object head title menu xmp noembed noframes audio video".split())
+NEVER = frozenset("script style noscript template form iframe svg math button select option textarea canvas object head title xmp noembed noframes audio video".split())
+BOILERPLATE = frozenset("nav aside footer menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split()) | INLINE
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+TEXT_BLOCKS = PROSE | frozenset("li dt dd td th figcaption".split()) | INLINE
+NO_CONTAINERS = TEXT_BLOCKS | frozenset("ul ol dl table thead tbody tfoot tr figure hgroup header".split())
+WHOLE = frozenset("# html body article main".split())
 #: A start tag ends an open one of these, unless an element of the second set stands between.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -42,62 +56,84 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)),
 }
-DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
-DROPPED_NAMES = frozenset(
-    "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising promo promotion sponsor sponsored banner cookie cookies consent gdpr notice notices notification popup modal overlay "
-    "newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs comment comments commentlist reply replies respond discussion disqus pagination pager widget login toolbar masthead".split()
-)
+ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
+#: Words of class and id names that say what an element is, and those that may say it; words that may stand beside them.
+PLAIN_NAMES = frozenset("navbar navigation footer sidebar ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs comment comments commentlist respond disqus pagination pager masthead".split())
+VAGUE_NAMES = frozenset("nav menu aside promo promotion sponsor banner notice notices notification popup modal overlay subscribe subscription signup share sharing social related recommended recommendations reply replies discussion widget login toolbar".split())
+BESIDE = frozenset("site page main global top bottom left right upper lower box block list area wrap wrapper container inner outer section item items bar links link slot unit group header footer body form panel thread primary secondary".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|\Z)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"[\s\xa0]+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: How sure it is that an element is no content, by its tag or role, by a plain name, by a vague name.
+SURE, PLAIN, VAGUE, NO = 3, 2, 1, 0
 
 
 class Node:
-    __slots__ = ("article", "digest", "dropped", "index", "inside", "parts", "tag", "up", "words")
+    __slots__ = ("article", "exact", "index", "label", "loose", "main", "marked", "never", "own", "parts", "prose", "said", "shape", "size", "tag", "up")
 
-    def __init__(self, tag: str, index: int, up: int, dropped: bool, article: bool, inside: bool):
-        self.tag, self.index, self.up, self.dropped, self.article, self.inside = tag, index, up, dropped, article, inside
+    def __init__(self, tag: str, index: int, up: int, label: str, never: bool, said: int, article: bool, main: bool):
+        self.tag, self.index, self.up, self.label, self.never, self.said, self.article, self.main = tag, index, up, label, never, said, article, main
         self.parts: list[str] = []
-        self.words = False
-        self.digest = 0
-
-
-def says_dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's tag, role, class or id tells that it isn't part of an article's text."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        self.shape: list[str] = []
+        self.own = self.size = self.exact = self.loose = 0
+        self.marked = len(label) > len(tag)
+        self.prose = tag in PROSE
+
+
+def named(value: str) -> int:
+    """What a class or id says: whole names only, of which every word is one of the known ones."""
+    said = NO
+    for token in value.split():
+        parts = [x.lower() for x in NAME.findall(token)]
+        if parts and all(x in PLAIN_NAMES or x in VAGUE_NAMES or x in BESIDE for x in parts):
+            said = max(said, PLAIN if any(x in PLAIN_NAMES for x in parts) else VAGUE if any(x in VAGUE_NAMES for x in parts) else NO)
+    return said
+
+
+def read_attributes(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """(label: tag with class and id, numbers of several digits left out; how sure it says that it is no content)."""
+    said = SURE if tag in BOILERPLATE or tag == "header" and not in_article else NO
+    if not attributes or attributes.isspace():
+        return tag, said
+    label = tag
     for name, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        match name.lower():
-            case "hidden":
-                return True
-            case "aria-hidden":
-                if value.lower() == "true":
-                    return True
-            case "role":
-                if value.lower() in DROPPED_ROLES:
-                    return True
-            case _:
-                if any(x.lower() in DROPPED_NAMES for x in NAME.findall(value)):
-                    return True
-    return False
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            label += "." + " ".join(sorted(re.sub(r"\d\d+", "", value).split()))
+            said = max(said, named(value))
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            said = SURE
+    return label, NO if tag in WHOLE else said
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(elements in page order, (innermost element, text) or (-1 for a block's edge, "") in page order)."""
-    nodes, flow = [Node("#", 0, 0, False, False, False)], []
+    nodes, flow = [Node("#", 0, 0, "#", False, NO, False, False)], []
     stack = [nodes[0]]
+    open_at: dict[str, list[int]] = {}
+    blocks = [0]
+    out_from: list[int] = []  # places in the stack of elements that aren't content
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             n = stack.pop()
-            n.digest = xxhash.xxh64_intdigest("\0".join([n.tag, *n.parts])) - (1 << 63)
-            stack[-1].parts.append(str(n.digest))
-            stack[-1].words |= n.words
+            open_at[n.tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+            if out_from and out_from[-1] == len(stack):
+                out_from.pop()
+            n.size += n.own
+            up = stack[-1]
+            if not n.never:
+                n.exact = xxhash.xxh64_intdigest("\0".join([n.tag, *n.parts])) - (1 << 63)
+                n.loose = xxhash.xxh64_intdigest("\0".join([n.label, *n.shape]), 1) - (1 << 63)
+                up.parts.append(str(n.exact))
+                up.size += n.size
+                up.prose = up.prose or n.prose and bool(n.size)
+                if n.size and n.tag not in INLINE and (not up.shape or up.shape[-1] != str(n.loose)):
+                    up.shape.append(str(n.loose))
             if n.tag not in INLINE:
                 flow.append((-1, ""))
 
@@ -107,7 +143,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flow.append((stack[-1].index, body))
             if tidy := SPACE.sub(" ", body).strip():
                 stack[-1].parts.append(tidy)
-                stack[-1].words = True
+                stack[-1].own += len(tidy)
 
     at = 0
     while at < len(page):
@@ -121,29 +157,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag in INLINE and any(n.tag not in INLINE for n in stack[depth + 1 :])):
+            depth = open_at[tag][-1] if open_at.get(tag) else 0
+            if depth and not (tag in INLINE and blocks[-1] > depth):
                 close(depth)
             elif tag not in INLINE:
                 flow.append((-1, ""))
             continue
-        if tag in ("article", "main"):  # an element left open before the article doesn't hold it
-            first = next((i for i, n in enumerate(stack) if n.dropped), 0)
-            if first:
-                close(first)
-        if tag in ENDS_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth and all(n.tag in INLINE for n in stack[depth + 1 :]):
-                close(depth)
+        if tag in ("article", "main") and out_from:  # an element left open before the article doesn't hold it
+            close(out_from[0])
+        if tag in ENDS_P and open_at.get("p") and open_at["p"][-1] == blocks[-1]:
+            close(blocks[-1])
         if tag in IMPLIED:
             ended, edge = IMPLIED[tag]
-            depth = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in edge:
-                    break
-                if stack[i].tag in ended:
-                    depth = i
-            close(depth)
+            floor = max((open_at[t][-1] for t in edge if open_at.get(t)), default=0)
+            above = [open_at[t][i] for t in ended if open_at.get(t) and (i := bisect_right(open_at[t], floor)) < len(open_at[t])]
+            if above:
+                close(min(above))
         if tag not in INLINE:
             flow.append((-1, ""))
         elif tag == "br":
@@ -151,30 +180,134 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         up = stack[-1]
-        inside = up.inside or tag in ("article", "main")
-        n = Node(tag, len(nodes), up.index, up.dropped or says_dropped(tag, m[3], up.inside), up.article or tag == "article", inside)
+        label, said = read_attributes(tag, m[3], up.article or up.main)
+        n = Node(tag, len(nodes), up.index, label, up.never or tag in NEVER, said, up.article or tag == "article", up.main or tag == "main")
         nodes.append(n)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        if said == SURE or n.never and not up.never:
+            out_from.append(len(stack))
         stack.append(n)
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
     close(1)
+    nodes[0].size += nodes[0].own
     return nodes, flow
 
 
-def subtrees(page: str) -> set[int]:
-    """Hashes of the subtrees that may be template: with text, and no plain text block of an article."""
-    return {n.digest for n in parse(page)[0][1:] if n.words and n.tag not in ("html", "body", "article", "main") and not (n.inside and n.tag in TEXT_BLOCKS)}
+def in_marked(n: Node) -> bool:
+    return n.article or n.main
+
+
+def heaviest(nodes: list[Node], gone: list[bool]) -> int:
+    """The innermost container with over half of the text that isn't gone; the root where none has."""
+    weight = [0 if g else n.own for n, g in zip(nodes, gone, strict=True)]
+    for n in reversed(nodes[1:]):
+        weight[n.up] += weight[n.index]
+    at = 0
+    for n in nodes[1:]:
+        if n.up == at and n.tag not in NO_CONTAINERS and not gone[n.index] and 2 * weight[n.index] > weight[0]:
+            at = n.index
+    return at
+
+
+def places(nodes: list[Node]) -> list[int]:
+    """A hash of each element's path of labels."""
+    out = [0]
+    for n in nodes[1:]:
+        out.append(xxhash.xxh64_intdigest(f"{out[n.up]}\0{n.label}", 2) - (1 << 63))
+    return out
+
+
+def dropped(nodes: list[Node], least: int) -> list[bool]:
+    """Elements that never count or that say so with certainty ``least`` (a name not for over half of the text), and what is below them."""
+    gone = [False] * len(nodes)
+    for n in nodes[1:]:
+        gone[n.index] = gone[n.up] or n.never or n.said == SURE or n.said >= least and 2 * n.size <= nodes[0].size
+    return gone
+
+
+def subtrees(page: str) -> tuple[int, set[int], set[int]]:
+    """(hash of the content; exact hashes of subtrees that may be template; loose ones, and the place of the content where nothing marks it)."""
+    nodes, _ = parse(page)
+    gone = dropped(nodes, PLAIN)
+    roots = [n for n in nodes[1:] if in_marked(n) and not in_marked(nodes[n.up]) and not gone[n.index]]
+    exact, loose = set(), set()
+    if roots:
+        content = xxhash.xxh64_intdigest("\0".join(str(n.exact) for n in roots)) - (1 << 63)
+    else:
+        i = heaviest(nodes, gone)
+        content = nodes[i].exact if i else xxhash.xxh64_intdigest("\0".join(nodes[0].parts)) - (1 << 63)
+        if nodes[i].tag not in WHOLE:
+            loose.add(places(nodes)[i])
+    for n in nodes[1:]:
+        if n.size and not n.never and n.tag not in WHOLE:
+            if not (in_marked(n) and n.tag in TEXT_BLOCKS):
+                exact.add(n.exact)
+            if n.marked or n.tag not in TEXT_BLOCKS:
+                loose.add(n.loose)
+    return content, exact, loose
+
+
+def removal(nodes: list[Node], template: frozenset[int]) -> tuple[list[bool], bool, list[bool]]:
+    """(elements without their text; whether an article or main element marks the content; elements inside the content)."""
+    out = dropped(nodes, PLAIN)
+    held = [in_marked(n) and not out[n.index] for n in nodes]
+    marked, at = any(held), []
+    if not marked and template:
+        at = [p in template for p in places(nodes)]
+        for n in nodes[1:]:
+            held[n.index] = held[n.up] or at[n.index] and not out[n.index]
+    gone = [False] * len(nodes)
+    for n in nodes[1:]:
+        mine = n.exact in template and n.tag not in WHOLE and not (n.tag in TEXT_BLOCKS and held[n.index]) and not (at and at[n.index])
+        gone[n.index] = gone[n.up] or n.never or mine
+    out = [a or b for a, b in zip(out, gone, strict=True)]
+    free = [n for n in nodes[1:] if not out[n.index]]
+    if marked:
+        roots = [n.index for n in free if n.tag == "article" and not nodes[n.up].article] or [n.index for n in free if n.tag == "main" and not nodes[n.up].main]
+        marked = bool(roots)
+    else:
+        roots = [n.index for n in free if at and at[n.index]]
+    roots = roots or [heaviest(nodes, out)]
+    inside, around = [False] * len(nodes), [False] * len(nodes)
+    for i in roots:
+        inside[i] = True
+        while i and not around[i]:
+            around[i] = True
+            i = nodes[i].up
+    around[0] = True
+    inside[0] = 0 in roots
+    for n in nodes[1:]:
+        inside[n.index] = inside[n.index] or inside[n.up]
+    whole = sum(nodes[i].size for i in roots)
+    for n in nodes[1:]:
+        i = n.index
+        if gone[n.up]:
+            gone[i] = True
+        if gone[i] or around[i] or n.tag in WHOLE:
+            continue
+        recurs = n.loose in template and (n.marked or n.tag not in TEXT_BLOCKS)
+        if inside[i]:
+            small = 2 * n.size <= whole
+            unnamed = recurs and not marked and n.marked and not n.prose and n.tag not in NO_CONTAINERS
+            gone[i] = n.said == SURE or small and (n.said == PLAIN or n.said == VAGUE and (recurs or not template) or unnamed)
+        else:
+            gone[i] = n.said > NO or recurs or marked and not template
+    return gone, marked, inside
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """The blocks of the page's articles (else main elements, else body) outside template and dropped elements, one a line."""
+    """The blocks of the page that are its text, one a line."""
     nodes, flow = parse(page)
-    gone = [n.dropped or (n.digest in template and not (n.inside and n.tag in TEXT_BLOCKS) and n.tag not in ("html", "body", "article", "main")) for n in nodes]
-    for n in nodes[1:]:  # parents come first, so one pass carries removal down
-        gone[n.index] = gone[n.index] or gone[n.up]
-    level = 2 if any(n.article and not g for n, g in zip(nodes, gone, strict=True)) else 1 if any(n.inside and not g for n, g in zip(nodes, gone, strict=True)) else 0
-    keep = [not g and (level == 0 or (n.article if level == 2 else n.inside)) for n, g in zip(nodes, gone, strict=True)]
+    gone, marked, inside = removal(nodes, template)
+    keep = [False] * len(nodes)
+    prose = [False] * len(nodes)
+    for n in nodes:
+        prose[n.index] = n.tag in PROSE or n.tag in INLINE and prose[n.up]
+        keep[n.index] = not gone[n.index] and (inside[n.index] or not marked or prose[n.index] and bool(template))
     blocks, run = [], []
     for i, body in [*flow, (-1, "")]:
         if i < 0:
@@ -190,24 +323,44 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, *, url: str = "url", html: str = "html", share: float = 0.2, least: int = 5) -> DataFrame:
-    """(host, template array<bigint>): the subtree hashes on ``share`` of a host's pages, and ``least`` pages, or more."""
+#: The hash under which each page counts itself.
+PAGE = 0
+
+
+def subtree_counts(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, hash, is_loose, n): distinct pages of the host with the hash; under PAGE all of them."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda sets: pa.ListArray.from_arrays(pa.array([0, *_running(map(len, sets))], pa.int32()), pa.array([h for s in sets for h in s], pa.int64()))
         for b in batches:
-            found = [subtrees(x) if x else set() for x in b.column(1).to_pylist()]
-            at = pa.array([i for i, s in enumerate(found) for _ in s], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([h for s in found for h in s], pa.int64())], ["host", "hash"])
+            found = [subtrees(x or "") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), lists([[PAGE, *sorted(f[1])] for f in found]), lists([sorted(f[2]) for f in found])], ["host", "content", "exact", "loose"])
 
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where(F.col("host").isNotNull())
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.mapInArrow(hashes, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template"))
+    distinct = rows.mapInArrow(hashes, "host string, content bigint, exact array<bigint>, loose array<bigint>").groupBy("host", "content").agg(F.first("exact").alias("exact"), F.first("loose").alias("loose"))
+    one = lambda c, flag: F.transform(c, lambda h: F.struct(h.alias("hash"), F.lit(flag).alias("is_loose")))
+    each = distinct.select("host", F.explode(F.concat(one("exact", False), one("loose", True))).alias("x")).select("host", "x.*")
+    return each.groupBy("host", "hash", "is_loose").agg(F.count("*").alias("n"))
+
+
+def _running(sizes: Iterator[int]) -> Iterator[int]:
+    total = 0
+    for n in sizes:
+        total += n
+        yield total
+
+
+def site_templates(pages: DataFrame, *, url: str = "url", html: str = "html", share: float = 0.1, loose_share: float = 0.5, least: int = 3) -> DataFrame:
+    """(host, template array<bigint>): the hashes on ``share`` (loose ones: ``loose_share``) of a host's distinct pages, and ``least`` pages, or more."""
+    counts = written(subtree_counts(pages, url=url, html=html).where(F.col("n") >= least), "subtrees")
+    sizes = counts.where((F.col("hash") == PAGE) & ~F.col("is_loose")).select("host", F.col("n").alias("pages"))
+    enough = F.col("n") >= F.when(F.col("is_loose"), loose_share).otherwise(share) * F.col("pages")
+    return counts.where((F.col("hash") != PAGE) | F.col("is_loose")).join(sizes, "host").where(enough).groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template"))
 
 
-def with_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", share: float = 0.2, least: int = 5) -> DataFrame:
+def with_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", share: float = 0.1, loose_share: float = 0.5, least: int = 3) -> DataFrame:
     """pages with their main text in column ``out``."""
-    templates = written(site_templates(pages, url=url, html=html, share=share, least=least), "templates").withColumnsRenamed({"host": "_host", "template": "_template"})
+    templates = written(site_templates(pages, url=url, html=html, share=share, loose_share=loose_share, least=least), "templates")
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -222,8 +375,9 @@ def with_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", ou
                 result.append(main_text(x, known[key]) if x else "")
             yield pa.array(result, pa.string())
 
-    joined = pages.withColumn("_at", host_of(F.col(url))).join(templates, F.col("_at") == F.col("_host"), "left")
-    return joined.withColumn(out, extract(F.col(html), F.col("_template"))).drop("_at", "_host", "_template")
+    rows = pages.select(F.struct("*").alias("page"), host_of(F.col(url)).alias("at"))
+    joined = rows.join(templates, F.col("at") == F.col("host"), "left")
+    return unpacked(joined.withColumn("found", extract(F.col("page").getField(html), F.col("template"))), "page", pages.columns, {out: F.col("found")})
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import time
+from collections import Counter
+
 import pytest
 
 from evidex.llm import templates as tp
@@ -60,3 +64,85 @@ def test_very_long_page(spark):
     page = "<article>" + "".join(f"<p>paragraph {i}</p>" for i in range(20_000)) + "</article>"
     got = tp.extract_pages(spark.createDataFrame([(1, "http://l.example/", page, None, None)], SCHEMA)).collect()[0]
     assert got.text == "\n".join(f"paragraph {i}" for i in range(20_000))
+
+
+def words(rng, n):
+    return " ".join(rng.choice("alpha beta gamma delta river stone table green".split()) for _ in range(n))
+
+
+def silent_site(n=12, seed=4):
+    """Pages whose boilerplate says nothing about itself and has other words on every page; one paragraph stands in all articles."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        menu = "".join(f"<li><a href=/{k}>{words(rng, 1)}</a></li>" for k in range(rng.randrange(4, 8)))
+        own = [words(rng, 30) for _ in range(rng.randrange(2, 6))] + ["Our terms apply to every recipe."]
+        out.append((i, f"http://s.example/{i}", f"<body><div class=q1><ul>{menu}</ul></div><div class=q2>{words(rng, 8)}</div><div class=q3><h1>T {i}</h1>{''.join(f'<p>{p}</p>' for p in own)}</div><div class=q4>{words(rng, 6)}</div>", None, None))
+        out[-1] = (*out[-1], "\n".join([f"T {i}", *own]))
+    return out
+
+
+def test_boilerplate_that_says_nothing_and_changes_its_words_goes(spark):
+    site = silent_site()
+    got = {r.page_id: r.text for r in tp.extract_pages(spark.createDataFrame([r[:5] for r in site], SCHEMA)).collect()}
+    assert got == {r[0]: r[5] for r in site}
+    assert all(tp.main_text(r[2], frozenset()) != r[5] for r in site)
+
+
+def test_counts_against_brute_force(spark):
+    site = [r[:5] for r in silent_site()] + site_rows()
+    df = spark.createDataFrame(site + site[:3], SCHEMA).repartition(5)
+    want: Counter = Counter()
+    pages: dict = {}
+    for r in site:
+        content, exact, loose = tp.subtrees(r[2])
+        host = r[1].split("//")[1].split("/")[0].split("@")[-1].split(":")[0].lower()
+        pages.setdefault((host, content), (exact, loose))
+    for (host, _), (exact, loose) in pages.items():
+        want.update([(host, h, False) for h in exact | {tp.PAGE}] + [(host, h, True) for h in loose])
+    assert {(r.host, r.hash, r.is_loose): r.n for r in tp.subtree_counts(df).collect()} == want
+
+
+def site_rows():
+    return site(7)
+
+
+def test_copies_of_one_page_make_no_template(spark):
+    page = "<body><div class=z><div class=y><p>first words of it</p></div><div class=x><p>more words of it</p></div></div>"
+    pages = [(i, f"http://c.example/{i}", page, None, None) for i in range(50)] + [(99, "http://c.example/99", "<p>other</p>", None, None)]
+    got = {r.page_id: r.text for r in tp.extract_pages(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {i: "first words of it\nmore words of it" for i in range(50)} | {99: "other"}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout with-sidebar'><p>kept text</p></div>", "<article><section class='notice'><p>kept</p></section><p>text</p></article>", "<article><p title='the hidden cost'>kept</p><p class='share-price'>text</p></article>",
+        "<div data-id='comment-3'><p>kept text</p></div>", "<div id=comments><article>kept text</article></div>", "<article><div class='related-work'>kept</div>text</article>",
+    ],
+)
+def test_names_never_take_the_article(page):
+    assert tp.main_text(page, frozenset([1])).replace("\n", " ") == "kept text"
+
+
+def test_named_parts_of_an_article_go():
+    page = "<article><p>kept text of the article</p><div class='comment-list'>c</div><div id=newsletter>n</div><div role=search>s</div><ul class='breadcrumb'><li>b</ul><div hidden>h</div></article>"
+    assert tp.main_text(page, frozenset([1])) == tp.main_text(page, frozenset()) == "kept text of the article"
+
+
+@pytest.mark.parametrize("open_", ["<div>", "<p>a", "<ul><li>x", "<table><tr><td>1", "<b>", "<div><p>x", "<a ", "<div class=ad>", "<article>", "<li>"])
+def test_time_is_linear_in_nesting(open_):
+    began = time.process_time()
+    tp.subtrees(open_ * 40_000)
+    tp.main_text(open_ * 40_000, frozenset([1]))
+    assert time.process_time() - began < 5  # four times as long for each doubling would take minutes
+
+
+def test_columns_that_clash(spark):
+    names = ["page", "at", "host", "template", "found", "main_text", "hash", "n", "content", "exact", "loose", "_host", "_at"]
+    rows = [r[:3] for r in site()]
+    df = spark.createDataFrame([(*r, *[f"own{k}" for k in range(len(names))], {"k": 1}) for r in rows], "page_id bigint, url string, html string, " + ", ".join(f"{n} string" for n in names) + ", m map<string,int>")
+    got = tp.with_main_text(df)
+    assert sorted(got.columns) == sorted(df.columns)
+    plain = {r.page_id: r.text for r in tp.extract_pages(df).collect()}
+    for r in got.collect():
+        assert r.main_text == plain[r.page_id] and r.at == "own1" and r.m == {"k": 1}
