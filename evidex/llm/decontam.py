@@ -4,8 +4,9 @@ Tasks read the training texts in blocks ("shards") of at most ``SHARD`` words an
 longest benchmark item. Every suffix of every item is binary-searched in every shard: the interval of equal first words narrows
 word by word until it is empty, which gives the suffix's longest verbatim match and where it lies; the intervals at the window's length
 hold all places of that window. Documents never cross: each ends in a symbol of its own, and a document longer than a shard is cut
-with an overlap of the longest item. Nothing is shuffled; the benchmark reaches the tasks in chunks of at most ``CHUNK`` bytes, each
-chunk one more pass.
+with an overlap of the longest item. The benchmark reaches the tasks in chunks of about ``CHUNK`` bytes at most (or one longer item), dealt by a hash of the
+item, and the driver and the tasks hold one chunk at a time: each is one pass over the texts whose hits are written by text hash, and a last pass joins them to the rows.
+A benchmark of one chunk, which is the usual case, takes one pass and no shuffle.
 
 Words are runs of digits, letters a-z (after lower-casing A-Z) and characters above U+007F, compared by 64-bit hashes. A window is ``window``
 consecutive words of an item; a shorter item, unless empty, is one window. Defined results: null or wordless texts have no words
@@ -15,7 +16,6 @@ and are clean; items without words never occur; items of equal id count once, a
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_bytes
+from .common import text_bytes, unpacked, written
 
-WINDOW, SHARD, CHUNK, SEGMENT = 10, 400_000, 32 << 20, 1 << 20
+WINDOW, SHARD, CHUNK, SEGMENT = 10, 400_000, 4 << 20, 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
@@ -113,14 +115,16 @@ class Items:
     item: np.ndarray
     left: np.ndarray
     whole: np.ndarray
+    #: Chunks of the benchmark in all.
+    chunks: int = 1
 
     @classmethod
-    def of(cls, ids: list, texts: list[str | None]) -> Items:
+    def of(cls, ids: list, texts: list[str | None], chunks: int = 1) -> Items:
         body, at = text_bytes(pa.array(texts, pa.large_string()))
         h, n = words(body, at)
         item = np.repeat(np.arange(len(ids)), n)
         left = np.concatenate([np.arange(k, 0, -1) for k in n]) if len(h) else np.zeros(0, np.int64)
-        return cls(ids, h, symbols(h), item, left.astype(np.int64), np.repeat(n, n))
+        return cls(ids, h, symbols(h), item, left.astype(np.int64), np.repeat(n, n), chunks)
 
     @property
     def longest(self) -> int:
@@ -264,9 +268,6 @@ def _chunks(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
         yield from (x for x in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1) if len(x))
 
 
-RESULT = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<int>>"
-
-
 def units(at: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts of about a shard's bytes, or one longer text."""
     begin = 0
@@ -305,26 +306,20 @@ def scan_texts(texts: pa.Array, items: Items, window: int) -> pa.Array:
 ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int32()))])
 
 
-def item_chunks(benchmark: DataFrame, *, text: str, key: str, limit: int = CHUNK) -> list[Items]:
-    """The benchmark in chunks of at most ``limit`` bytes (or one item), in the order of their ids and texts."""
-    out: list[Items] = []
-    ids: list = []
-    texts: list[str | None] = []
-    size = 0
-    for r in benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy("k", "t").toLocalIterator():
-        if ids and size + len((r["t"] or "").encode()) > limit:
-            out.append(Items.of(ids, texts))
-            ids, texts, size = [], [], 0
-        ids.append(r["k"])
-        texts.append(r["t"])
-        size += len((r["t"] or "").encode())
-    return [*out, Items.of(ids, texts)] if ids else out
+def item_chunks(benchmark: DataFrame, *, text: str, key: str, limit: int = CHUNK) -> Iterator[Items]:
+    """The distinct items in chunks of about ``limit`` bytes at most (or one longer item), one after another; each in the order of their ids and texts."""
+    rows = benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
+    chunks = 1 if size <= limit else -(-2 * size // limit)  # twice as many as needed, so that no chunk of hashed items grows much over the limit
+    for c in range(chunks):
+        found = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(chunks)) == c).orderBy("k", "t").collect()
+        yield Items.of([r["k"] for r in found], [r["t"] for r in found], chunks)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item, item_start, words, doc, start): the longest verbatim match of every item suffix that has one, and one place of it (the least document, then start)."""
     kinds = [benchmark.schema[item_key].dataType.simpleString(), docs.schema[key].dataType.simpleString()]
-    out = None
+    parts = []
     for items in item_chunks(benchmark, text=item_text, key=item_key):
 
         def find(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
@@ -337,24 +332,29 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
                         yield pa.RecordBatch.from_arrays([ids, pa.array(items.whole[word] - items.left[word]), pa.array(size), b.column(0).take(pa.array(doc + lo)), pa.array(start)], ["item", "item_start", "words", "doc", "start"])
 
         rows = docs.select(key, text).mapInArrow(find, f"item {kinds[0]}, item_start bigint, words bigint, doc {kinds[1]}, start bigint")
-        best = rows.groupBy("item", "item_start").agg(F.max_by(F.struct("words", "doc", "start"), F.struct("words", -F.col("doc"), -F.col("start"))).alias("m")).select("item", "item_start", "m.*")
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else docs.sparkSession.createDataFrame([], f"item {kinds[0]}, item_start bigint, words bigint, doc {kinds[1]}, start bigint")
+        best = rows.groupBy("item", "item_start").agg(F.min_by(F.struct("words", "doc", "start"), F.struct(-F.col("words"), "doc", "start")).alias("m")).select("item", "item_start", "m.*")
+        parts.append(written(best, "longest"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _finder(items: Items, window: int) -> Callable[[Column], Column]:
-    @F.arrow_udf(RESULT)
+def _finder(items: Items, window: int, item_type: T.DataType) -> Callable[[Column], Column]:
+    """A text's n_words, spans of hit words, and the ids of the items with occurring windows."""
+    kind = to_arrow_type(item_type)
+
+    @F.arrow_udf(f"struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<{item_type.simpleString()}>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids = pa.array(items.ids, kind)
         for texts in batches:
-            yield scan_texts(texts, items, window)
+            found = scan_texts(texts, items, window)
+            places = found.field(2)
+            yield pa.StructArray.from_arrays([found.field(0), found.field(1), pa.ListArray.from_arrays(places.offsets, ids.take(places.values))], ["n_words", "spans", "items"])
 
     return find
 
 
-def _named(places: Column, known: Column) -> Column:
-    return F.transform(places, lambda i: F.get(known, i))
-
-
 def _merged(spans: Column) -> Column:
     """Words in the union of spans of several chunks."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
@@ -363,26 +363,28 @@ def _merged(spans: Column) -> Column:
 
 
 def search_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "found") -> DataFrame:
-    """docs with a struct ``out``: n_words, n_hit, spans of hit words, item ids with occurring windows (distinct)."""
-    kind = benchmark.schema[item_key].dataType.simpleString()
-    chunks = item_chunks(benchmark, text=item_text, key=item_key) or [Items.of([], [])]
-    parts = [_finder(items, window) for items in chunks]
-    names = [f"_found{i}" for i in range(len(parts))]
-    rows = docs
-    for name, find in zip(names, parts, strict=True):
-        rows = rows.withColumn(name, find(F.col(text)))
-    ids = []
-    for name, items in zip(names, chunks, strict=True):
-        known = F.from_json(F.lit("[" + ",".join("null" if i is None else json.dumps(i) for i in items.ids) + "]"), f"array<{kind}>")
-        ids.append(_named(F.col(f"{name}.items"), known))
-    spans = F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))
-    found = F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"),
-        _merged(spans).alias("n_hit"),
-        spans.alias("spans"),
-        F.array_distinct(F.flatten(F.array(*ids))).alias("items"),
-    )
-    return rows.withColumn(out, found).drop(*names)
+    """docs with a struct ``out``: n_words, n_hit, spans of hit words, item ids with occurring windows (distinct). An own column of that name is replaced."""
+    kind = benchmark.schema[item_key].dataType
+    rows = docs.select(F.struct("*").alias("row"))
+    body = F.col("row").getField(text)
+    parts: list[DataFrame] = []
+    for items in item_chunks(benchmark, text=item_text, key=item_key):
+        found = _finder(items, window, kind)(body)
+        if items.chunks == 1:
+            rows = rows.withColumn("f", found)
+            break
+        hits = rows.select(F.md5(F.coalesce(body, F.lit(""))).alias("h"), found.alias("f")).where(F.size("f.items") > 0)
+        parts.append(written(hits.select("h", "f.spans", "f.items").dropDuplicates(["h"]), "hits"))
+    if parts:
+        hits = parts[0]
+        for more in parts[1:]:
+            hits = hits.unionByName(more)
+        hits = hits.groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row a chunk at most
+        counted = rows.withColumn("n", _finder(Items.of([], []), window, kind)(body)["n_words"]).withColumn("h", F.md5(F.coalesce(body, F.lit(""))))
+        empty = [F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+        rows = counted.join(hits, "h", "left").select("row", F.struct(F.col("n").alias("n_words"), *empty).alias("f"))
+    found = F.struct(F.col("f.n_words").alias("n_words"), _merged(F.col("f.spans")).alias("n_hit"), F.col("f.spans").alias("spans"), F.array_distinct("f.items").alias("items"))
+    return unpacked(rows, "row", docs.columns, {out: found})
 
 
 def decontaminate_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -404,7 +406,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = "found"
     while name in docs.columns:
         name += "_"
-    return search_documents(docs, benchmark, out=name).where(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
+    return search_documents(docs, benchmark, out=name).where(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 SQL = r"""
