@@ -3,13 +3,14 @@
 Sources get targets in proportion to their weights, capped at ``most`` times their size; what exceeds a cap is shared again by weight until
 none is above. The mix is cut into blocks of ``block`` tokens. Blocks go to sources by the highest quotients target / (2k + 1), k blocks held; since
 quotas only grow with the number of blocks, the blocks after the first j / shards of all belong to shard j, which gives integer quotas per shard.
-A source's documents are laid out in seeded order (md5 of seed and id), its stream is cut into blocks, and its quota takes them from the
-start and around again, so reruns agree and no token is taken over ``most`` times.
+A source's documents are laid out in seeded order (md5 of seed, id and size) and the stream is cut into blocks; shard by shard, a source's quota takes the next
+blocks of this seeded stream, and around again at its end, so reruns agree and no token is taken over ``most`` times.
 
-Only one row a source is ever gathered: quotients are ranked within len(sources) of the proportional share, outside of which they are settled. Running
+Only one row a source is ever gathered. A source's seats at the common divisor differ from its proportional share by no more than n / 2 times its part of all, and a
+half, for n sources; only the quotients within that are ranked, a number in proportion to n over all sources. Running
 sums over a source are made within hash ranges and then over the ranges' totals, so a source with most rows is spread over all tasks.
 Defined results: sources are ordered by code point, null last; a null text has size 0; documents of size 0 are never taken; repeated ids are
-ordered by size, equal ones in any order; an empty table has no rows.
+ordered by md5 and size, equal ones in any order; an empty table has no rows; own columns of the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, unpacked
 
 WEIGHTS, VOLUME, MOST, BLOCK, SHARDS, SEED = (3, 1, 2), 1.5, 2, 256, 8, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,9 +52,10 @@ def apportion(sources: DataFrame, *, block: int = BLOCK, shards: int = SHARDS) -
     rows = sources.select("rank", "target").withColumns({"total": F.sum("target").over(every), "n": F.count("*").over(every)})
     house = F.ceil(F.col("total") / block * F.col("shard") / shards)
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")).withColumn("house", house)
-    share = F.when(F.col("total") > 0, F.col("target") * F.col("house") / F.col("total")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("settled", F.greatest(F.lit(0).cast("bigint"), F.floor(share) - F.col("n")))
-    near = rows.select("*", F.explode(F.sequence(F.col("settled"), F.floor(share) + F.col("n"))).alias("k"))
+    part = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
+    share, width = F.floor(part * F.col("house")), F.ceil(part * F.col("n") / 2) + 2
+    rows = rows.withColumn("settled", F.greatest(F.lit(0).cast("bigint"), share - width))
+    near = rows.select("*", F.explode(F.sequence(F.col("settled"), share + width)).alias("k"))
     held = F.sum("settled").over(Window.partitionBy("shard"))
     settled = rows.select("shard", "rank", held.alias("held"))
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), "rank")))
@@ -63,32 +65,37 @@ def apportion(sources: DataFrame, *, block: int = BLOCK, shards: int = SHARDS) -
 
 
 def mix(rows: DataFrame, *, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """rows with source_size, target and taken, the tokens of the row that the mix takes, repeats counted.
+    """rows with source_size, target, taken, the tokens of the row that the mix takes, repeats counted, and shard_taken, those that each shard takes.
 
-    Reads the columns key, source and size, of which there is no more than one row's worth a document, from a checkpoint.
+    rows, of which there is no more than one narrow row a document, are read from a checkpoint.
     """
     ranges = 4 * partitions(rows.sparkSession)
-    drawn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = rows.withColumn("_draw", drawn).withColumn("_range", F.floor(F.conv(F.substring("_draw", 1, 7), 16, 10).cast("bigint") * ranges / (1 << 28)))
-    rows = rows.checkpoint()
-    parts = rows.groupBy(source, "_range").agg(F.sum(size).alias("part"))
-    sizes = parts.groupBy(source).agg(F.sum("part").alias("source_size")).withColumnRenamed(source, "source")
-    targets = source_targets(sizes)
-    last = apportion(targets, block=block, shards=shards).where(F.col("shard") == shards).select("rank", "upto")
-    targets = targets.join(last, "rank", "left").select(F.col("source").alias("_s"), "source_size", "target", F.coalesce("upto", F.lit(0)).alias("_blocks"))
-    run = Window.partitionBy(source).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_first", F.coalesce(F.sum("part").over(run), F.lit(0)))
-    parts = parts.join(targets, F.col(source).eqNullSafe(F.col("_s"))).select(F.col(source).alias("_s"), F.col("_range").alias("_r"), "_first", "source_size", "target", "_blocks")
-    within = Window.partitionBy(source, "_range").orderBy("_draw", key, size).rowsBetween(Window.unboundedPreceding, -1)
-    laid = rows.withColumn("_inside", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    laid = laid.join(parts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    start = F.col("_first") + F.col("_inside")
-    # Blocks around the stream: whole rounds, then the first blocks of one more; a source's last block is shorter, so quotas are held to its rounds.
-    wanted = F.least(F.col("_blocks") * block, F.col("source_size") * MOST, F.ceil(F.col("target")))
-    rounds = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(F.lit(0))
-    rest = wanted - rounds * F.col("source_size")
-    taken = rounds * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), rest - start))
-    return laid.withColumn("taken", taken.cast("bigint")).drop("_draw", "_range", "_inside", "_s", "_r", "_first", "_blocks")
+    drawn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col(size).cast("string")))
+    held = rows.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(size).alias("size"), F.col(key).alias("id"), drawn.alias("draw"))
+    held = held.withColumn("range", F.floor(F.conv(F.substring("draw", 1, 7), 16, 10).cast("bigint") * ranges / (1 << 28))).checkpoint()
+    parts = held.groupBy("source", "range").agg(F.sum("size").alias("part"))
+    targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")))
+    quotas = apportion(targets, block=block, shards=shards).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("quotas"))
+    targets = targets.join(quotas, "rank", "left").select(F.col("source").alias("s"), "source_size", "target", F.transform("quotas", lambda q: q["upto"]).alias("upto"))
+    run = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("first", F.coalesce(F.sum("part").over(run), F.lit(0)))
+    parts = parts.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("range").alias("r"), "first", "source_size", "target", "upto")
+    within = Window.partitionBy("source", "range").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = held.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    laid = laid.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("start", F.col("first") + F.col("inside"))
+
+    def so_far(blocks: Column) -> Column:
+        """The row's tokens in so many blocks from the stream's start and around; the last block of a source is shorter, so they are held to its rounds."""
+        wanted = F.least(blocks * block, F.col("source_size") * MOST, F.ceil(F.col("target")))
+        rounds = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(F.lit(0))
+        rest = wanted - rounds * F.col("source_size")
+        return (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))).cast("bigint")
+
+    laid = laid.withColumn("upto_taken", F.transform("upto", so_far))
+    each = F.transform("upto_taken", lambda n, i: n - F.when(i > 0, F.get("upto_taken", i - 1)).otherwise(F.lit(0).cast("bigint")))
+    laid = laid.withColumn("shard_taken", each)
+    taken = F.aggregate("shard_taken", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return unpacked(laid, "row", rows.columns, {"source_size": F.col("source_size"), "target": F.col("target"), "taken": taken, "shard_taken": F.col("shard_taken")})
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -98,12 +105,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row once for every time that it takes half of the document or more; rows of one id and size alike."""
-    mixed = mix(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    counts = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_n")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (words(F.col("text")) == F.col("_n")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs as the mix takes them: a row once for every time that it takes half of the document or more; equal rows (id, source, text) get their mean."""
+    h = F.xxhash64("text")
+    mixed = mix(docs.select("doc_id", "source", words(F.col("text")).alias("size"), h.alias("h")))
+    copies = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
+    counts = mixed.where("size > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("h").alias("h2")).agg(copies.alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source"), h.alias("h"))
+    rows = rows.join(counts, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("h2")))
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), "row", docs.columns, {})
 
 
 SQL = r"""
@@ -123,7 +132,7 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 ), b AS (SELECT rank, count(*) FILTER (WHERE place <= house) AS blocks FROM q GROUP BY rank
 ), o AS (
   SELECT doc_id, size, source_size, target, least(blocks * 256, source_size * 2, ceil(target)::BIGINT) AS wanted,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN b USING (rank)
 )
 SELECT doc_id, size, source_size, target,
