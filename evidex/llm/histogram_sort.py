@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, unpacked, written
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -100,10 +100,11 @@ class Plan:
         return find(key, row)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with size, key (a hash of the text) and row (a hash of the row's id and text)."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_size": F.octet_length(body).cast("bigint") + 1, "_key": F.xxhash64(body)}).withColumn("_row", F.xxhash64(F.lit(5), "doc_id", "_key"))
+def sized(docs: DataFrame, kept: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, id, size, key, row): ``kept`` of each row, its id, bytes, the hash of its text, and a hash of its id and text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = F.xxhash64(body)
+    return docs.select(kept.alias("doc"), F.col(key).alias("id"), (F.octet_length(body).cast("bigint") + 1).alias("size"), hashed.alias("key"), F.xxhash64(F.lit(5), F.col(key), hashed).alias("row"))
 
 
 def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
@@ -135,27 +136,32 @@ def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
     return Plan(shards, per, np.array([min(b, MOST) for b in bounds], np.int64), np.array(order, np.int64), np.array([heavy[k] for k in order], np.int64), np.array(sorted(spread), np.int64))
 
 
-def shard(docs: DataFrame, shards: int = 8, *, keys: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text and any other columns, or what ``sized`` made of them) with shard and slot, in one exchange by key range."""
-    rows = docs if "_key" in docs.columns else sized(docs)
-    p = plan((rows if keys is None else keys).select(F.col("_key").alias("key"), F.col("_row").alias("row"), F.col("_size").alias("size")), shards)
-    placed = rows.withColumn("_range", p.range_of(F.col("_key"), F.col("_row")))
-    counts = {r["_range"]: r["count"] for r in placed.select("_range").groupBy("_range").count().collect()}
+def placed(rows: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
+    """rows (of ``sized``) with shard and slot, in one exchange by key range; ``keys`` are their narrow columns, read for each round of probes."""
+    p = plan(keys.select("key", "row", "size"), shards)
+    at = p.range_of(F.col("key"), F.col("row"))
+    counts = {r["range"]: r["count"] for r in keys.select(at.alias("range")).groupBy("range").count().collect()}
     starts = []
     for s in range(shards):
-        at = 0
+        done = 0
         for r in range(s * p.per_shard, (s + 1) * p.per_shard):
-            starts.append(at)
-            at += counts.get(r, 0)
-    base = F.get(F.from_json(F.lit(str(starts)), "array<bigint>"), F.col("_range"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "doc_id", "_row", "_size"))
-    return placed.withColumn("shard", F.floor(F.col("_range") / p.per_shard).cast("int")).withColumn("slot", (base + number - 1).cast("bigint")).drop("_range")
+            starts.append(done)
+            done += counts.get(r, 0)
+    base = F.get(F.from_json(F.lit(str(starts)), "array<bigint>"), F.col("range"))
+    number = F.row_number().over(Window.partitionBy("range").orderBy("key", "id", "row", "size"))
+    return rows.withColumn("range", at).withColumns({"shard": F.floor(F.col("range") / p.per_shard).cast("int"), "slot": (base + number - 1).cast("bigint")})
+
+
+def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with shard and slot, which replace own columns of these names. The texts are read twice: for the narrow keys, which are written, and for the exchange."""
+    rows = sized(docs, F.struct("*"), key=key, text=text)
+    keys = written(rows.select("key", "row", "size"), "shard-keys")
+    return unpacked(placed(rows, keys, shards), "doc", docs.columns, {"shard": F.col("shard"), "slot": F.col("slot")})
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = sized(docs.select("doc_id", "text")).select("doc_id", "_size", "_key", "_row", F.crc32(body).alias("text_crc32"))
-    return shard(written(rows, "shard-keys"), shards).select(
-        "doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    rows = written(sized(docs, F.crc32(F.coalesce(F.col("text"), F.lit("")))), "shard-keys")
+    return placed(rows, rows, shards).select(
+        F.col("id").alias("doc_id"), "size", F.col("doc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
