@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import text_bytes, unpacked, written
 
 SEGMENTS, WIDTH = 8, 8
 LOWER = np.arange(256, dtype=np.uint8)
@@ -121,7 +121,8 @@ def links(prints: DataFrame, *, bits: int = 2, dense: int = 32) -> DataFrame:
     masks = key_masks(bits)
     keys = F.array(*[F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for n, (_, m) in enumerate(masks)])
     indexed = prints.select("fp", F.explode(keys).alias("x")).select("fp", "x.n", "x.k")
-    shared = written(indexed.withColumn("size", F.count("*").over(Window.partitionBy("n", "k"))).where(F.col("size") > 1), "simhash-keys")
+    sizes = indexed.groupBy("n", "k").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = written(indexed.join(sizes, ["n", "k"]), "simhash-keys")
 
     members = shared.where(F.col("size") <= dense).groupBy("n", "k").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     first = members.select("n", "m", F.posexplode("m").alias("i", "a"))
@@ -189,13 +190,13 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
 
 
 def keep_first(docs: DataFrame, found: DataFrame, *, key: str, text: str) -> DataFrame:
-    """The rows of docs that ``found`` (key, text_hash, first) has as first, each once."""
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))
-    named = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "first")
-    rows = docs.join(named.where(~F.col("first")).drop("first").distinct(), same, "left_anti")
-    again = written(named.where("first").groupBy("_key", "_hash").count().where("count > 1").drop("count"), "simhash-again")
-    if again.isEmpty():
-        return rows
-    one = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))
-    several = rows.join(again, same, "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return rows.join(again, same, "left_anti").unionByName(several)
+    """The rows of docs that ``found`` (key, text_hash, first) has as first, each once. Rows of equal key and text are told apart by their columns' hash."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("h"))
+    named = found.select(F.col(key).alias("id2"), F.col("text_hash").alias("h2"), "first")
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
+    left = rows.join(named.where(~F.col("first")).drop("first").distinct(), same, "left_anti")
+    again = written(named.where("first").groupBy("id2", "h2").count().where("count > 1").drop("count"), "simhash-again")
+    if not again.isEmpty():
+        one = left.join(again, same, "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        left = left.join(again, same, "left_anti").select("row").unionByName(one.select("row"))
+    return unpacked(left, "row", docs.columns, {})
