@@ -211,4 +211,4 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.4) -> DataFrame:
     while name in docs.columns:
         name += "_"
     scored = predict(docs, train(docs), out=name)
-    return scored.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).select(*docs.columns)
+    return scored.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= min_score)).drop(name)
