@@ -159,9 +159,11 @@ def direct_draft(recipes: Column) -> Column:
     )
     minutes = lambda k: whole_minutes(F.try_element_at(r["durations_seconds"], F.lit(k)))
     cite = lambda path, quote: F.struct(path.alias("field_path"), F.lit("json_ld").alias("source_kind"), F.substring(quote, 1, 500).alias("quote"), F.lit(None).cast("string").alias("artifact_id"))
+    filled = lambda p: F.array_compact(F.array(F.lit("raw_text"), F.when(p["name"].isNotNull(), F.lit("name")), *[F.when(p[f].isNotNull(), F.lit(f)) for f in ("quantity", "quantity_max", "unit")]))
+    cited = F.transform(ingredients, lambda x, i: F.transform(filled(x["parsed"]), lambda f: cite(F.concat(F.lit("ingredients."), i.cast("string"), F.lit("."), f), x["raw_text"])))
     citations = F.concat(
         F.array(cite(F.lit("title"), r["name"])),
-        F.transform(r["ingredients"], lambda t, i: cite(F.concat(F.lit("ingredients."), i.cast("string"), F.lit(".raw_text")), t)),
+        F.flatten(cited),
         F.transform(r["instructions"], lambda s, i: cite(F.concat(F.lit("steps."), i.cast("string"), F.lit(".text")), s["text"])),
     )
     warnings = F.when(r["has_nutrition"], F.array(F.lit("nutrition_source_retained_in_evidence_not_normalized"))).otherwise(F.array().cast("array<string>"))
@@ -174,73 +176,120 @@ def direct_draft(recipes: Column) -> Column:
     )
 
 
-def valid_citations(citations: Column, sources: Column, artifacts: Column) -> Column:
-    """Citations whose quote stands in a text of their source kind (sources: map<kind, array<text>>), or whose picture is known."""
+def citation_verdicts(citations: Column, sources: Column, artifacts: Column) -> Column:
+    """array<struct<cited, ok>>: ok where the quote stands in a text of its source kind (sources: map<kind, array<text>>), or the picture is known."""
     none = F.array().cast("array<string>")
     in_text = lambda c: F.exists(F.coalesce(F.try_element_at(sources, c["source_kind"]), none), lambda t: F.contains(t, c["quote"]))
     seen = lambda c: F.array_contains(artifacts, F.coalesce(c["artifact_id"], F.lit("")))
-    return F.filter(citations, lambda c: F.coalesce((c["quote"] != "") & F.when(c["source_kind"] == "visual", seen(c)).otherwise(in_text(c)), F.lit(False)))
+    ok = lambda c: F.coalesce((c["quote"] != "") & F.when(c["source_kind"] == "visual", seen(c)).otherwise(in_text(c)), F.lit(False))
+    return F.transform(citations, lambda c: F.struct(c.alias("cited"), ok(c).alias("ok")))
 
 
 def _number_cited(valid: Column, path: Column, value: Column) -> Column:
-    return F.exists(valid, lambda c: (c["field_path"] == path) & ((c["source_kind"] == "visual") | has_number(value, c["quote"])))
+    """Whether a citation of this path has the number, or a picture; an empty value needs none."""
+    return value.isNull() | F.exists(valid, lambda c: (c["field_path"] == path) & ((c["source_kind"] == "visual") | has_number(value, c["quote"])))
+
+
+#: Optional columns of a draft, and what stands for one that is absent.
+OPTIONAL = {
+    "status": "string", "prep_minutes": "int", "cook_minutes": "int", "total_minutes": "int", "servings": "decimal(18,6)", "conflicts": "array<string>", "missing": "array<string>", "warnings": "array<string>",
+    "nutrition": "struct<basis:string,method:string,status:string,kcal:decimal(18,6),protein_g:decimal(18,6),carbs_g:decimal(18,6),fat_g:decimal(18,6)>",
+}
+AMOUNTS, STEP_NUMBERS, DRAFT_NUMBERS = ("quantity", "quantity_max"), ("duration_seconds", "temperature_c", "source_timestamp_seconds"), ("prep_minutes", "cook_minutes", "total_minutes", "servings")
 
 
 def enforce_fidelity(drafts: DataFrame) -> DataFrame:
-    """Drafts with what their evidence doesn't support removed; each rule reads the columns of the rules before it.
+    """Drafts with what their evidence doesn't support removed.
 
-    drafts: id, ingredients array<struct<name, raw_text, quantity, quantity_max, unit, is_estimated, evidence_source>>, steps array<struct<text, duration_seconds>>,
-    citations, sources map<string, array<string>>, artifacts array<string>, servings. Returns id, ingredients, steps, servings, citations, missing (sorted, once
-    each), warnings, status, withheld.
+    drafts: id, ingredients array<struct<name, raw_text, quantity, quantity_max, unit, is_estimated, evidence_source, ...>>, steps array<struct<text, and any of STEP_NUMBERS>>, citations,
+    sources map<string, array<string>>, artifacts array<string>, and any of OPTIONAL: conflicts are the paths of those that a model reported, missing and warnings what is known already.
+    Returns id, ingredients, steps, DRAFT_NUMBERS, nutrition, citations (the valid ones), conflicts, missing (sorted, once each, with the earlier), warnings, status and withheld, whether
+    something that a draft needs has no support. Without a draft (null ingredients) only citations are checked. Verdicts are columns of their own, so each is worked out once a draft.
     """
-    d = drafts.withColumn("valid", valid_citations(F.col("citations"), F.col("sources"), F.col("artifacts")))
-    paths = lambda c: c["field_path"]
-    lost = F.transform(F.filter("citations", lambda c: ~F.array_contains(F.col("valid"), c)), lambda c: F.concat(F.lit("unsupported_field_evidence:"), paths(c)))
-    description = F.get(F.try_element_at("sources", F.lit("description")), F.lit(0))
-    transcript = F.get(F.try_element_at("sources", F.lit("transcript")), F.lit(0))
-
-    def ingredient(x: Column, i: Column) -> Column:
-        path = lambda f: F.concat(F.lit("ingredients."), i.cast("string"), F.lit("." + f))
-        named = F.exists("valid", lambda c: c["field_path"].isin(path("name"), path("raw_text")))
-        quoted = lambda f: F.exists("valid", lambda c: c["field_path"].isin(path(f), path("raw_text")) & ((c["source_kind"] == "visual") | F.contains(F.lower(c["quote"]), F.lower(x[f]))))
-        low = x["quantity"].isNull() | _number_cited(F.col("valid"), path("quantity"), x["quantity"])
-        high = x["quantity_max"].isNull() | _number_cited(F.col("valid"), path("quantity_max"), x["quantity_max"])
-        name_ok, unit_ok = (x["name"] == "") | quoted("name"), x["unit"].isNull() | quoted("unit")
-        clash = conflicting(description, transcript, x["name"])
-        support = path("source_support")
+    for name, kind in OPTIONAL.items():
+        if name not in drafts.columns:
+            drafts = drafts.withColumn(name, F.lit("recipe") if name == "status" else F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    d = drafts.withColumns({"_checked": citation_verdicts(F.col("citations"), F.col("sources"), F.col("artifacts")), "_known": F.coalesce("conflicts", none)})
+    d = d.withColumn("_valid", F.transform(F.filter("_checked", lambda c: c["ok"]), lambda c: c["cited"]))
+    first = lambda kind: F.get(F.try_element_at("sources", F.lit(kind)), F.lit(0))
+
+    # What is cited under each ingredient and step, then the verdicts, then what is left.
+    def parts(name: str) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            at = F.concat(F.lit(name + "."), i.cast("string"), F.lit("."))
+            mine = F.filter("_valid", lambda c: c["field_path"].startswith(at))
+            return F.struct(x.alias("x"), at.alias("at"), mine.alias("cited"))
+
+        return F.transform(name, one)
+
+    d = d.withColumns({"_i": parts("ingredients"), "_s": parts("steps")})
+    both = first("description").isNotNull() & first("transcript").isNotNull()
+
+    def ingredient_verdicts(p: Column) -> Column:
+        x, cited, path = p["x"], p["cited"], lambda f: F.concat(p["at"], F.lit(f))
+        of = lambda *fields: lambda c: c["field_path"].isin(*[path(f) for f in fields])
+        quoted = lambda f: F.exists(cited, lambda c: of(f, "raw_text")(c) & ((c["source_kind"] == "visual") | F.contains(F.lower(c["quote"]), F.lower(x[f]))))
         return F.struct(
-            x["name"].alias("name"), x["raw_text"].alias("raw_text"), F.when(low & ~clash, x["quantity"]).alias("quantity"), F.when(high & ~clash, x["quantity_max"]).alias("quantity_max"),
-            F.when(unit_ok, x["unit"]).alias("unit"), clash.alias("conflict"),
-            F.array_compact(F.array(
-                F.when(x["is_estimated"] | (x["evidence_source"] == "ai_inference"), support), F.when(~low, path("quantity")), F.when(~high, path("quantity_max")), F.when(~named, support),
-                F.when(~name_ok, support), F.when(~unit_ok, path("unit")), F.when(clash, path("quantity")),
-            )).alias("missing"),
+            x.alias("x"), p["at"].alias("at"), *[_number_cited(cited, path(f), x[f]).alias(f) for f in AMOUNTS], F.exists(cited, of("name", "raw_text")).alias("named"),
+            ((F.coalesce(x["name"], F.lit("")) == "") | quoted("name")).alias("name"), ((F.coalesce(x["unit"], F.lit("")) == "") | quoted("unit")).alias("unit"),
+            F.coalesce(x["is_estimated"] | (x["evidence_source"] == "ai_inference"), F.lit(False)).alias("inferred"), F.when(both, conflicting(first("description"), first("transcript"), x["name"])).otherwise(False).alias("clash"),
         )
 
-    def step(x: Column, i: Column) -> Column:
-        path = lambda f: F.concat(F.lit("steps."), i.cast("string"), F.lit("." + f))
-        told = F.exists("valid", lambda c: c["field_path"] == path("text"))
-        timed = x["duration_seconds"].isNull() | _number_cited(F.col("valid"), path("duration_seconds"), x["duration_seconds"])
-        return F.struct(x["text"].alias("text"), F.when(timed, x["duration_seconds"]).alias("duration_seconds"), F.array_compact(F.array(F.when(~told, path("source_support")), F.when(~timed, path("duration_seconds")))).alias("missing"))
-
-    d = d.withColumns({"ingredients": F.transform("ingredients", ingredient), "steps": F.transform("steps", step)})
-    title = F.when(~F.exists("valid", lambda c: c["field_path"] == "title"), F.array(F.lit("title.source_support"))).otherwise(F.array().cast("array<string>"))
-    served = F.col("servings").isNull() | _number_cited(F.col("valid"), F.lit("servings"), F.col("servings"))
-    gaps = lambda c: F.flatten(F.transform(c, lambda x: x["missing"]))
-    clashes = F.transform(F.filter(F.transform("ingredients", lambda x, i: F.when(x["conflict"], i)), lambda i: i.isNotNull()), lambda i: F.concat(F.lit("source_conflict:ingredients."), i.cast("string"), F.lit(".quantity")))
-    d = d.withColumn("missing", F.array_sort(F.array_distinct(F.concat(title, gaps("ingredients"), gaps("steps")))))
-    none = F.array().cast("array<string>")
-    review = F.when(F.size("missing") > 0, F.array(F.lit("source_support_requires_review"))).otherwise(none)
-    dropped = F.when(served, none).otherwise(F.array(F.lit("unsupported_optional_value_removed:servings")))
+    timed = [f for f in STEP_NUMBERS if f in drafts.schema["steps"].dataType.elementType.names]
+
+    def step_verdicts(p: Column) -> Column:
+        path = lambda f: F.concat(p["at"], F.lit(f))
+        return F.struct(p["x"].alias("x"), p["at"].alias("at"), F.exists(p["cited"], lambda c: c["field_path"] == path("text")).alias("told"), *[_number_cited(p["cited"], path(f), p["x"][f]).alias(f) for f in timed])
+
+    d = d.withColumns({"_i": F.transform("_i", ingredient_verdicts), "_s": F.transform("_s", step_verdicts)})
+    d = d.withColumns({f"_{f}": _number_cited(F.col("_valid"), F.lit(f), F.col(f)) for f in DRAFT_NUMBERS})
+    clashes = F.transform(F.filter(F.coalesce("_i", F.array().cast(d.schema["_i"].dataType)), lambda v: v["clash"]), lambda v: F.concat(v["at"], F.lit("quantity")))
+    d = d.withColumns({"_clashes": clashes, "conflicts": F.concat("_known", clashes)})
+
+    def ingredient(v: Column) -> Column:
+        kept = {f: F.when(v[f] & ~v["clash"] & ~_reported(v, f), v["x"][f]) for f in AMOUNTS} | {"unit": F.when(v["unit"] & ~_reported(v, "unit"), v["x"]["unit"])}
+        out = v["x"]
+        for f, c in kept.items():
+            out = out.withField(f, c)
+        return out.withField("conflict", v["clash"])
+
+    def _reported(v: Column, f: str) -> Column:
+        return F.array_contains("_known", F.concat(v["at"], F.lit(f)))
+
+    def step(v: Column) -> Column:
+        out = v["x"]
+        for f in timed:
+            out = out.withField(f, F.when(v[f], v["x"][f]))
+        return out
+
+    support = lambda v: F.concat(v["at"], F.lit("source_support"))
+    lacks = lambda v, fields: [F.when(~v[f], F.concat(v["at"], F.lit(f))) for f in fields]
+    of_ingredient = lambda v: F.array_compact(F.array(F.when(v["inferred"] | ~v["named"] | ~v["name"], support(v)), *lacks(v, (*AMOUNTS, "unit"))))
+    of_step = lambda v: F.array_compact(F.array(F.when(~v["told"], support(v)), *lacks(v, timed)))
+    is_draft = F.col("ingredients").isNotNull()
+    title = F.when(~F.exists("_valid", lambda c: c["field_path"] == "title"), F.array(F.lit("title.source_support"))).otherwise(none)
+    gaps = lambda c, f: F.coalesce(F.flatten(F.transform(c, f)), none)
+    d = d.withColumn("_missing", F.when(is_draft, F.concat(title, gaps("_i", of_ingredient), gaps("_s", of_step), "conflicts")).otherwise(none))
+    d = d.withColumns({"ingredients": F.transform("_i", ingredient), "steps": F.transform("_s", step)} | {f: F.when(F.col(f"_{f}") | ~is_draft, F.col(f)) for f in DRAFT_NUMBERS})
+    d = d.withColumn("_label", nutrition_rules(F.col("nutrition"), F.col("servings"), F.col("_valid")))
+
+    named = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
+    lost = F.transform(F.filter("_checked", lambda c: ~c["ok"]), lambda c: F.concat(F.lit("unsupported_field_evidence:"), c["cited"]["field_path"]))
+    dropped = F.array_compact(F.array(*[F.when(~F.col(f"_{f}"), F.lit("unsupported_optional_value_removed:" + f)) for f in DRAFT_NUMBERS]))
+    review = F.when(F.size("_missing") > 0, F.array(F.lit("source_support_requires_review"))).otherwise(none)
+    of_draft = F.concat(named("source_conflict:", "_clashes"), dropped, named("source_conflict:", "conflicts"), "_label.warnings", review)
+    earlier = F.coalesce("missing", none)
     return d.select(
         "id",
-        F.transform("ingredients", lambda x: x.dropFields("missing")).alias("ingredients"),
-        F.transform("steps", lambda x: x.dropFields("missing")).alias("steps"),
-        F.when(served, F.col("servings")).alias("servings"),
-        F.col("valid").alias("citations"),
-        "missing",
-        F.concat(lost, clashes, dropped, review).alias("warnings"),
-        F.when(F.size("missing") > 0, "partial").otherwise("recipe").alias("status"),
-        F.exists("missing", lambda m: m.endswith("source_support")).alias("withheld"),
+        "ingredients",
+        "steps",
+        *DRAFT_NUMBERS,
+        F.when(is_draft, F.col("_label.nutrition")).alias("nutrition"),
+        F.col("_valid").alias("citations"),
+        "conflicts",
+        F.when(F.size("_missing") > 0, F.array_sort(F.array_distinct(F.concat(earlier, "_missing")))).otherwise(earlier).alias("missing"),
+        F.concat(F.coalesce("warnings", none), lost, F.when(is_draft, of_draft).otherwise(none)).alias("warnings"),
+        F.when(F.size("_missing") > 0, "partial").otherwise(F.col("status")).alias("status"),
+        F.exists("_missing", lambda m: m.endswith("source_support")).alias("withheld"),
     )
-

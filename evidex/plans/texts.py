@@ -238,7 +238,7 @@ def recipe_steps(spark: SparkSession, d: str) -> DataFrame:
     return r.select("page_id", place.cast("bigint").alias("copy_no"), F.array_join(F.transform("steps", lambda s: s["text"]), "|").alias("steps"), F.array_join("ingredients", "|").alias("ingredients"), F.try_element_at("durations_seconds", F.lit("cookTime")).alias("cook_seconds"))
 
 
-@query("SELECT page_id, page_id % 4 IN (0, 1) AS direct, CASE WHEN page_id % 4 IN (0, 1) THEN 2 END AS steps, CASE WHEN page_id % 4 IN (0, 1) THEN 5 END AS citations, CASE WHEN page_id % 4 IN (0, 1) THEN 20 END AS cook_minutes FROM pages WHERE page_id % 4 <> 3")
+@query("SELECT page_id, page_id % 4 IN (0, 1) AS direct, CASE WHEN page_id % 4 IN (0, 1) THEN 2 END AS steps, CASE WHEN page_id % 4 IN (0, 1) THEN CASE WHEN page_id % 9 = 0 THEN 7 ELSE 9 END END AS citations, CASE WHEN page_id % 4 IN (0, 1) THEN 20 END AS cook_minutes FROM pages WHERE page_id % 4 <> 3")
 def direct_draft(spark: SparkSession, d: str) -> DataFrame:
     r = jsonld.normalised(_recipes(spark, d).where(F.col("node").isNotNull()))
     one = F.struct("name", "description", "ingredients", F.col("steps").alias("instructions"), F.col("yield_text").alias("recipe_yield"), "durations_seconds", "has_nutrition")
@@ -278,20 +278,68 @@ def topk_thumbnail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.collect_list(t).alias("t")).select("user_id", subtitles.largest_thumbnail(F.col("t")).alias("url"))
 
 
-@query(f"""SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, missing, concat_ws(',', CASE WHEN l_linenumber = 5 THEN 'unsupported_field_evidence:ingredients.0.quantity' END, CASE WHEN missing <> '' THEN 'source_support_requires_review' END) AS warnings,
-  CASE WHEN missing <> '' THEN 'partial' ELSE 'recipe' END AS status, l_linenumber = 7 AS withheld, CASE WHEN l_linenumber <> 5 THEN regexp_extract(line, '^(\\d+)', 1)::DOUBLE END AS quantity FROM (SELECT *, concat_ws(',', CASE WHEN l_linenumber = 5 THEN 'ingredients.0.quantity' END,
-  CASE WHEN l_linenumber = 7 THEN 'ingredients.0.source_support' END, CASE WHEN NOT contains(lower(line), 'g') THEN 'ingredients.0.unit' END, CASE WHEN l_linenumber = 3 THEN 'steps.0.duration_seconds' END) AS missing FROM ({LINES_SQL}))""")
+NUM = "len(list_filter(regexp_extract_all(quote, '\\d{{1,12}}(?:[.,]\\d{{1,6}})?'), lambda x: replace(x, ',', '.')::DECIMAL(18,6) = {})) > 0"
+STATED = "regexp_extract({}, '(?i)\\d{{1,8}}(?:[.,]\\d{{1,6}})?\\s{{0,4}}(?:kg|g|ml|l|oz|tsp|tbsp)\\s{{1,4}}' || regexp_escape(name))"
+FIDELITY_SQL = f"""
+WITH d AS (
+  SELECT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_linenumber AS n, line, regexp_extract(line, '^(\\d+)', 1)::DECIMAL(18,6) AS q, regexp_extract(line, '^\\S+ \\S+ (.*)$', 1) AS name,
+    line || '. Stir at 180 C for 20 min. Contains 50 kcal per 100 g' AS description, CASE WHEN l_linenumber = 6 THEN 'Take ' || (l_suppkey % 9) || ' g ' || regexp_extract(line, '^\\S+ \\S+ (.*)$', 1) END AS transcript,
+    CASE WHEN l_linenumber = 3 THEN 60 END AS duration, CASE WHEN l_linenumber % 2 = 0 THEN 180 ELSE 190 END AS temperature, CASE WHEN l_suppkey % 2 = 0 THEN 20 ELSE 25 END AS cook, CASE WHEN l_linenumber = 4 THEN 4 END AS served,
+    CASE WHEN l_linenumber = 1 THEN 60 WHEN l_linenumber <> 4 THEN 50 END AS kcal, CASE WHEN l_linenumber = 2 THEN 'estimate' ELSE 'source_label' END AS method, CASE WHEN l_suppkey % 5 = 0 THEN ['ingredients.0.unit', 'title'] ELSE [] END AS reported, l_linenumber = 7 AS estimated
+  FROM ({LINES_SQL})
+), c AS (
+  SELECT id, u.x.path AS path, u.x.quote AS quote, u.x.k AS k FROM d, unnest([struct_pack(k := 1, path := 'title', quote := line), struct_pack(k := 2, path := 'ingredients.0.raw_text', quote := line),
+    struct_pack(k := 3, path := 'ingredients.0.quantity', quote := CASE WHEN n = 5 THEN 'elsewhere' ELSE line END), struct_pack(k := 4, path := 'steps.0.text', quote := CASE WHEN n = 1 THEN 'stirred' ELSE 'Stir' END),
+    struct_pack(k := 5, path := 'steps.0.temperature_c', quote := '180 C'), struct_pack(k := 6, path := 'cook_minutes', quote := 'for 20 min'), struct_pack(k := 7, path := 'nutrition.kcal', quote := '50 kcal per 100 g')]) AS u(x)
+), v AS (SELECT c.* FROM c JOIN d USING (id) WHERE quote <> '' AND contains(description, quote)
+), lost AS (SELECT id, list('unsupported_field_evidence:' || path ORDER BY k) AS lost FROM c ANTI JOIN v USING (id, k) GROUP BY id
+), g AS (
+  SELECT id, coalesce(bool_or(path = 'title'), false) AS title, coalesce(bool_or(path = 'ingredients.0.quantity' AND {NUM.format("q")}), false) AS low, coalesce(bool_or(path IN ('ingredients.0.name', 'ingredients.0.raw_text')), false) AS named,
+    coalesce(bool_or(path IN ('ingredients.0.name', 'ingredients.0.raw_text') AND contains(lower(quote), lower(name))), false) AS name_ok, coalesce(bool_or(path IN ('ingredients.0.unit', 'ingredients.0.raw_text') AND contains(lower(quote), 'g')), false) AS unit_ok,
+    coalesce(bool_or(path = 'steps.0.text'), false) AS told, duration IS NULL OR coalesce(bool_or(path = 'steps.0.duration_seconds' AND {NUM.format("duration")}), false) AS timed, coalesce(bool_or(path = 'steps.0.temperature_c' AND {NUM.format("temperature")}), false) AS heated,
+    coalesce(bool_or(path = 'cook_minutes' AND {NUM.format("cook")}), false) AS cooked, served IS NULL OR coalesce(bool_or(path = 'servings' AND {NUM.format("served")}), false) AS serves,
+    coalesce(bool_or(starts_with(path, 'nutrition.')), false) AS label, coalesce(bool_or(starts_with(path, 'nutrition.') AND regexp_matches(quote, '(?i)100\\s*g')), false) AS basis, coalesce(bool_or(path = 'nutrition.kcal' AND {NUM.format("kcal")}), false) AS counted
+  FROM d LEFT JOIN v USING (id) GROUP BY id, duration, served
+), b AS (
+  SELECT d.*, g.* EXCLUDE (id), coalesce(lost, []) AS lost, coalesce({STATED.format("description")} <> '' AND {STATED.format("transcript")} <> '' AND lower({STATED.format("description")}) <> lower({STATED.format("transcript")}), false) AS clash,
+    CASE WHEN kcal IS NULL THEN NULL WHEN method <> 'source_label' OR NOT label THEN 'nutrition_estimation_not_requested_or_unsupported' WHEN NOT basis THEN 'nutrition_basis_unresolved' END AS no_label
+  FROM d JOIN g USING (id) LEFT JOIN lost USING (id)
+), k AS (SELECT *, list_concat(reported, CASE WHEN clash THEN ['ingredients.0.quantity'] ELSE [] END) AS conflicts FROM b
+), m AS (
+  SELECT *, list_concat(list_filter([CASE WHEN NOT title THEN 'title.source_support' END, CASE WHEN estimated OR NOT named OR NOT name_ok THEN 'ingredients.0.source_support' END, CASE WHEN NOT low THEN 'ingredients.0.quantity' END, CASE WHEN NOT unit_ok THEN 'ingredients.0.unit' END,
+    CASE WHEN NOT told THEN 'steps.0.source_support' END, CASE WHEN NOT timed THEN 'steps.0.duration_seconds' END, CASE WHEN NOT heated THEN 'steps.0.temperature_c' END], lambda x: x IS NOT NULL), conflicts) AS missing FROM k
+)
+SELECT id, array_to_string(list_sort(list_distinct(missing)), ',') AS missing,
+  array_to_string(list_concat(lost, list_filter([CASE WHEN clash THEN 'source_conflict:ingredients.0.quantity' END, CASE WHEN NOT cooked THEN 'unsupported_optional_value_removed:cook_minutes' END, CASE WHEN NOT serves THEN 'unsupported_optional_value_removed:servings' END], lambda x: x IS NOT NULL),
+    list_transform(conflicts, lambda x: 'source_conflict:' || x), list_filter([CASE WHEN kcal IS NOT NULL AND no_label IS NULL AND NOT counted THEN 'unsupported_nutrition_removed:kcal' ELSE no_label END, CASE WHEN len(missing) > 0 THEN 'source_support_requires_review' END], lambda x: x IS NOT NULL)), ',') AS warnings,
+  CASE WHEN len(missing) > 0 THEN 'partial' ELSE 'recipe' END AS status, len(list_filter(missing, lambda x: ends_with(x, 'source_support'))) > 0 AS withheld, CASE WHEN low AND NOT clash AND NOT list_contains(conflicts, 'ingredients.0.quantity') THEN q END::DOUBLE AS quantity,
+  CASE WHEN unit_ok AND NOT list_contains(conflicts, 'ingredients.0.unit') THEN 'g' END AS unit, CASE WHEN heated THEN temperature END::DOUBLE AS temperature, CASE WHEN cooked THEN cook END AS cook_minutes, CASE WHEN serves THEN served END::DOUBLE AS servings,
+  CASE WHEN no_label IS NULL AND counted THEN kcal END::DOUBLE AS kcal FROM m"""
+
+
+@query(FIDELITY_SQL)
 def fidelity(spark: SparkSession, d: str) -> DataFrame:
-    """Drafts of one line item each, whose citations are right, wrong or missing by their number."""
-    n = F.col("l_linenumber")
+    """Drafts of one line item each, whose citations, numbers and reports are right, wrong or missing by their number and supplier."""
+    n, s = F.col("l_linenumber"), F.col("l_suppkey")
     cite = lambda path, quote: F.struct(F.lit(path).alias("field_path"), F.lit("description").alias("source_kind"), quote.alias("quote"), F.lit(None).cast("string").alias("artifact_id"))
-    amount, none = F.regexp_extract("line", r"^(\d+)", 1), F.lit(None).cast("decimal(18,6)")
-    item = F.struct(F.regexp_extract("line", r" (\S+)$", 1).alias("name"), F.col("line").alias("raw_text"), amount.try_cast("decimal(18,6)").alias("quantity"), none.alias("quantity_max"), F.lit("g").alias("unit"), (n == 7).alias("is_estimated"), F.lit("source_text").alias("evidence_source"))
-    step = F.struct(F.lit("Stir.").alias("text"), F.when(n == 3, 60).alias("duration_seconds"))
+    amount, name, number, none = F.regexp_extract("line", r"^(\d+)", 1), F.regexp_extract("line", r"^\S+ \S+ (.*)$", 1), "decimal(18,6)", F.array().cast("array<string>")
+    missing = F.lit(None).cast(number)
+    item = F.struct(name.alias("name"), F.col("line").alias("raw_text"), amount.try_cast(number).alias("quantity"), missing.alias("quantity_max"), F.lit("g").alias("unit"), (n == 7).alias("is_estimated"), F.lit("source_text").alias("evidence_source"))
+    step = F.struct(F.lit("Stir.").alias("text"), F.when(n == 3, 60).alias("duration_seconds"), F.when(n % 2 == 0, 180).otherwise(190).cast(number).alias("temperature_c"))
+    label = F.struct(F.lit("per_100g").alias("basis"), F.when(n == 2, "estimate").otherwise("source_label").alias("method"), F.lit("partial").alias("status"), F.when(n == 1, 60).otherwise(50).cast(number).alias("kcal"), *[missing.alias(x) for x in evidence.NUTRIENTS[1:]])
+    described, spoken = F.concat("line", F.lit(". Stir at 180 C for 20 min. Contains 50 kcal per 100 g")), F.concat(F.lit("Take "), (s % 9).cast("string"), F.lit(" g "), name)
+    text_of = lambda kind, c: F.struct(F.lit(kind).alias("k"), F.array(c).alias("v"))
     drafts = lines(spark, d).select(
-        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.array(item).alias("ingredients"), F.array(step).alias("steps"),
-        F.array(cite("title", F.col("line")), cite("ingredients.0.raw_text", F.col("line")), cite("ingredients.0.quantity", F.when(n == 5, "elsewhere").otherwise(F.col("line"))), cite("steps.0.text", F.lit("Stir."))).alias("citations"),
-        F.create_map(F.lit("description"), F.array(F.concat("line", F.lit(". Stir.")))).alias("sources"), F.array().cast("array<string>").alias("artifacts"), none.alias("servings"),
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.array(item).alias("ingredients"), F.array(step).alias("steps"), F.when(s % 2 == 0, 20).otherwise(25).alias("cook_minutes"), F.when(n == 4, 4).cast(number).alias("servings"),
+        F.array(
+            cite("title", F.col("line")), cite("ingredients.0.raw_text", F.col("line")), cite("ingredients.0.quantity", F.when(n == 5, "elsewhere").otherwise(F.col("line"))), cite("steps.0.text", F.when(n == 1, "stirred").otherwise("Stir")),
+            cite("steps.0.temperature_c", F.lit("180 C")), cite("cook_minutes", F.lit("for 20 min")), cite("nutrition.kcal", F.lit("50 kcal per 100 g")),
+        ).alias("citations"),
+        F.map_from_entries(F.when(n == 6, F.array(text_of("description", described), text_of("transcript", spoken))).otherwise(F.array(text_of("description", described)))).alias("sources"), none.alias("artifacts"),
+        F.when(s % 5 == 0, F.array(F.lit("ingredients.0.unit"), F.lit("title"))).alias("conflicts"), F.when(n != 4, label).alias("nutrition"),
+    )
+    out, one = evidence.enforce_fidelity(drafts), F.get("ingredients", F.lit(0))
+    return out.select(
+        "id", F.array_join("missing", ",").alias("missing"), F.array_join("warnings", ",").alias("warnings"), "status", "withheld", one["quantity"].cast("double").alias("quantity"), one["unit"].alias("unit"),
+        F.get("steps", F.lit(0))["temperature_c"].cast("double").alias("temperature"), "cook_minutes", F.col("servings").cast("double").alias("servings"), F.col("nutrition.kcal").cast("double").alias("kcal"),
     )
-    out = evidence.enforce_fidelity(drafts)
-    return out.select("id", F.array_join("missing", ",").alias("missing"), F.array_join("warnings", ",").alias("warnings"), "status", "withheld", F.get("ingredients", F.lit(0))["quantity"].cast("double").alias("quantity"))

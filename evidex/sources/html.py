@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from evidex.functions.urls import public_url
 
+from . import jsonld
+
 #: Elements, roles and names that aren't part of the main text.
 HIDDEN_TAGS = frozenset("script style noscript nav header footer aside form svg iframe".split())
 HIDDEN_ROLES = frozenset(("navigation", "banner", "complementary"))
@@ -22,75 +24,93 @@ SCHEMA = "struct<title:string,description:string,author:string,thumbnail:string,
 
 
 class Page(HTMLParser):
-    """Collects metadata, JSON-LD and text pieces with the chain of open elements they stand in."""
+    """Collects metadata, JSON-LD and text pieces; ``open`` has the tags that are open, ``hidden`` how many of them hide their text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
-        self.meta: dict[str, str] = {}
+        self.count: dict[str, int] = {}
+        self.hidden = 0
+        self.meta: dict[tuple[str, str], str] = {}
         self.language: str | None = None
-        self.title: list[str] = []
+        self.title: list[str] | None = None
         self.scripts: list[str] = []
         self.pieces: dict[str, list[str]] = {"main": [], "article": [], "body": [], "": []}
         self.json_ld = False
-        self.chosen: dict[str, int | None] = {"main": None, "article": None}
-        self.seen = set()
+        #: Of each kind of element that may hold the main text, the depth of the first one while it is open; those that were seen.
+        self.inside: dict[str, int] = {}
+        self.seen: set[str] = set()
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "html" and self.language is None and a.get("lang", "").strip():
             self.language = a["lang"].strip()
         if tag == "meta":
-            for key in (a.get("property"), a.get("name")):
-                if key and a.get("content", "").strip():
-                    self.meta.setdefault(key, a["content"])
+            for kind in ("property", "name"):
+                if a.get(kind):
+                    self.meta.setdefault((kind, a[kind]), a.get("content", ""))
         if tag == "script":
             self.json_ld = a.get("type", "").lower().startswith("application/ld+json")
             if self.json_ld:
                 self.scripts.append("")
         if tag in VOID:
             return
-        hidden = tag in HIDDEN_TAGS or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in HIDDEN_ROLES or bool(HIDDEN_NAMES.search(a.get("class", "") + " " + a.get("id", "")))
-        if tag in self.chosen and not hidden and not any(h for _, h in self.open) and tag not in self.seen:
+        hides = tag in HIDDEN_TAGS or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in HIDDEN_ROLES or bool(HIDDEN_NAMES.search(a.get("class", "") + " " + a.get("id", "")))
+        if tag == "title" and self.title is None:
+            self.title = []
+            self.inside["title"] = len(self.open)
+        if tag in ("main", "article", "body") and tag not in self.seen and not hides and not self.hidden:
             self.seen.add(tag)
-            self.chosen[tag] = len(self.open)
-        self.open.append((tag, hidden))
+            self.inside[tag] = len(self.open)
+        self.open.append((tag, hides))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.hidden += hides
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
-        for t, depth in self.chosen.items():
-            if depth is not None and len(self.open) <= depth:
-                self.chosen[t] = None
+        if not self.count.get(tag):
+            return
+        while True:
+            name, hides = self.open.pop()
+            self.count[name] -= 1
+            self.hidden -= hides
+            if name == tag:
+                break
+        for kind in [k for k, depth in self.inside.items() if len(self.open) <= depth]:
+            del self.inside[kind]
 
     def handle_data(self, data):
-        tags = [t for t, _ in self.open]
-        if self.json_ld and tags[-1:] == ["script"]:
+        if self.json_ld and self.open and self.open[-1][0] == "script":
             self.scripts[-1] += data
-        if "title" in tags:
-            self.title.append(data)
         text = data.strip()
-        if not text or any(h for _, h in self.open):
+        if not text:
+            return
+        if "title" in self.inside:
+            self.title.append(text)
+        if self.hidden:
             return
-        for t in self.chosen:
-            if self.chosen[t] is not None:
-                self.pieces[t].append(text)
-        if "head" not in tags:
-            self.pieces["body" if "body" in tags else ""].append(text)
+        for kind in ("main", "article", "body"):
+            if kind in self.inside:
+                self.pieces[kind].append(text)
+        self.pieces[""].append(text)
+
+    def named(self, *names: str) -> str | None:
+        """The content of the first name that has one; the first tag by property goes before those by name."""
+        for name in names:
+            value = self.meta.get(("property", name), self.meta.get(("name", name)))
+            if value and value.strip():
+                return value
+        return None
 
     def result(self) -> dict:
-        m = self.meta
-        pieces = self.pieces["main"] or self.pieces["article"] or self.pieces["body"] or self.pieces[""]
-        title = " ".join(x.strip() for x in self.title if x.strip()) or None
+        kind = next((k for k in ("main", "article", "body") if k in self.seen), "")
         return {
-            "title": m.get("og:title") or title,
-            "description": m.get("og:description") or m.get("description"),
-            "author": m.get("author") or m.get("article:author"),
-            "thumbnail": m.get("og:image"),
+            "title": self.named("og:title") or " ".join(self.title or ()) or None,
+            "description": self.named("og:description", "description"),
+            "author": self.named("author", "article:author"),
+            "thumbnail": self.named("og:image"),
             "language": self.language,
             "scripts": self.scripts,
-            "main_text": "\n".join(pieces) or None,
+            "main_text": "\n".join(self.pieces[kind]) or None,
         }
 
 
@@ -102,7 +122,7 @@ def read_page(html: str | None) -> dict:
 
 
 def extract(pages: DataFrame, *, html: str = "html", out: str = "page") -> DataFrame:
-    """pages with a struct ``out`` (SCHEMA) and warnings; thumbnails keep their public form only."""
+    """pages with a struct ``out``: SCHEMA, the main element's text being that of main, else article, else body, else all; thumbnails keep their public form only."""
 
     @F.arrow_udf(SCHEMA)
     def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -112,3 +132,9 @@ def extract(pages: DataFrame, *, html: str = "html", out: str = "page") -> DataF
     return pages.withColumn(out, parse(F.col(html))).withColumn(out, F.col(out).withField("thumbnail", public_url(F.col(f"{out}.thumbnail"))))
 
 
+def evidence(pages: DataFrame, *, html: str = "html", out: str = "page") -> DataFrame:
+    """pages with ``out`` as ``extract`` gives it and recipes, warnings and status (partial where a script couldn't be read) beside it."""
+    rows = extract(pages, html=html, out=out).withColumn("_read", jsonld.found(F.col(f"{out}.scripts")))
+    read = F.col("_read")
+    more = F.struct(F.col(f"{out}.*"), read["recipes"].alias("recipes"), jsonld.page_warnings(read).alias("warnings"), jsonld.page_status(read).alias("status"))
+    return rows.withColumn(out, more).drop("_read")

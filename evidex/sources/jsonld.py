@@ -1,87 +1,190 @@
-"""Recipes in JSON-LD: nodes found by a recursive query over VARIANTs, then normalised natively.
+"""Recipes in JSON-LD scripts: found at any depth, their instructions laid out in order, then normalised as Columns.
 
-``@graph`` and nested lists and objects are walked level by level; the walk doesn't go below a recipe and stops at a depth of 30, which is flagged.
+The walk over a script is a small function of its text, in Arrow batches, because JSON nests to any depth; it uses a stack of its own, is linear in
+the script, doesn't go below a recipe, and stops with a warning below ``DEPTH``. Everything about a recipe's fields is native.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.nulls import blank_to_null
 from evidex.functions.text import iso_seconds
+from evidex.functions.urls import public_url
 
 DEPTH = 30
 DURATIONS = ("prepTime", "cookTime", "totalTime")
-
-
-def has_type(node: Column, kind: str) -> Column:
-    """Whether a node's @type, a string or a list of them, names this kind, with or without an address before it."""
-    one = F.try_variant_get(node, "$['@type']", "string")
-    many = F.try_variant_get(node, "$['@type']", "array<string>")
-    last = lambda t: F.element_at(F.split(t, "/"), -1)
-    return F.coalesce(F.exists(F.coalesce(many, F.array(one)), lambda t: last(t) == kind), F.lit(False))
-
-
-def recipe_nodes(scripts: DataFrame, *, key: str = "page_id", text: str = "script", depth: int = DEPTH) -> DataFrame:
-    """(key, script_no, node VARIANT, invalid, depth_limit): the recipes of each script; one row without a node for a script that is no JSON or has none.
-
-    scripts: key, script_no, text. Each level is one projection over the rows still open; the loop runs over levels, of which there are few.
-    """
-    parsed = scripts.select(key, "script_no", F.try_parse_json(F.regexp_replace(text, r"(?<=[:\[,])\s*-?(?:NaN|Infinity)(?=\s*[,\]}])", "null")).alias("v"))
-    bad = parsed.where(F.col("v").isNull()).select(key, "script_no", F.lit(None).cast("variant").alias("node"), F.lit(True).alias("invalid"), F.lit(False).alias("depth_limit"))
-    view = "_jsonld_open"
-    parsed.where(F.col("v").isNotNull()).createOrReplaceTempView(view)
-    kind = "(schema_of_variant({v}) LIKE 'ARRAY%' OR schema_of_variant({v}) LIKE 'OBJECT%')"
-    recipe = (
-        "coalesce(exists(coalesce(try_variant_get({v}, '$[\"@type\"]', 'array<string>'), array(try_variant_get({v}, '$[\"@type\"]', 'string'))), t -> element_at(split(t, '/'), -1) = 'Recipe'), false)"
-    )
-    found = scripts.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, script_no, v, d, hit) AS (
-          SELECT {key}, script_no, v, 0, {recipe.format(v="v")} FROM {view}
-          UNION ALL
-          SELECT w.id, w.script_no, e.value, w.d + 1, {recipe.format(v="e.value")}
-          FROM walk w, LATERAL variant_explode(w.v) AS e WHERE NOT w.hit AND w.d < {depth} AND {kind.format(v="e.value")}
-        ) SELECT id AS {key}, script_no, v AS node, false AS invalid, d >= {depth} AS depth_limit FROM walk WHERE hit OR d >= {depth}""")
-    return found.unionByName(bad)
-
-
-def text_of(value: Column) -> Column:
-    return blank_to_null(value)
+#: Warnings of pages.
+INVALID, TOO_DEEP, STEPS_TOO_DEEP, NO_RECIPE, SEVERAL = "invalid_json_ld", "json_ld_depth_limit", "json_ld_steps_depth_limit", "no_recipe_json_ld", "multiple_recipes_select_before_mapping"
+STEPS = "array<struct<text:string,section:string>>"
+FOUND = f"struct<recipes:array<struct<node:string,steps:{STEPS}>>,warnings:array<string>>"
+ARROW = pa.struct([("recipes", pa.list_(pa.struct([("node", pa.string()), ("steps", pa.list_(pa.struct([("text", pa.string()), ("section", pa.string())])))]))), ("warnings", pa.list_(pa.string()))])
+
+
+class TooDeep(Exception):
+    """Carries the warning of a script that nests too deep."""
+
+
+def is_kind(node: dict, kind: str) -> bool:
+    """Whether @type, a string or a list, names this kind, with or without an address before it."""
+    named = node.get("@type")
+    return any(isinstance(t, str) and t.split("/")[-1] == kind for t in (named if isinstance(named, list) else [named]))
+
+
+def recipes_in(document) -> Iterator[dict]:
+    """The recipes of a parsed script in its order."""
+    todo = [(document, 0)]
+    while todo:
+        value, depth = todo.pop()
+        if depth > DEPTH:
+            raise TooDeep(TOO_DEEP)
+        if isinstance(value, dict) and is_kind(value, "Recipe"):
+            yield value
+            continue
+        below = value.values() if isinstance(value, dict) else value
+        todo += [(x, depth + 1) for x in reversed(list(below)) if isinstance(x, (dict, list))]
+
+
+class Pieces(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+        self.hidden = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden = tag if tag in ("script", "style") else self.hidden
+
+    def handle_endtag(self, tag):
+        self.hidden = "" if tag == self.hidden else self.hidden
+
+    def handle_data(self, data):
+        if not self.hidden and data.strip():
+            self.found.append(data.strip())
+
+
+def plain(text: str) -> str:
+    """A text without its markup, pieces parted by a space."""
+    if "<" not in text and "&" not in text:
+        return text.strip()
+    pieces = Pieces()
+    pieces.feed(text)
+    pieces.close()
+    return " ".join(pieces.found)
+
+
+def steps_of(instructions) -> list[dict]:
+    """Instructions of any nesting in order: strings, lists, steps with text, items or a name, and sections, whose name goes with what they hold."""
+    out: list[dict] = []
+    todo = [(instructions, None, 0)]
+    while todo:
+        value, section, depth = todo.pop()
+        if depth > DEPTH:
+            raise TooDeep(STEPS_TOO_DEEP)
+        if isinstance(value, str):
+            if body := plain(value):
+                out.append({"text": body, "section": section})
+        elif isinstance(value, list):
+            todo += [(x, section, depth + 1) for x in reversed(value)]
+        elif isinstance(value, dict) and is_kind(value, "HowToSection"):
+            name = value.get("name")
+            todo.append((value.get("itemListElement"), name.strip() or None if isinstance(name, str) else None, depth + 1))
+        elif isinstance(value, dict):
+            inner = next((value[k] for k in ("text", "itemListElement", "name") if value.get(k)), None)
+            todo.append((inner, section, depth + 1))
+    return out
+
+
+def read_scripts(scripts: list[str | None] | None) -> dict:
+    """FOUND of a page's scripts; a script that can't be read to its end gives a warning and what was found before."""
+    recipes, warnings = [], []
+    for text in scripts or []:
+        try:
+            for node in recipes_in(json.loads(text or "", parse_constant=lambda _: None)):
+                steps = steps_of(node.get("recipeInstructions"))
+                recipes.append({"node": json.dumps(node, ensure_ascii=False, separators=(",", ":")).encode(errors="replace").decode(), "steps": steps})
+        except TooDeep as e:
+            warnings.append(str(e))
+        except (ValueError, RecursionError):
+            warnings.append(INVALID)
+    return {"recipes": recipes, "warnings": warnings}
+
+
+def found(scripts: Column) -> Column:
+    """FOUND of each row's scripts (array<string>)."""
+
+    @F.arrow_udf(FOUND)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield pa.array([read_scripts(x) for x in rows.to_pylist()], ARROW)
+
+    return read(scripts)
+
+
+def page_warnings(read: Column) -> Column:
+    """The warnings of a page by what ``found`` gave, with those for no recipe or several."""
+    n = F.size(read["recipes"])
+    more = F.when(n == 0, F.array(F.lit(NO_RECIPE))).when(n > 1, F.array(F.lit(SEVERAL))).otherwise(F.array().cast("array<string>"))
+    return F.concat(read["warnings"], more)
+
+
+def page_status(read: Column) -> Column:
+    return F.when(F.size(read["warnings"]) > 0, "partial").otherwise("ok")
+
+
+def recipe_nodes(scripts: DataFrame, *, key: str = "page_id", text: str = "script") -> DataFrame:
+    """(key, script_no, node VARIANT, steps, invalid, depth_limit): the recipes of each script (key, script_no, text); one row without a node for a script that has none."""
+    read = scripts.select(key, "script_no", found(F.array(text)).alias("f"))
+    flags = [F.array_contains("f.warnings", INVALID).alias("invalid"), (F.exists("f.warnings", lambda w: w.isin(TOO_DEEP, STEPS_TOO_DEEP))).alias("depth_limit")]
+    return read.select(key, "script_no", F.explode_outer("f.recipes").alias("r"), *flags).select(key, "script_no", F.parse_json("r.node").alias("node"), "r.steps", "invalid", "depth_limit")
+
+
+def scrubbed(document: Column) -> Column:
+    """A JSON text whose address values keep their public form only; other addresses become null. Keys stay."""
+    address = r'"(https?://(?:[^"\\]|\\.)*)"(?!\s*:)'
+    each = F.array_distinct(F.regexp_extract_all(document, F.lit(address), F.lit(1)))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    swap = lambda doc, u: F.regexp_replace(doc, F.concat(F.lit(r'"\Q'), u, F.lit(r'\E"(?!\s*:)')), F.coalesce(F.regexp_replace(quoted(public_url(u)), r"([\\$])", r"\\$1"), F.lit("null")))
+    return F.aggregate(each, document, swap)
 
 
 def normalised(nodes: DataFrame, *, key: str = "page_id") -> DataFrame:
-    """nodes with name, description, ingredients, steps array<struct<text, section>>, yield_text, durations and durations_seconds."""
+    """nodes with name, description, ingredients, steps, yield_text (a text or number), yield_json (any), durations, durations_seconds, nutrition and raw (JSON, addresses scrubbed)."""
     get = lambda path, kind="string": F.try_variant_get("node", f"$.{path}", kind)
-    listed, single = get("recipeIngredient", "array<string>"), get("recipeIngredient")
-    texts = [get(d) for d in DURATIONS]
-    pairs = lambda f: F.map_from_entries(F.array_compact(F.array(*[F.when(f(blank_to_null(t)).isNotNull(), F.struct(F.lit(d).alias("k"), f(blank_to_null(t)).alias("v"))) for d, t in zip(DURATIONS, texts, strict=True)])))
+    is_kind_of = lambda path, kind: F.coalesce(F.schema_of_variant(get(path, "variant")).startswith(kind), F.lit(False))
+    each = F.transform(get("recipeIngredient", "array<variant>"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    single = F.when(is_kind_of("recipeIngredient", "STRING"), get("recipeIngredient"))
+    texts = [F.when(is_kind_of(d, "STRING"), blank_to_null(get(d))) for d in DURATIONS]
+    pairs = lambda f: F.map_from_entries(F.array_compact(F.array(*[F.when(f(t).isNotNull(), F.struct(F.lit(d).alias("k"), f(t).alias("v"))) for d, t in zip(DURATIONS, texts, strict=True)])))
+    compound = is_kind_of("recipeYield", "ARRAY") | is_kind_of("recipeYield", "OBJECT")
+    given = get("recipeYield", "variant")
+    has = lambda path: F.when(is_kind_of(path, "STRING"), blank_to_null(get(path)))
+    nutrition = F.when(is_kind_of("nutrition", "OBJECT"), get("nutrition", "variant"))
     return nodes.select(
         key,
         "script_no",
-        blank_to_null(get("name")).alias("name"),
-        blank_to_null(get("description")).alias("description"),
-        F.coalesce(listed, F.when(single.isNotNull(), F.array(single)), F.array().cast("array<string>")).alias("ingredients"),
-        steps(F.try_variant_get("node", "$.recipeInstructions", "variant")).alias("steps"),
-        get("recipeYield").alias("yield_text"),
+        has("name").alias("name"),
+        has("description").alias("description"),
+        F.coalesce(F.array_compact(each), F.when(single.isNotNull(), F.array(single)), F.array().cast("array<string>")).alias("ingredients"),
+        F.coalesce("steps", F.array().cast(STEPS)).alias("steps"),
+        F.when(~compound, get("recipeYield")).alias("yield_text"),
+        F.when(~is_kind_of("recipeYield", "VOID"), F.to_json(given)).alias("yield_json"),
         pairs(lambda t: t).alias("durations"),
         pairs(iso_seconds).alias("durations_seconds"),
-        F.try_variant_get("node", "$.nutrition", "variant").isNotNull().alias("has_nutrition"),
+        (nutrition.isNotNull() & (F.to_json(nutrition) != "{}")).alias("has_nutrition"),
+        scrubbed(F.to_json(nutrition)).alias("nutrition"),
+        scrubbed(F.to_json("node")).alias("raw"),
     )
 
 
-def _plain(text: Column) -> Column:
-    return blank_to_null(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))
-
-
-def steps(value: Column) -> Column:
-    """Instructions as array<struct<text, section>>: a string, a list of strings or objects, or sections whose name carries down to their items."""
-    obj = lambda v, p: F.try_variant_get(v, p, "string")
-    one = lambda t, s: F.struct(_plain(t).alias("text"), s.alias("section"))
-    none = F.lit(None).cast("string")
-    item = lambda v, s: one(F.coalesce(F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string") if hasattr(v, "try_cast") else none), obj(v, "$.text"), obj(v, "$.name")), s)
-    inner = lambda v, s: F.transform(F.coalesce(F.try_variant_get(v, "$.itemListElement", "array<variant>"), F.array(v)), lambda x: item(x, s))
-    many = F.try_variant_get(value, "$", "array<variant>")
-    flat = F.flatten(F.transform(many, lambda v: inner(v, F.when(has_type(v, "HowToSection"), blank_to_null(obj(v, "$.name"))))))
-    whole = F.when(value.isNull(), F.array().cast("array<struct<text:string,section:string>>")).when(many.isNotNull(), flat).otherwise(inner(value, F.when(has_type(value, "HowToSection"), blank_to_null(obj(value, "$.name")))))
-    return F.filter(whole, lambda s: s["text"].isNotNull())
+def completeness(recipe: dict[str, Column]) -> Column:
+    """Which parts a normalised recipe has. recipe: name, ingredients, steps, yield_json, has_nutrition."""
+    return F.struct(
+        recipe["name"].isNotNull().alias("name"), (F.size(recipe["ingredients"]) > 0).alias("ingredients"), (F.size(recipe["steps"]) > 0).alias("instructions"),
+        recipe["yield_json"].isNotNull().alias("yield"), F.coalesce(recipe["has_nutrition"], F.lit(False)).alias("nutrition"),
+    )

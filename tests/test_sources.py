@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from evidex.operators import evidence
 from evidex.sources import html, jsonld, subtitles
 
+LD = '<script type="application/ld+json">{"@type":"Recipe","name":"x"}</script>'
 RECIPE = {
     "@type": "https://schema.org/Recipe", "name": " Bread ", "recipeIngredient": ["200 g flour", "water"], "recipeYield": "4", "prepTime": "PT5M", "cookTime": "PT20M", "totalTime": "soon", "nutrition": {"kcal": 1},
     "recipeInstructions": [{"@type": "HowToSection", "name": "Cocción", "itemListElement": [{"@type": "HowToStep", "text": "Mix <b>all</b>."}, {"name": "Bake."}]}],
@@ -35,13 +36,67 @@ def test_recipes_are_normalised_and_mapped(spark):
     assert b.ingredients == ["salt"] and [tuple(s) for s in b.steps] == [("Stir well .", None)]
     one = F.array(F.struct("name", "description", "ingredients", F.col("steps").alias("instructions"), F.col("yield_text").alias("recipe_yield"), "durations_seconds", "has_nutrition"))
     d = n.where("page_id = 0").select(evidence.direct_draft(one).alias("d")).first().d
-    assert d.ingredients[0].parsed.quantity == 200 and d.steps[0].text.startswith("Cocción: ") and (d.prep_minutes, d.cook_minutes, d.total_minutes) == (5, 20, None) and len(d.field_evidence) == 5
+    assert d.ingredients[0].parsed.quantity == 200 and d.steps[0].text.startswith("Cocción: ") and (d.prep_minutes, d.cook_minutes, d.total_minutes) == (5, 20, None)
+    assert [c.field_path for c in d.field_evidence] == ["title", *[f"ingredients.0.{f}" for f in ("raw_text", "name", "quantity", "unit")], *[f"ingredients.1.{f}" for f in ("raw_text", "name")], "steps.0.text", "steps.1.text"]
 
 
 PAGE = """<html lang="es"><head><title>A <b></title><meta property="og:title" content="Og"><meta name="description" content="D"><meta property="og:image" content="https://i.example/x.jpg?sig=1">
 <script type="application/ld+json">{"a":1}</script><script>var x;</script></head><body><nav>menu</nav><div class="ads">ad</div><main><p>Kept&amp;</p><div hidden>no</div><aside>no</aside> text</main><footer>f</footer></body></html>"""
 
 
+def test_instructions_of_any_nesting_keep_their_order(spark):
+    deep = "z"
+    for _ in range(40):
+        deep = [deep]
+    value = [
+        "One &amp; only.",
+        {"@type": "HowToSection", "name": " Dough ", "itemListElement": [{"@type": "HowToStep", "itemListElement": [{"@type": "HowToDirection", "text": "Two."}, {"text": "Three."}]}, [["Four."]], {"name": "Five."}]},
+        {"@type": "HowToSection", "name": "Oven", "itemListElement": {"text": "Six<br>six."}},
+        {"text": "", "name": "Seven."}, 8, None, {"itemListElement": []},
+    ]
+    rows = [RECIPE | {"recipeInstructions": value}, RECIPE | {"recipeInstructions": None}, [RECIPE, RECIPE | {"recipeInstructions": deep}, RECIPE]]
+    got = {}
+    for r in jsonld.normalised(jsonld.recipe_nodes(scripts(spark, *rows)).where("node is not null")).collect():
+        got.setdefault(r.page_id, []).append([tuple(x) for x in r.steps])
+    assert got[0] == [[("One & only.", None), ("Two.", "Dough"), ("Three.", "Dough"), ("Four.", "Dough"), ("Five.", "Dough"), ("Six six.", "Oven"), ("Seven.", None)]]
+    assert got[1] == [[]] and len(got[2]) == 1  # a script is read up to what nests too deep
+
+
+def test_yields_ingredients_and_addresses(spark):
+    odd = {"@type": ["Thing", "Recipe"], "name": 7, "recipeIngredient": ["a", 3, {"x": 1}, "b"], "nutrition": {"url": "https://h.example/p?sig=1&id=x#f", "bad": "http://10.0.0.1/", "https://key.example/?a=1": "t"}, "image": ["https://u:p@h.example/", "https://h.example/i.png?w=9"], "description": " "}
+    values = [odd | {"recipeYield": y} for y in ("4 cups", 4, ["4", "6"], {"value": 4}, None)] + [odd, odd | {"recipeIngredient": None, "nutrition": {}}, odd | {"recipeIngredient": {"x": 1}, "nutrition": "n"}]
+    got = jsonld.normalised(jsonld.recipe_nodes(scripts(spark, *values))).orderBy("page_id").collect()
+    assert [(r.yield_text, r.yield_json) for r in got[:6]] == [("4 cups", '"4 cups"'), ("4", "4"), (None, '["4","6"]'), (None, '{"value":4}'), (None, None), (None, None)]
+    assert got[0].name is None and got[0].description is None and got[0].ingredients == ["a", "b"] and got[6].ingredients == got[7].ingredients == []
+    assert json.loads(got[0].nutrition) == {"url": "https://h.example/p?id=x", "bad": None, "https://key.example/?a=1": "t"} and json.loads(got[0].raw)["image"] == [None, "https://h.example/i.png"]
+    assert [r.has_nutrition for r in got[5:]] == [True, False, False]
+
+
+@pytest.mark.parametrize(
+    ("html_text", "warnings", "status"),
+    [
+        ("<p>none</p>", ["no_recipe_json_ld"], "ok"), ('<script type="application/ld+json">{broken</script>' + LD, ["invalid_json_ld"], "partial"), (LD + LD, ["multiple_recipes_select_before_mapping"], "ok"), (LD, [], "ok"), (None, ["no_recipe_json_ld"], "ok"),
+        ('<script type="application/ld+json">' + "[" * 40 + "]" * 40 + "</script>", ["json_ld_depth_limit", "no_recipe_json_ld"], "partial"),
+    ],
+)
+def test_warnings_and_status_of_pages(spark, html_text, warnings, status):
+    p = html.evidence(spark.createDataFrame([(1, html_text)], "page_id int, html string")).first().page
+    assert (p.warnings, p.status) == (warnings, status)
+
+
+@pytest.mark.parametrize(
+    ("page", "title", "text", "description"),
+    [
+        ("<title>Real</title><body><svg><title>Icon</title></svg>x", "Real", "x", None), ("<body><main> </main><article>a</article>", None, None, None), ("<title>T</title>only", "T", "T\nonly", None),
+        ("<meta name=og:title content=named><meta property=og:title content=' '><title>t</title><body>b", "t", "b", None), ("<meta name=description content=n><meta property=description content=p><body>b", None, "b", "p"),
+        ("<body><main hidden>h</main><main>m</main><main>n</main>", None, "m", None), ("<body><main>m<article>a</article></main><article>b</article>", None, "m\na", None), ("<div>" * 20_000 + "deep", None, "deep", None),
+    ],
+)
+def test_titles_names_and_main_elements(page, title, text, description):
+    got = html.read_page(page)
+    assert (got["title"], got["main_text"], got["description"]) == (title, text, description)
+
+
 def test_pages(spark):
     rows = [(1, PAGE), (2, "<p>only"), (3, None), (4, "<article>art</article><p>x</p>")]
     got = {r.page_id: r.page for r in html.extract(spark.createDataFrame(rows, "page_id int, html string")).collect()}
@@ -53,7 +108,7 @@ def test_pages(spark):
 @pytest.mark.parametrize(
     ("body", "ext", "want"),
     [
-        ("WEBVTT\nKind: captions\nLanguage: es\n\n1\n00:00 --> 00:01\n<c.x>Hola</c> &amp; <i>adi&oacute;s\n\n", "vtt", "Hola & adi&oacute;s"), ("1\r\n00:00 --> 00:01\r\nuno\r\n2\r\n00:01 --> 00:02\r\ndos\r\n", "srt", "uno\ndos"), ("no cues", "vtt", None),
+        ("WEBVTT\nKind: captions\nLanguage: es\n\n1\n00:00 --> 00:01\n<c.x>Hola</c> &amp; <i>adi&oacute;s&nbsp;&#x21;\n\n", "vtt", "Hola & adiós\xa0!"), ("1\r\n00:00 --> 00:01\r\nuno\r\n2\r\n00:01 --> 00:02\r\ndos\r\n", "srt", "uno\ndos"), ("no cues", "vtt", None),
         ('{"events":[{"segs":[{"utf8":"a"},{"utf8":"b"}]},{"tStartMs":1},{"segs":[{"utf8":"c"}]}]}', "json3", "ab\n\nc"), ("-->\n" + "<" * 100_000, "vtt", "<" * 100_000), ("x", "ass", None), (None, "vtt", None),
     ],
 )
