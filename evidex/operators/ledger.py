@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidex.functions.money import conservative, never_refunded, replaced
 
+from .folds import fold_rows
+
 SUM = "decimal(38,8)"
 
 
@@ -39,15 +41,17 @@ def daily_quota(jobs: DataFrame, *, as_of: Column, most_a_day: int) -> DataFrame
 def admit(requests: DataFrame, *, owner: str, order: list[str], amount: str, limit: int) -> DataFrame:
     """Requests with ``admitted``: in order, each is let in if what was let in before plus its amount is at most limit; a refused one uses nothing.
 
-    Not a running sum, so it folds over each owner's requests in order; an owner's requests must fit in a task.
+    Not a running sum, since what is let in depends on what was refused, so it folds over each owner's requests in order.
     """
-    entries = requests.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(*order, amount))).alias("_all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<boolean>").alias("flags"))
-    fits = lambda acc, x: acc["spent"] + x[amount] <= limit
-    step = lambda acc, x: F.struct((acc["spent"] + F.when(fits(acc, x), x[amount]).otherwise(0)).alias("spent"), F.array_append(acc["flags"], fits(acc, x)).alias("flags"))
-    folded = entries.withColumn("_flags", F.aggregate("_all", start, step, lambda acc: acc["flags"]))
-    each = folded.select(owner, F.explode(F.arrays_zip("_all", "_flags")).alias("x"))
-    return each.select(owner, *[F.col(f"x._all.{c}") for c in dict.fromkeys([*order, amount])], F.col("x._flags").alias("admitted"))
+    columns = list(dict.fromkeys([owner, *order, amount]))
+    schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns) + ", admitted boolean"
+
+    def step(held: dict, r: dict) -> list[tuple]:
+        fits = held["spent"] + r[amount] <= limit if r[amount] is not None else False
+        held["spent"] += r[amount] if fits else 0
+        return [(*[r[c] for c in columns], fits)]
+
+    return fold_rows(requests.select(*columns), [owner], order, schema, lambda: {"spent": 0}, step)
 
 
 def operations_metrics(jobs: DataFrame, heartbeats: DataFrame, usage: DataFrame, *, as_of: Column, live_seconds: int = 90) -> DataFrame:
@@ -69,8 +73,3 @@ def operations_metrics(jobs: DataFrame, heartbeats: DataFrame, usage: DataFrame,
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by a total order."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_last")).select(*keys, "_last.*")
-
-
-def running_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -1,8 +1,7 @@
 """Operation logs folded into state and receipts.
 
-Each log is grouped by its owner (or owner and target) and folded in order by a small per-group function in Arrow-fed tasks; an owner's operations must fit
-in a task, as they are serialised by nature. A fold yields one receipt an operation, with the outcome or error code, and the state at its end.
-A failed operation leaves no receipt behind, so its id may be used again.
+Each log is dealt by its owner and folded in order (folds.fold_rows). A fold yields one receipt an operation, with the outcome or error code. A failed operation leaves no
+receipt behind, so its id may be used again; only receipts of ids that occur more than once are held in the fold, so its state is that of the owner's targets.
 """
 
 from __future__ import annotations
@@ -12,10 +11,11 @@ import re
 from collections.abc import Callable
 from decimal import Decimal, InvalidOperation
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_rows
+
 #: Error codes of the operations.
 BAD_SHAPE, REUSED, GONE, STALE, MISSING = "22023", "23505", "P0001", "40001", "P0002"
 
@@ -26,36 +26,36 @@ class Refused(Exception):
     """An operation that fails with a code and changes nothing."""
 
 
-def fold(log: DataFrame, apply: Callable[[dict, dict], dict], *, keys: tuple[str, ...] = ("owner",)) -> DataFrame:
+def fold(log: DataFrame, apply: Callable[[dict, dict], dict]) -> DataFrame:
     """RECEIPT rows of a log (owner, seq, operation_id, kind, payload JSON), by ``apply(state, operation) -> result``.
 
     An operation id seen before replays its stored result if its request is the same, and fails with REUSED if not.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        receipts: dict[str, tuple[tuple, dict]] = {}
-        rows = []
-        for op in group.sort_values(["seq", "operation_id"]).to_dict("records"):
-            request = (op["kind"], canonical(op["payload"]))
-            try:
-                if op["operation_id"] is None:
-                    raise Refused(BAD_SHAPE)
-                if op["operation_id"] in receipts:
-                    known, result = receipts[op["operation_id"]]
-                    if known != request:
-                        raise Refused(REUSED)
-                    outcome = "replayed"
-                else:
-                    result = apply(state, op | {"payload": loaded(op["payload"])})
+    often = F.count("*").over(Window.partitionBy("owner", "operation_id")) > 1
+    rows = log.select("owner", "seq", "operation_id", "kind", "payload", often.alias("often"))
+
+    def step(held: tuple[dict, dict], op: dict) -> list[tuple]:
+        state, receipts = held
+        head = (op["owner"], op["seq"], op["operation_id"])
+        try:
+            if op["operation_id"] is None:
+                raise Refused(BAD_SHAPE)
+            request = (op["kind"], canonical(op["payload"])) if op["often"] else None
+            if request and op["operation_id"] in receipts:
+                known, result = receipts[op["operation_id"]]
+                if known != request:
+                    raise Refused(REUSED)
+                outcome = "replayed"
+            else:
+                result = apply(state, op | {"payload": loaded(op["payload"])})
+                if request:
                     receipts[op["operation_id"]] = (request, result)
-                    outcome = "applied"
-                rows.append((op["owner"], op["seq"], op["operation_id"], outcome, None, result.get("id"), result.get("revision"), json.dumps(result, sort_keys=True, ensure_ascii=False, default=str)))
-            except Refused as e:
-                rows.append((op["owner"], op["seq"], op["operation_id"], "error", str(e), None, None, None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RECEIPT.split(", ")]).astype({"seq": "int64", "revision": "Int64"})
+                outcome = "applied"
+            return [(*head, outcome, None, result.get("id"), result.get("revision"), json.dumps(result, sort_keys=True, ensure_ascii=False, default=str))]
+        except Refused as e:
+            return [(*head, "error", str(e), None, None, None)]
 
-    return log.select("owner", "seq", "operation_id", "kind", "payload", *[k for k in keys if k != "owner"]).groupBy(*keys).applyInPandas(run, RECEIPT)
+    return fold_rows(rows, ["owner"], ["seq", "operation_id"], RECEIPT, lambda: ({}, {}), step)
 
 
 def loaded(payload: str | None) -> dict:
@@ -192,9 +192,27 @@ def plain(raw: str) -> str:
     return WEIGHT.sub("", raw).strip().lower()
 
 
+def can_merge(item: dict, product: tuple) -> bool:
+    """Whether a weight of the product adds to this item."""
+    known = item["quantity"] is not None and item["quantity_max"] is None and item["unit"] == "g"
+    return known and not item["deleted"] and not item["checked"] and (item["name"].lower(), item["preparation"]) == product and plain(item["raw_text"]) == product[0]
+
+
+def file_under(by_product: dict, items: dict, key: str) -> None:
+    """Lists an item under its product in the order of time and id, which is the order of merging."""
+    item = items[key]
+    place = (item["at"], item["id"])
+    held = by_product.setdefault((item["name"].lower(), item["preparation"]), [])
+    at = len(held)
+    while at and (items[held[at - 1]]["at"], held[at - 1]) > place:  # nearly always the last
+        at -= 1
+    if not at or held[at - 1] != key:
+        held.insert(at, key)
+
+
 def shopping(state: dict, op: dict) -> dict:
     """add merges weights of one product; edit and delete need the revision; checked doesn't; nothing revives a deleted item."""
-    p, items = op["payload"], state.setdefault("items", {})
+    p, items, by_product = op["payload"], state.setdefault("items", {}), state.setdefault("by_product", {})
     if p.get("id") is None or len(json.dumps(p, ensure_ascii=False).encode()) > 32_000 or p.keys() - SHOPPING_KEYS:
         raise Refused(BAD_SHAPE)
     held = items.get(p["id"])
@@ -208,13 +226,14 @@ def shopping(state: dict, op: dict) -> dict:
             unit, low, high = "g", low and low * 1000, high and high * 1000
         name, raw = (p.get("name") or "").strip(), p.get("raw_text") or ""
         source = {"operation_id": op["operation_id"], "raw_text": raw}
+        product = (name.lower(), p.get("preparation"))
         if low is not None and high is None and unit == "g" and plain(raw) == name.lower():
-            for other in sorted(items.values(), key=lambda x: (x["at"], x["id"])):
-                same = other["name"].lower() == name.lower() and other["preparation"] == p.get("preparation") and other["unit"] == "g"
-                if same and not other["deleted"] and not other["checked"] and other["quantity"] is not None and other["quantity_max"] is None and plain(other["raw_text"]) == other["name"].lower():
+            for other in (items[i] for i in by_product.get(product, ())):
+                if can_merge(other, product):
                     other.update(quantity=other["quantity"] + low, revision=other["revision"] + 1, sources=[*other["sources"], source])
                     return dict(other)
         items[p["id"]] = {"id": p["id"], "name": name, "raw_text": raw, "quantity": low, "quantity_max": high, "unit": unit, "preparation": p.get("preparation"), "checked": False, "notes": p.get("notes"), "deleted": False, "revision": 1, "sources": [source], "at": int(op["seq"])}
+        file_under(by_product, items, p["id"])
         return dict(items[p["id"]])
     if op["kind"] not in ("edit", "checked", "delete"):
         raise Refused(BAD_SHAPE)
@@ -225,6 +244,7 @@ def shopping(state: dict, op: dict) -> dict:
     match op["kind"]:
         case "edit":
             held.update(name=(p.get("name") or "").strip(), quantity=amount(p.get("quantity")), quantity_max=amount(p.get("quantity_max")), unit=p.get("unit"), notes=p.get("notes"))
+            file_under(by_product, items, p["id"])
         case "checked":
             held["checked"] = bool(p.get("checked"))
         case "delete":
@@ -268,24 +288,22 @@ def reservations(requests: DataFrame, *, limits: dict[str, Decimal], most_attemp
     within the job's limit, equality included.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        spent, last, tries, rows = Decimal(0), {}, {}, []
-        for r in group.sort_values("seq").to_dict("records"):
-            prior, stage = last.get(r["stage"]), r["stage"]
-            if prior and prior["settled"] == "succeeded":
-                outcome = "reuse"
-            elif prior and (tries[stage] >= most_attempts or stage == "stt" or prior["settled"] == "uncertain" or not prior["transient"]):
-                outcome = "provider_down"
-            elif r["amount"] is None or r["amount"] <= 0 or spent + r["amount"] > limits["job"]:
-                outcome = "budget_exhausted"
-            else:
-                spent += r["amount"]
-                last[stage], tries[stage] = r, tries.get(stage, 0) + 1
-                outcome = "reserved"
-            rows.append((r["job"], r["seq"], outcome, spent))
-        return pd.DataFrame(rows, columns=["job", "seq", "outcome", "spent"])
+    def step(held: dict, r: dict) -> list[tuple]:
+        prior, stage, last, tries = held["last"].get(r["stage"]), r["stage"], held["last"], held["tries"]
+        if prior and prior["settled"] == "succeeded":
+            outcome = "reuse"
+        elif prior and (tries[stage] >= most_attempts or stage == "stt" or prior["settled"] == "uncertain" or not prior["transient"]):
+            outcome = "provider_down"
+        elif r["amount"] is None or r["amount"] <= 0 or held["spent"] + r["amount"] > limits["job"]:
+            outcome = "budget_exhausted"
+        else:
+            held["spent"] += r["amount"]
+            last[stage], tries[stage] = r, tries.get(stage, 0) + 1
+            outcome = "reserved"
+        return [(r["job"], r["seq"], outcome, held["spent"])]
 
-    return requests.groupBy("job").applyInPandas(run, f"job {requests.schema['job'].dataType.simpleString()}, seq bigint, outcome string, spent decimal(14,8)")
+    schema = f"job {requests.schema['job'].dataType.simpleString()}, seq bigint, outcome string, spent decimal(14,8)"
+    return fold_rows(requests, ["job"], ["seq"], schema, lambda: {"spent": Decimal(0), "last": {}, "tries": {}}, step)
 
 
 def states(receipts: DataFrame) -> DataFrame:
@@ -304,16 +322,16 @@ def job_states(events: DataFrame) -> DataFrame:
 
     moves = job_machine()
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        status, attempts, token, refused = "queued", 0, 0, 0
-        for e in group.sort_values("seq").to_dict("records"):
-            to = moves.get((status, e["event"]))
-            if to is None or e["event"] in ("finish", "fail", "retry") and e["token"] != token:
-                refused += 1
-                continue
+    def step(held: dict, e: dict) -> list[tuple]:
+        to = moves.get((held["status"], e["event"]))
+        if to is None or e["event"] in ("finish", "fail", "retry") and e["token"] != held["token"]:
+            held["refused"] += 1
+        else:
             if e["event"] == "claim":
-                attempts, token = attempts + 1, token + 1
-            status = to
-        return pd.DataFrame([(group["job"].iloc[0], status, attempts, token, refused)], columns=["job", "status", "attempts", "fencing_token", "refused"])
+                held.update(attempts=held["attempts"] + 1, token=held["token"] + 1)
+            held["status"] = to
+        return []
 
-    return events.groupBy("job").applyInPandas(one, f"job {events.schema['job'].dataType.simpleString()}, status string, attempts bigint, fencing_token bigint, refused bigint")
+    schema = f"job {events.schema['job'].dataType.simpleString()}, status string, attempts bigint, fencing_token bigint, refused bigint"
+    begin = lambda: {"status": "queued", "attempts": 0, "token": 0, "refused": 0}
+    return fold_rows(events, ["job"], ["seq"], schema, begin, step, lambda held, e: [(e["job"], held["status"], held["attempts"], held["token"], held["refused"])])

@@ -233,7 +233,62 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(facts, cases).select("case_id", "facts", "correct", "omitted", "changed", "serious_errors", "score")
 
 
-# --- operation logs: folds, held by golden tests and checked on rows only ----------------------------------------------------------
+# --- operation logs: folds; their SQL walks each owner's log by recursion ----------------------------------------------------------
+
+
+#: An event's operation, its place in its owner's log, and whether the owner's operation before it has the same id.
+OPS_SQL = "SELECT user_id::VARCHAR AS owner, event_id AS seq, 'op' || (event_id - CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type, ts FROM events"
+
+RECEIPTS_SQL = f"""WITH RECURSIVE e AS (
+  SELECT owner, seq, op, n, CASE seq % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'tag' WHEN 2 THEN 'collect' ELSE 'save' END AS kind, 't' || (seq % 6) AS id, 'r' || (seq % 9) AS title, event_type AS step, CASE WHEN seq % 2 = 0 THEN seq % 3 + 1 END AS expected FROM ({OPS_SQL})
+), f AS (
+  SELECT DISTINCT owner, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS op, '' AS outcome, NULL::VARCHAR AS error_code, NULL::VARCHAR AS target, NULL::BIGINT AS revision, NULL::VARCHAR AS result,
+    []::STRUCT(id VARCHAR, title VARCHAR, step VARCHAR, made VARCHAR, revision BIGINT, deleted BOOLEAN, tagged BOOLEAN)[] AS recipes, []::STRUCT(id VARCHAR, revision BIGINT)[] AS collections FROM e
+  UNION ALL
+  SELECT owner, n, seq, op, CASE WHEN code IS NULL THEN 'applied' ELSE 'error' END, code, CASE WHEN code IS NULL THEN id END, CASE WHEN code IS NULL THEN coalesce(next.revision, c) END,
+    CASE WHEN code IS NOT NULL THEN NULL WHEN kind = 'collect' THEN '{{"id": "' || id || '", "name": null, "revision": ' || c || '}}' WHEN kind = 'tag' THEN '{{"collections": ["c1", "c2"], "id": "' || id || '", "revision": ' || next.revision || '}}'
+      ELSE '{{"deleted": ' || next.deleted || ', "doc": {{"ingredients": [{{"name": "salt"}}], "steps": [{{"text": "' || next.step || '"}}], "title": "' || next.title || '"}}, "id": "' || id || '", "revision": ' || next.revision || '}}' END,
+    CASE WHEN code IS NULL AND kind <> 'collect' THEN list_append(list_filter(recipes, lambda x: x.id <> next.id), next) ELSE recipes END,
+    CASE WHEN code IS NULL AND kind = 'collect' THEN list_append(list_filter(collections, lambda x: x.id <> seen.id), struct_pack(id := seen.id, revision := c)) ELSE collections END
+  FROM (
+    SELECT *, struct_pack(id := id) AS seen, coalesce(held_collection.revision, 0) + 1 AS c,
+      CASE kind WHEN 'delete' THEN CASE WHEN held.deleted THEN held ELSE struct_pack(id := id, title := held.title, step := held.step, made := held.made, revision := held.revision + 1, deleted := true, tagged := false) END
+        WHEN 'tag' THEN struct_pack(id := id, title := held.title, step := held.step, made := held.made, revision := held.revision, deleted := held.deleted, tagged := true)
+        WHEN 'save' THEN CASE WHEN held IS NULL THEN struct_pack(id := id, title := title, step := step, made := title || step, revision := 1::BIGINT, deleted := false, tagged := false) WHEN expected IS NULL THEN held
+          ELSE struct_pack(id := id, title := title, step := step, made := held.made, revision := held.revision + 1, deleted := false, tagged := held.tagged) END END AS next,
+      CASE WHEN again THEN '23505'
+        WHEN kind = 'save' THEN CASE WHEN held IS NOT NULL AND expected IS NULL AND held.made <> title || step THEN '23505' WHEN held.deleted THEN 'P0001' WHEN held.revision <> expected THEN '40001' WHEN held IS NULL AND expected IS NOT NULL THEN 'P0002' END
+        WHEN kind = 'delete' THEN CASE WHEN held IS NULL THEN 'P0002' WHEN held.deleted THEN NULL WHEN held.revision IS DISTINCT FROM expected THEN '40001' END
+        WHEN kind = 'tag' THEN CASE WHEN held IS NULL OR held.deleted THEN 'P0002' WHEN held.tagged THEN '40001' END
+        ELSE CASE WHEN held_collection.revision IS DISTINCT FROM expected AND held_collection IS NOT NULL THEN '40001' WHEN held_collection IS NULL AND expected IS NOT NULL THEN 'P0002' END END AS code
+    FROM (SELECT e.*, f.recipes, f.collections, f.op = e.op AND f.outcome = 'applied' AS again, list_filter(f.recipes, lambda x: x.id = e.id)[1] AS held, list_filter(f.collections, lambda x: x.id = e.id)[1] AS held_collection FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)
+  )
+), receipts AS (SELECT owner, seq, op AS operation_id, outcome, error_code, target, revision, result FROM f WHERE n > 0) """
+
+SUBMIT_SQL = f"""WITH RECURSIVE e AS (
+  SELECT owner, seq, op, n, event_type = 'view' AS finish, 'k' || (seq % 40) AS key, 'h' || (seq % 80) AS hash, strftime(ts, '%Y-%m-%d') AS day FROM ({OPS_SQL})
+), f AS (
+  SELECT DISTINCT owner, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS op, '' AS outcome, NULL::VARCHAR AS error_code, NULL::VARCHAR AS target, []::STRUCT(key VARCHAR, hash VARCHAR, day VARCHAR, active BOOLEAN)[] AS jobs FROM e
+  UNION ALL
+  SELECT owner, n, seq, op, CASE WHEN code IS NULL THEN 'applied' ELSE 'error' END, code, CASE WHEN code IS NULL THEN CASE WHEN finish THEN key ELSE owner || '/' || key END END,
+    CASE WHEN code IS NOT NULL THEN jobs WHEN finish THEN list_transform(jobs, lambda j: struct_pack(key := j.key, hash := j.hash, day := j.day, active := j.active AND j.key <> key)) WHEN held IS NULL THEN list_append(jobs, struct_pack(key := key, hash := hash, day := day, active := true)) ELSE jobs END
+  FROM (
+    SELECT *, CASE WHEN again THEN '23505' WHEN finish THEN CASE WHEN held IS NULL THEN 'P0002' END WHEN held IS NOT NULL THEN CASE WHEN held.hash <> hash THEN 'idempotency_conflict' END
+      WHEN len(list_filter(jobs, lambda j: j.active)) >= 5 OR len(list_filter(jobs, lambda j: j.day = today)) >= 10 THEN '429' END AS code
+    FROM (SELECT e.*, e.day AS today, f.jobs, f.op = e.op AND f.outcome = 'applied' AS again, list_filter(f.jobs, lambda j: j.key = e.key)[1] AS held FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)
+  )
+) SELECT owner, seq, op AS operation_id, outcome, error_code, target FROM f WHERE n > 0"""
+
+MACHINE_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id * 1000 + event_id % 9 AS job, CASE event_type WHEN 'click' THEN 'claim' WHEN 'error' THEN 'retry' WHEN 'view' THEN 'finish' ELSE 'fail' END AS event, CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END AS token,
+    row_number() OVER (PARTITION BY user_id, event_id % 9 ORDER BY event_id) AS n FROM events
+), f AS (
+  SELECT DISTINCT job, 0::BIGINT AS n, 'queued' AS status, 0::BIGINT AS attempts, 0::BIGINT AS refused FROM e
+  UNION ALL
+  SELECT e.job, e.n, CASE WHEN e.event = 'claim' AND f.status = 'queued' THEN 'running' WHEN f.status = 'running' AND e.token = f.attempts THEN CASE e.event WHEN 'finish' THEN 'succeeded' WHEN 'fail' THEN 'failed' WHEN 'retry' THEN 'queued' ELSE f.status END ELSE f.status END,
+    f.attempts + CASE WHEN e.event = 'claim' AND f.status = 'queued' THEN 1 ELSE 0 END, f.refused + CASE WHEN e.event = 'claim' THEN CASE WHEN f.status = 'queued' THEN 0 ELSE 1 END WHEN f.status = 'running' AND e.token = f.attempts THEN 0 ELSE 1 END
+  FROM f JOIN e ON e.job = f.job AND e.n = f.n + 1
+) SELECT job, status, attempts, attempts AS fencing_token, refused FROM f QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1"""
 
 
 def _log(spark: SparkSession, d: str, kind, payload) -> DataFrame:
@@ -250,12 +305,12 @@ def _recipes(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d, kind, payload)
 
 
-@query()
+@query(RECEIPTS_SQL + "SELECT * FROM receipts")
 def op_receipts(spark: SparkSession, d: str) -> DataFrame:
     return oplog.fold(_recipes(spark, d), oplog.library)
 
 
-@query()
+@query(RECEIPTS_SQL + "SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(result, seq) AS result, count(*) AS changes FROM receipts WHERE outcome = 'applied' GROUP BY owner, target")
 def recipe_state(spark: SparkSession, d: str) -> DataFrame:
     return oplog.states(op_receipts(spark, d))
 
@@ -273,7 +328,7 @@ def shopping_state(spark: SparkSession, d: str) -> DataFrame:
     return s.select("owner", "target", "revision", F.get_json_object("result", "$.quantity").cast("double").alias("quantity"), "changes")
 
 
-@query()
+@query(SUBMIT_SQL)
 def job_submit(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     payload = F.to_json(F.struct(F.concat(F.lit("k"), (i % 40).cast("string")).alias("key"), F.concat(F.lit("h"), (i % 80).cast("string")).alias("hash"), F.date_format("ts", "yyyy-MM-dd").alias("day")))
@@ -281,7 +336,7 @@ def job_submit(spark: SparkSession, d: str) -> DataFrame:
     return oplog.fold(_log(spark, d, kind, payload), oplog.submitter(most_active=5)).select("owner", "seq", "operation_id", "outcome", "error_code", "target")
 
 
-@query()
+@query(MACHINE_SQL)
 def job_states(spark: SparkSession, d: str) -> DataFrame:
     """A queue's jobs are owners, their events what happened to them; a fifth of the tokens are stale."""
     kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "error", "retry").when(F.col("event_type") == "view", "finish").otherwise("fail")
