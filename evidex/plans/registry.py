@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, reports, texts
+from . import contracts, relational, reports, texts
 
-MODULES = (reports, relational, texts)
+MODULES = (reports, relational, texts, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
