@@ -34,8 +34,17 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(prints: list[tuple], bits: int = 2) -> dict[int, set]:
-    """Index of a row to the set of indices it reaches."""
+def shingles(text: str | None, size: int = 5) -> frozenset:
+    w = simhash_words(text)
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def alike(a: frozenset, b: frozenset, percent: int = 80) -> bool:
+    return a == b or 100 * len(a & b) >= percent * len(a | b)
+
+
+def components(prints: list[tuple], bits: int = 2, also: list[frozenset] | None = None) -> dict[int, set]:
+    """Index of a row to the set of indices it reaches, by fingerprints of at most ``bits`` differing bits or, with shingle sets, by their likeness."""
     up = list(range(len(prints)))
 
     def root(i):
@@ -45,7 +54,7 @@ def components(prints: list[tuple], bits: int = 2) -> dict[int, set]:
 
     for i in range(len(prints)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= bits:
+            if bin(prints[i] ^ prints[j]).count("1") <= bits or also and alike(also[i], also[j]):
                 up[root(i)] = root(j)
     out: dict[int, set] = {}
     for i in range(len(prints)):
