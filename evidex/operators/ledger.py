@@ -73,3 +73,31 @@ def operations_metrics(jobs: DataFrame, heartbeats: DataFrame, usage: DataFrame,
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by a total order."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_last")).select(*keys, "_last.*")
+
+
+def session_ledger(calls: DataFrame, *, budget: float) -> DataFrame:
+    """(session, seq, outcome, committed): each call of a benchmark session in order. calls: session, seq, stage, reservation, cost, failed.
+
+    A stage's first call is let in while what is committed (the greater of reservation and cost, never refunded) and its reservation keep the budget; it ends complete, over_reservation
+    (complete, but its cost is above what was reserved) or uncertain. A later call of a complete stage is replayed, of an uncertain one refused: it needs a person's review.
+    """
+
+    def step(held: dict, r: dict) -> list[tuple]:
+        known = held["stages"].get(r["stage"])
+        if known:
+            outcome = "replayed" if known == "complete" else "review_required"
+        elif r["reservation"] is None or not 0 < r["reservation"] < float("inf"):
+            outcome = "model_price_unknown"
+        elif held["committed"] + r["reservation"] > budget:
+            outcome = "budget_exhausted"
+        elif r["failed"]:
+            held["stages"][r["stage"]], outcome = "uncertain", "uncertain"
+            held["committed"] += r["reservation"]
+        else:
+            held["stages"][r["stage"]] = "complete"
+            outcome = "over_reservation" if r["cost"] is not None and r["cost"] > r["reservation"] else "complete"
+            held["committed"] += max(r["reservation"], r["cost"] or 0)
+        return [(r["session"], r["seq"], outcome, held["committed"])]
+
+    schema = f"session {calls.schema['session'].dataType.simpleString()}, seq bigint, outcome string, committed {calls.schema['reservation'].dataType.simpleString()}"
+    return fold_rows(calls.select("session", "seq", "stage", "reservation", "cost", "failed"), ["session"], ["seq"], schema, lambda: {"stages": {}, "committed": 0}, step)

@@ -124,3 +124,21 @@ def context_budget(rows: DataFrame, keys: list[str], order: list[str], *, text:
     room = F.least(F.greatest(F.lit(0), F.lit(most) - used), F.char_length(text)).cast("int")
     kept = F.substring(F.col(text), F.lit(1), F.col("_room"))
     return rows.withColumn("_room", room).withColumns({"kept": kept, "original_chars": F.char_length(text), "truncated": F.col("_room") < F.char_length(text)}).drop("_room")
+
+
+def collect_expired(rows: DataFrame, expires_at: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that live on, rows that are collected). A table is replaced by the first; what is collected is known before."""
+    live = is_live(F.col(expires_at), as_of)
+    return rows.where(live), rows.where(~live)
+
+
+def cascade(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
+    """The children whose parent is still there, after parents were deleted; a null key refers to nothing and stays."""
+    loose = F.array_contains(F.array(*[F.col(c).isNull() for c in on]), True)
+    return children.where(~loose).join(parents.select(*on).distinct(), on, "left_semi").select(*children.columns).unionByName(children.where(loose))
+
+
+def merged(document: Column, patch: Column) -> Column:
+    """A map with the entries of another put over its own."""
+    kept = F.map_filter(document, lambda k, _: ~F.map_contains_key(patch, k))
+    return F.map_concat(kept, patch)

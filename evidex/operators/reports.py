@@ -107,3 +107,33 @@ def experiment_counts(rows: DataFrame, *, without_stt: tuple[str, ...] = ("J", "
         F.count_if(mine & F.coalesce("visual_needed", F.lit(False))).alias("visual_required"),
         F.count_if(mine & F.col("visual_needed").isNotNull()).alias("visual_assessed"),
     )
+
+
+def decision_lines(report: DataFrame) -> DataFrame:
+    """(cohort, line): a table row in Markdown for each cohort of a route report, of its recommended route or that one is pending."""
+    best = F.min_by(F.when(F.col("eligible"), F.struct("*")), F.when(F.col("eligible"), F.struct("cost_per_accepted", "p95_ms", "route"))).alias("b")
+    rows = report.groupBy("cohort").agg(best)
+    num = lambda c, digits: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c)))
+    percent = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.0f%%", F.bround(100 * F.col(c), 0)))
+    cells = [
+        F.coalesce(F.concat("b.route", F.lit(" (provisional)")), F.lit("pending")),
+        F.coalesce(F.concat(F.col("b.reviewed").cast("string"), F.lit(" reviewed; "), percent("b.accepted_fraction"), F.lit(" accepted; 0 serious")), F.lit("too few cases or below the threshold")),
+        F.coalesce(F.concat(num("b.p50_ms", 2), F.lit(" / "), num("b.p95_ms", 2)), F.lit("-")),
+        F.coalesce(num("b.cost_per_accepted", 6), F.lit("-")),
+        F.when(F.col("b").isNull(), "-").otherwise(F.coalesce(percent("b.visual_fraction"), F.lit("-"))),
+    ]
+    return rows.select("cohort", F.concat(F.lit("| "), F.concat_ws(" | ", "cohort", *cells), F.lit(" |")).alias("line"))
+
+
+DECISION_HEAD = ("| Cohort | Route | Evidence | p50 / p95 ms | Cost of an accepted case | Visual |", "| --- | --- | --- | --- | --- | --- |")
+
+
+def plan_lines(plan: DataFrame) -> DataFrame:
+    """(case_id, line): a table row in Markdown for each planned case. plan: case_id, routes array<string>, blockers array<string>."""
+    blockers = F.when(F.size("blockers") == 0, "none").otherwise(F.array_join("blockers", ", "))
+    return plan.select("case_id", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("case_id").cast("string"), F.array_join("routes", ", "), blockers), F.lit(" |")).alias("line"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(json): every row as a JSON object that keeps its nulls, for a report's file of one object a line."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contracts, relational, reports, texts
+from . import contracts, relational, reports, state, texts
 
-MODULES = (reports, relational, texts, contracts)
+MODULES = (reports, relational, texts, contracts, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

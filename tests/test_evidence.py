@@ -76,4 +76,4 @@ def test_provenance_and_paths(spark):
     df = spark.createDataFrame([(["description", "transcript"],), (["transcript"],), (["visual"],), (["html"],)], "s array<string>")
     assert [r.x for r in df.select(quality.provenance(F.col("s")).alias("x")).collect()] == ["both", "transcript", "visual_only", "other"]
     v = spark.range(1).select(F.parse_json(F.lit('{"a":[{"b":"7"}]}')).alias("v"))
-    assert v.select(quality.at_path(F.col("v"), "a.0.b").alias("x"), quality.at_path(F.col("v"), "a.1.b").alias("y")).first() == ("7", None)
+    assert v.select(quality.value_at(F.col("v"), F.lit("a.0.b")).alias("x"), quality.value_at(F.col("v"), F.lit("a.1.b")).alias("y")).first() == ("7", None)
