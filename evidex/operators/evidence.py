@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidex.functions.text import numbers, on_screen, parse_ingredient, stated_amount, whole_minutes
 
 CITATION = "struct<field_path:string,source_kind:string,quote:string,artifact_id:string>"
+GRAM = 6
 #: How a quote states a nutrition basis.
 BASIS = {"per_serving": "per serving|por ración", "per_100g": r"100\s*g", "whole_recipe": "whole recipe|receta completa"}
 NUTRIENTS = ("kcal", "protein_g", "carbs_g", "fat_g")
@@ -23,7 +24,7 @@ def supported_quotes(texts: DataFrame, quotes: DataFrame, *, words: int = 3) ->
 
     texts: doc, source_kind, text; quotes: quote_id, source_kind, quote. Every text is joined by its source kind and runs of ``words``
     words with the quotes' first whole such runs, ids only, so a pair is tested only where the quote can begin; quotes of too few words for
-    that are tested by their kind alone. doc and quote_id are unique.
+    that are joined by their first ``GRAM`` characters (all, if they have fewer) with the texts' runs of as many characters. doc and quote_id are unique.
     """
     split = lambda c: F.split(F.col(c), " ")
     q = quotes.where(F.col("quote") != "").withColumn("_w", split("quote"))
@@ -31,9 +32,14 @@ def supported_quotes(texts: DataFrame, quotes: DataFrame, *, words: int = 3) ->
     w = texts.withColumn("_w", split("text")).where(F.size("_w") >= words)
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.array_join(F.slice("_w", i, words), " ")))
     near = w.select("doc", "source_kind", F.explode(runs).alias("_key")).join(keys, ["source_kind", "_key"]).select("doc", "quote_id").distinct()
+    short = q.where(F.size("_w") <= words + 1).withColumn("_n", F.least(F.char_length("quote"), F.lit(GRAM)))
+    for (n,) in short.select("_n").distinct().collect():  # GRAM lengths at most, and none in most tables
+        heads = short.where(F.col("_n") == n).select("quote_id", "source_kind", F.substring("quote", 1, n).alias("_key"))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - n + 1), lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))))
+        parts = texts.where(F.char_length("text") >= n).select("doc", "source_kind", F.explode(grams).alias("_key"))
+        near = near.unionByName(parts.join(heads, ["source_kind", "_key"]).select("doc", "quote_id").distinct())
     both = near.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("doc", "text"), "doc")
-    short = texts.join(q.where(F.size("_w") <= words + 1), "source_kind")
-    return both.select("doc", "quote_id", "text", "quote").unionByName(short.select("doc", "quote_id", "text", "quote")).where(F.contains("text", "quote")).select("doc", "quote_id").distinct()
+    return both.where(F.contains("text", "quote")).select("doc", "quote_id").distinct()
 
 
 def has_number(value: Column, quote: Column) -> Column:

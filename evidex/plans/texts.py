@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import nulls, text, urls
 from evidex.operators import evidence, relational
-from evidex.sources import html, jsonld, subtitles
+from evidex.sources import html, jsonld, social, subtitles
 from evidex.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -265,18 +265,45 @@ def subtitle_pick(spark: SparkSession, d: str) -> DataFrame:
     return subtitles.pick(t, key="user_id", preferred="preferred", most=3)
 
 
+LANGS_SQL = """SELECT user_id AS key, event_type AS lang, (['vtt', 'srt', 'json3', 'ass'])[event_id % 4 + 1] AS ext, event_id, event_id % 3 = 0 AS auto FROM events WHERE event_id % 5 > 0"""
+
+
+@query(f"""WITH t AS ({LANGS_SQL}), c AS (SELECT key, lang, auto, arg_min(ext || ' u' || lpad(event_id::VARCHAR, 9, '0'), (CASE ext WHEN 'vtt' THEN 0 WHEN 'srt' THEN 1 ELSE 2 END, lpad(event_id::VARCHAR, 9, '0'))) FILTER (WHERE ext <> 'ass') AS best FROM t GROUP BY ALL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY key, auto ORDER BY lang <> CASE WHEN key % 3 > 0 THEN 'view' ELSE '' END, lang) AS place, count(*) OVER (PARTITION BY key, auto) AS n FROM c),
+  k AS (SELECT DISTINCT user_id AS key, user_id % 7 = 0 AS long FROM events), w AS (
+    SELECT k.key, long, count(*) FILTER (WHERE NOT auto) AS m, count(*) FILTER (WHERE auto) AS a, count(*) FILTER (WHERE NOT auto AND place <= 3 AND best IS NULL) AS ml, count(*) FILTER (WHERE auto AND place <= 3 AND best IS NULL) AS al,
+      string_agg(CASE WHEN auto THEN 'auto' ELSE 'manual' END || '_subtitles ' || lang || ' ' || best, ',' ORDER BY auto, place) FILTER (WHERE place <= 3) AS tracks FROM k LEFT JOIN p USING (key) GROUP BY k.key, long)
+  SELECT key, concat_ws(',', CASE WHEN key % 5 = 0 THEN 'description_unavailable' END, CASE WHEN long THEN 'duration_limit_subtitles_skipped' ELSE nullif(concat_ws(',', CASE WHEN m = 0 THEN 'manual_subtitles_unavailable' END, CASE WHEN m > 3 THEN 'manual_subtitles_track_limit' END, nullif(rtrim(repeat('manual_subtitles_format_unavailable,', ml::INT), ','), ''),
+    CASE WHEN a = 0 THEN 'auto_subtitles_unavailable' END, CASE WHEN a > 3 THEN 'auto_subtitles_track_limit' END, nullif(rtrim(repeat('auto_subtitles_format_unavailable,', al::INT), ','), '')), '') END) AS warnings,
+    CASE WHEN long OR m > 3 OR a > 3 OR ml > 0 OR al > 0 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN long THEN '' ELSE coalesce(tracks, '') END AS tracks, 'https://img.example.org/t' || key AS thumbnail FROM w""")
+def social_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Users as videos, whose events are the tracks that their records name."""
+    i, user = F.col("event_id"), F.col("key")
+    t = table(spark, d, "events").withColumnRenamed("user_id", "key")
+    entry = F.struct(F.get(F.array(*[F.lit(x) for x in (*subtitles.FORMATS, "ass")]), (i % 4).cast("int")).alias("ext"), F.concat(F.lit("u"), F.lpad(i.cast("string"), 9, "0")).alias("url"))
+    by_lang = t.where(i % 5 > 0).groupBy("key", "event_type", (i % 3 == 0).alias("auto")).agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["url"] < b["url"], -1).when(a["url"] > b["url"], 1).otherwise(0)).alias("options"))
+    of = lambda auto: F.map_from_entries(F.collect_list(F.when(F.col("auto") == auto, F.struct("event_type", "options"))))
+    maps = by_lang.groupBy("key").agg(of(False).alias("subtitles"), of(True).alias("automatic_captions"))
+    records = t.select("key").distinct().join(maps, "key", "left").select(
+        "key", user.cast("string").alias("id"), F.lit("t").alias("title"), F.when(user % 5 > 0, "d").alias("description"), F.lit(" ").alias("uploader"), F.lit("c").alias("channel"), F.concat(F.lit("https://img.example.org/t"), user.cast("string"), F.lit("?sig=1")).alias("thumbnail"),
+        F.when(user % 7 == 0, 4000.0).otherwise(60.0).alias("duration"), F.when(user % 3 > 0, "view").alias("language"), "subtitles", "automatic_captions",
+    )
+    one = F.transform("tracks", lambda x: F.concat_ws(" ", x["kind"], x["lang"], x["ext"], x["url"]))
+    return social.bundle(records, most_tracks=3).select("key", F.array_join("warnings", ",").alias("warnings"), "status", F.array_join(one, ",").alias("tracks"), "thumbnail")
+
+
 @query("""SELECT user_id, arg_min('u' || event_id, (event_id % 2, abr, 'u' || event_id)) AS url FROM (SELECT *, 64 + event_id % 5 * 32 AS abr FROM events WHERE event_id % 3 <> 0 AND (event_id % 2 = 0 OR event_id % 1000 BETWEEN 1 AND 720)) GROUP BY user_id""")
 def topk_format(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     f = F.struct(F.concat(F.lit("u"), i.cast("string")).alias("url"), F.lit("https").alias("protocol"), F.when(i % 3 != 0, "aac").otherwise("none").alias("acodec"), F.when(i % 2 == 0, "none").otherwise("h264").alias("vcodec"), (i % 1000).cast("int").alias("height"), (64 + i % 5 * 32).cast("double").alias("abr"), F.lit(None).cast("double").alias("tbr"), F.lit(1000).cast("bigint").alias("filesize"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_list(f).alias("formats")).select("user_id", subtitles.best_format(F.col("formats"), "audio").alias("url")).where("url is not null")
+    return table(spark, d, "events").groupBy("user_id").agg(F.min(subtitles.format_rank(f, "audio"))["url"].alias("url")).where("url is not null")
 
 
 @query("SELECT user_id, arg_min('u' || event_id, (-(event_id % 640) * (event_id % 480), 'u' || event_id)) AS url FROM events GROUP BY user_id")
 def topk_thumbnail(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     t = F.struct(F.concat(F.lit("u"), i.cast("string")).alias("url"), (i % 640).alias("width"), (i % 480).alias("height"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_list(t).alias("t")).select("user_id", subtitles.largest_thumbnail(F.col("t")).alias("url"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.min(subtitles.thumbnail_rank(t))["url"].alias("url"))
 
 
 NUM = "len(list_filter(regexp_extract_all(quote, '\\d{{1,12}}(?:[.,]\\d{{1,6}})?'), lambda x: replace(x, ',', '.')::DECIMAL(18,6) = {})) > 0"

@@ -53,26 +53,35 @@ def pick(tracks: DataFrame, *, key: str, preferred: str, most: int = 6) -> DataF
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(key, "place", "lang", "t.ext", "t.url")
 
 
-def best_format(formats: Column, kind: str) -> Column:
-    """The address of the direct audio (alone first, then lowest rate) or video (highest up to 720 lines, then lowest rate) of at most 50 MiB; null without one.
+def format_rank(f: Column, kind: str) -> Column:
+    """The order of a format for direct audio (alone first, then lowest rate) or video (highest up to 720 lines, then lowest rate), with its url; null if it can't be used or has over 50 MiB.
 
-    formats: array<struct<url, protocol, acodec, vcodec, height, abr, tbr, filesize>>.
+    f: struct<url, protocol, acodec, vcodec, height, abr, tbr, filesize>.
     """
     zero = F.lit(0)
-    base = lambda f: f["protocol"].isin("http", "https") & f["url"].isNotNull() & (F.coalesce(f["filesize"], zero) <= 50 * 1024 * 1024)
-    low = lambda f: F.coalesce(f["height"], zero).between(1, 720)
-    has = lambda f, c: f[c].isNotNull() & (f[c] != "none")
+    low = F.coalesce(f["height"], zero).between(1, 720)
+    has = lambda c: f[c].isNotNull() & (f[c] != "none")
+    ok = f["protocol"].isin("http", "https") & f["url"].isNotNull() & (F.coalesce(f["filesize"], zero) <= 50 * 1024 * 1024)
+    rate = F.nullif(f["tbr"], F.lit(0.0))
     if kind == "audio":
-        ok = lambda f: base(f) & has(f, "acodec") & ((f["vcodec"] == "none") | low(f))
-        order = lambda f: F.struct((~F.coalesce(f["vcodec"] == "none", F.lit(False))).cast("int").alias("a"), F.coalesce(F.nullif(f["abr"], F.lit(0.0)), F.nullif(f["tbr"], F.lit(0.0)), F.lit(9999.0)).alias("b"), f["url"].alias("url"))
+        ok = ok & has("acodec") & ((f["vcodec"] == "none") | low)
+        order = [(~F.coalesce(f["vcodec"] == "none", F.lit(False))).cast("int"), F.coalesce(F.nullif(f["abr"], F.lit(0.0)), rate, F.lit(9999.0))]
     else:
-        ok = lambda f: base(f) & has(f, "vcodec") & low(f)
-        order = lambda f: F.struct((-F.coalesce(f["height"], zero)).cast("int").alias("a"), F.coalesce(F.nullif(f["tbr"], F.lit(0.0)), F.lit(9999.0)).alias("b"), f["url"].alias("url"))
-    return F.array_min(F.transform(F.filter(formats, lambda f: F.coalesce(ok(f), F.lit(False))), order))["url"]
+        ok = ok & has("vcodec") & low
+        order = [(-F.coalesce(f["height"], zero)).cast("int"), F.coalesce(rate, F.lit(9999.0))]
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(order[0].alias("a"), order[1].alias("b"), f["url"].alias("url")))
+
+
+def best_format(formats: Column, kind: str) -> Column:
+    """The address of the best of an array of formats; null without one."""
+    return F.array_min(F.transform(formats, lambda f: format_rank(f, kind)))["url"]
+
+
+def thumbnail_rank(t: Column) -> Column:
+    zero = F.lit(0)
+    return F.struct((-(F.coalesce(t["width"], zero) * F.coalesce(t["height"], zero))).alias("area"), t["url"].alias("url"))
 
 
 def largest_thumbnail(thumbnails: Column) -> Column:
     """The address with the largest area; the first in order of address among equals."""
-    zero = F.lit(0)
-    order = lambda t: F.struct((-(F.coalesce(t["width"], zero) * F.coalesce(t["height"], zero))).alias("area"), t["url"].alias("url"))
-    return F.array_min(F.transform(thumbnails, order))["url"]
+    return F.array_min(F.transform(thumbnails, thumbnail_rank))["url"]
