@@ -35,13 +35,17 @@ def supported_quotes(texts: DataFrame, quotes: DataFrame, *, words: int = 3) ->
     short = q.where(F.size("_w") <= words + 1).withColumn("_n", F.least(F.char_length("quote"), F.lit(GRAM)))
     for (n,) in short.select("_n").distinct().collect():  # GRAM lengths at most, and none in most tables
         heads = short.where(F.col("_n") == n).select("quote_id", "source_kind", F.substring("quote", 1, n).alias("_key"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - n + 1), lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))))
-        parts = texts.where(F.char_length("text") >= n).select("doc", "source_kind", F.explode(grams).alias("_key"))
+        parts = texts.where(F.char_length("text") >= n).select("doc", "source_kind", F.explode(_grams("text", n)).alias("_key"))
         near = near.unionByName(parts.join(heads, ["source_kind", "_key"]).select("doc", "quote_id").distinct())
     both = near.join(quotes.select("quote_id", "quote"), "quote_id").join(texts.select("doc", "text"), "doc")
     return both.where(F.contains("text", "quote")).select("doc", "quote_id").distinct()
 
 
+def _grams(text: str, n: int) -> Column:
+    """The distinct runs of n characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n))))
+
+
 def has_number(value: Column, quote: Column) -> Column:
     """Whether some number of the quote equals the value."""
     return F.coalesce(F.exists(numbers(quote), lambda x: x == value.cast("decimal(18,6)")), F.lit(False))
