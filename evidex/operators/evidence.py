@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.text import numbers, on_screen, parse_ingredient, stated_amount, whole_minutes
+from evidex.functions.text import numbers, on_screen, parse_ingredient, stated_amount, visual_hints, whole_minutes
+from evidex.functions.text import signals as text_signals
 
 CITATION = "struct<field_path:string,source_kind:string,quote:string,artifact_id:string>"
 GRAM = 6
@@ -303,3 +304,16 @@ def enforce_fidelity(drafts: DataFrame) -> DataFrame:
         F.when(F.size("_missing") > 0, "partial").otherwise(F.col("status")).alias("status"),
         F.exists("_missing", lambda m: m.endswith("source_support")).alias("withheld"),
     )
+
+
+def signals(title: Column, description: Column, subtitles: Column, complete: Column, **vocabulary: tuple[str, ...]) -> Column:
+    """A bundle's signals: whether a transcript is there, the description's hints, what each recipe has, and the kinds of texts that point to the screen.
+
+    subtitles: array<struct<kind, text>>; complete: jsonld.completeness of each recipe; vocabulary: as for text.signals, and ``phrases`` for what points to the screen.
+    """
+    phrases = {"phrases": vocabulary.pop("phrases")} if "phrases" in vocabulary else {}
+    parts = F.concat(F.array(F.struct(F.lit("metadata").alias("kind"), title.alias("text")), F.struct(F.lit("description").alias("kind"), description.alias("text"))), F.transform(subtitles, lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"))))
+    return F.struct(
+        F.coalesce(F.exists(subtitles, lambda s: F.trim(s["text"]) != ""), F.lit(False)).alias("has_existing_transcript"), text_signals(description, **vocabulary).alias("description_recipe_signals"), complete.alias("json_ld_completeness"),
+        visual_hints(parts, **phrases).alias("visual_dependency_hints"),
+    )

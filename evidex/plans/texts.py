@@ -55,6 +55,21 @@ def text_signals(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", s.alias("s")).select("doc_id", "s.*")
 
 
+@query(f"""SELECT doc_id, doc_id % 3 = 0 AND trim(substr(text, 1, (doc_id % 5)::INT)) <> '' AS transcript, {_word("text", "the|die|les?")} AS cooking_verbs, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'name,' ELSE '' END || CASE WHEN doc_id % 5 > 0 THEN 'instructions' ELSE '' END ELSE '' END AS complete,
+  concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(?:worthless|license|general public)') THEN 'description' END) AS hints FROM documents""")
+def bundle_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as bundles: some with subtitles of a few characters, most with one recipe that lacks some of its parts."""
+    i = F.col("doc_id")
+    spoken = F.when(i % 3 == 0, F.array(F.struct(F.lit("auto_subtitles").alias("kind"), F.substring(F.col("text"), F.lit(1), (i % 5).cast("int")).alias("text")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+    steps = F.when(i % 5 > 0, F.array(F.struct(F.lit("Mix.").alias("text"), F.lit(None).cast("string").alias("section")))).otherwise(F.array().cast(jsonld.STEPS))
+    recipe = {"name": F.when(i % 2 == 0, "n"), "ingredients": F.array().cast("array<string>"), "steps": steps, "yield_json": F.lit(None).cast("string"), "has_nutrition": F.lit(False)}
+    one = F.when(i % 4 > 0, F.array(jsonld.completeness(recipe)))
+    s = evidence.signals(F.lit("t"), F.col("text"), spoken, one, verbs=VERBS, phrases=SCREEN)
+    has = F.get("s.json_ld_completeness", F.lit(0))
+    complete = F.coalesce(F.concat(F.when(has["name"], "name,").otherwise(""), F.when(has["instructions"], "instructions").otherwise("")), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s.has_existing_transcript").alias("transcript"), "s.description_recipe_signals.cooking_verbs", complete.alias("complete"), F.array_join("s.visual_dependency_hints", ",").alias("hints"))
+
+
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(source, '(?i)(?:worthless|license|general public)') THEN 'metadata' END, CASE WHEN regexp_matches(text, '(?i)(?:worthless|license|general public)') THEN 'description' END) AS hints FROM documents""")
 def visual_hints(spark: SparkSession, d: str) -> DataFrame:
     parts = F.array(F.struct(F.lit("metadata").alias("kind"), F.col("source").alias("text")), F.struct(F.lit("description").alias("kind"), F.col("text").alias("text")))

@@ -1,4 +1,4 @@
-"""Stateful stream processors: idempotent receipts, leases with fencing, worker liveness and daily quotas.
+"""Stateful stream processors: idempotent receipts, leases with fencing, worker liveness, retries with a due time and daily quotas.
 
 Each keeps one small state a key in the RocksDB state store (``with_state_store``), expires it by timers or TTL, and gives what its batch counterpart
 gives over the same rows.
@@ -17,6 +17,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 RECEIPTS = "owner string, operation_id string, outcome string"
 LEASES = "job string, seq bigint, outcome string, fencing_token bigint"
 LIVENESS = "worker string, live boolean, at timestamp"
+RETRIES = "job string, outcome string, attempt int, at timestamp"
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -105,6 +106,46 @@ class Liveness(StatefulProcessor):
         pass
 
 
+class Retries(StatefulProcessor):
+    """A job waits for its due time and is then let out by a timer; each failure that may be tried again puts it back under a later one, up to ``most_attempts``."""
+
+    def __init__(self, most_attempts: int = 3):
+        self.most_attempts = most_attempts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", "due bigint, attempt int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for r in batch.sort_values("seq").itertuples():
+                due, attempt = self.wait.get() if self.wait.exists() else (0, 0)
+                if due:
+                    self.handle.deleteTimer(due)
+                if 0 < due <= r.ts.timestamp() * 1000:  # its timer would have gone off before this event
+                    attempt += 1
+                    out.append((key[0], "due", attempt, pd.Timestamp(due, unit="ms")))
+                if r.event == "cancel" or attempt >= self.most_attempts:
+                    self.wait.clear()
+                    out.append((key[0], "canceled" if r.event == "cancel" else "failed", attempt, r.ts))
+                else:
+                    due = int(r.due.timestamp() * 1000)
+                    self.handle.registerTimer(due)
+                    self.wait.update((due, attempt))
+            yield pd.DataFrame(out, columns=["job", "outcome", "attempt", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.wait.exists() and self.wait.get()[0] == at:
+            attempt = self.wait.get()[1] + 1
+            self.wait.update((0, attempt))
+            yield pd.DataFrame([(key[0], "due", attempt, pd.Timestamp(at, unit="ms"))], columns=["job", "outcome", "attempt", "at"])
+
+    def close(self) -> None:
+        pass
+
+
 def receipts(operations: DataFrame) -> DataFrame:
     """operations: owner, seq, operation_id, request."""
     return operations.groupBy("owner").transformWithStateInPandas(Receipts(), RECEIPTS, "append", "none")
@@ -120,6 +161,11 @@ def liveness(beats: DataFrame, *, silent_seconds: int = 90) -> DataFrame:
     return beats.groupBy("worker").transformWithStateInPandas(Liveness(silent_seconds), LIVENESS, "append", "eventTime")
 
 
+def retries(events: DataFrame, *, most_attempts: int = 3) -> DataFrame:
+    """events: job, seq, event (queue, retry, cancel), due timestamp, ts with a watermark."""
+    return events.groupBy("job").transformWithStateInPandas(Retries(most_attempts), RETRIES, "append", "eventTime")
+
+
 def daily_counts(jobs: DataFrame, *, late: str = "1 hour") -> DataFrame:
     """Jobs of each owner by UTC day, final once the watermark has passed the day."""
     return jobs.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day").alias("day"), "owner").agg(F.count("*").alias("jobs")).select("owner", F.col("day.start").alias("day"), "jobs")

@@ -37,6 +37,18 @@ def test_liveness(spark, tmp_path):
     assert [r.live for r in got if r.worker == "w"] == [True, False]
 
 
+def test_retries(spark, tmp_path):
+    t = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    rows = [
+        [("a", 1, "queue", t(5), t(0)), ("b", 1, "queue", t(5), t(0)), ("c", 1, "queue", t(5), t(0))], [("b", 2, "cancel", None, t(3))], [("z", 1, "queue", t(900), t(30))], [("a", 2, "retry", t(50), t(31)), ("a", 3, "retry", t(40), t(32))], [("z", 2, "queue", t(900), t(80))],
+        [("a", 4, "retry", t(95), t(90)), ("z", 3, "queue", t(901), t(90))], [("z", 4, "queue", t(902), t(120))],
+    ]
+    make = lambda s: processors.retries(s.withWatermark("ts", "0 seconds"), most_attempts=2)
+    got = drain(spark, make, rows, "job string, seq bigint, event string, due string, ts string", tmp_path, "retries", times=("ts", "due"))
+    of = lambda job: [(r.outcome, r.attempt) for r in sorted(got, key=lambda r: r["at"]) if r.job == job]
+    assert of("a") == [("due", 1), ("due", 2), ("failed", 2)] and of("b") == [("canceled", 0)] and of("c") == [("due", 1)] and of("z") == []
+
+
 @pytest.mark.parametrize("kind", ["daily", "recent"])
 def test_windows_equal_their_batch_form(spark, tmp_path, kind):
     rows = [[(f"o{i % 3}", "failed" if i % 2 else "queued", f"2024-01-{1 + i // 10:02d} {i % 24:02d}:30:00") for i in range(40)], [("z", "failed", "2024-03-01 00:00:00")]]
