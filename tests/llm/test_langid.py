@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from evidex.llm import langid
@@ -41,8 +43,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(odd_rows(), DOCS)
     got = langid.identify_documents(df).collect()
     assert len(got) == len(odd_rows())
+    letters = {r[0]: any(c.isalpha() for c in r[1] or "") for r in odd_rows() if r[0] is not None}
     for r in got:
-        assert (r.lang_pred == "und") == (r.lang_pred not in ("de", "en"))
+        assert r.lang_pred in ("de", "en", "und")
+        if r.doc_id is not None:
+            assert (r.lang_pred != "und") == letters[r.doc_id] and (r.score > 0) == letters[r.doc_id]
     by_text = {}
     for r, x in zip(langid.predict(df, langid.train(df), out="language_").collect(), odd_rows(), strict=True):
         first = by_text.setdefault(x[1], r["language_"])
@@ -67,3 +72,31 @@ def test_windows_cover_whole_texts(spark):
     got = langid.predict(df.where("doc_id = 1000"), model).collect()[0]
     assert got.language.lang == "de"
     assert prose(random.Random(1), 3)
+
+
+def plain_network(model, window: bytes) -> list[float]:
+    """The network over one window, place by place and filter by filter."""
+    span = max(langid.WIDTHS)
+    symbols = list(window) + [langid.PAD] * (langid.WINDOW - len(window) + span - 1)
+    best = np.full(model.conv.shape[1], -np.inf)
+    for at in range(langid.WINDOW):
+        seen = np.concatenate([model.embed[s] for s in symbols[at : at + span]])
+        best = np.maximum(best, [float(seen @ model.conv[:, f]) for f in range(model.conv.shape[1])])
+    z = np.maximum(best + model.bias, 0) @ model.dense + model.shift
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (1, 3, 20, 21, 22, 40, 90)] + [None, "", "...", "É", "ab" * 64, "ab" * 64 + "c", "x" * 300, "ÀÉ" * 40]
+    model = langid.train(spark.createDataFrame(languages(120), SCHEMA))
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3), model, batch=3).orderBy("i").collect()
+    for text, r in zip(texts, got, strict=True):
+        body = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            assert tuple(r.language) == ("und", 0.0)
+            continue
+        windows = [body[k : k + langid.WINDOW] for k in range(0, len(body), langid.WINDOW)]
+        mean = sum(np.array(plain_network(model, w)) * len(w) for w in windows) / len(body)
+        assert r.language.lang == model.langs[int(mean.argmax())] and abs(r.language.score - mean.max()) < 1e-4
