@@ -263,6 +263,32 @@ def direct_draft(spark: SparkSession, d: str) -> DataFrame:
     return drafts.select("page_id", F.col("draft").isNotNull().alias("direct"), null(F.size("draft.steps")).alias("steps"), null(F.size("draft.field_evidence")).alias("citations"), "draft.cook_minutes")
 
 
+#: Recipes whose fields have every shape that occurs in pages, around a page's address.
+_SHAPES = (
+    '"recipeYield":"4 cups","recipeIngredient":["a","b"],"nutrition":{"url":"@","kcal":5}', '"recipeYield":4,"recipeIngredient":"salt","nutrition":{}', '"recipeYield":["4","6"],"recipeIngredient":["a",3,{"x":1},null,"b"],"nutrition":"none"',
+    '"recipeYield":{"value":4},"recipeIngredient":{"x":1},"nutrition":{"see":["@","ftp://x","http://10.0.0.1/a"],"@":"key"}', '"recipeIngredient":[],"description":"  D "', '"recipeYield":null,"name":7,"cookTime":"P1DT1H","prepTime":"soon","totalTime":5',
+)
+_SHAPES_SQL = "[" + ", ".join("'" + x + "'" for x in _SHAPES) + "]"
+_PUBLIC_SQL = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || coalesce(nullif(regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1), ''), '/') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_full_match(p, '(?:v|id)=[A-Za-z0-9_\\-]{1,128}')), '&'), ''), '')"
+
+
+@query(f"""WITH p AS (SELECT page_id, replace(({_SHAPES_SQL})[page_id % {len(_SHAPES)} + 1], '@', url) AS fields, url, {_PUBLIC_SQL} AS public FROM pages), d AS (SELECT page_id, url, public, ('{{"@type":"Recipe",' || CASE WHEN page_id % {len(_SHAPES)} < 5 THEN '"name":" N ",' ELSE '' END || fields || '}}')::JSON AS doc FROM p)
+  SELECT page_id, CASE WHEN json_type(doc, '$.name') = 'VARCHAR' THEN nullif(trim(doc ->> '$.name'), '') END AS name, nullif(trim(doc ->> '$.description'), '') AS description, CASE WHEN json_type(doc, '$.recipeYield') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN doc ->> '$.recipeYield' END AS yield_text,
+    CASE json_type(doc, '$.recipeIngredient') WHEN 'VARCHAR' THEN doc ->> '$.recipeIngredient' WHEN 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(doc, '$.recipeIngredient[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: x ->> '$'), ',') ELSE '' END AS ingredients,
+    CASE WHEN json_type(doc, '$.cookTime') = 'VARCHAR' AND doc ->> '$.cookTime' = 'P1DT1H' THEN 90000.0::DOUBLE END AS cook_seconds, coalesce(json_type(doc, '$.nutrition') = 'OBJECT' AND len(json_keys(doc, '$.nutrition')) > 0, false) AS has_nutrition,
+    CASE WHEN json_type(doc, '$.nutrition') = 'OBJECT' THEN coalesce('image=' || CASE json_type(doc, '$.nutrition.url') WHEN 'VARCHAR' THEN public END, '') || coalesce('first=' || CASE json_type(doc, '$.nutrition.see') WHEN 'ARRAY' THEN public || ',second=ftp://x,third=null' END, '') END AS addresses FROM d""")
+def recipe_fields(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    i = (F.col("page_id") % len(_SHAPES)).cast("int")
+    fields = F.replace(F.get(F.array(*[F.lit(x) for x in _SHAPES]), i), F.lit("@"), F.col("url"))
+    script = F.concat(F.lit('{"@type":"Recipe",'), F.when(i < 5, '"name":" N ",').otherwise(""), fields, F.lit("}"))
+    r = jsonld.normalised(jsonld.recipe_nodes(pages.select("page_id", F.lit(0).alias("script_no"), script.alias("script"))))
+    label = F.try_parse_json("nutrition")
+    at = lambda path: F.try_variant_get(label, path, "string")
+    addresses = F.concat(F.coalesce(F.concat(F.lit("image="), at("$.url")), F.lit("")), F.coalesce(F.concat(F.lit("first="), at("$.see[0]"), F.lit(",second="), at("$.see[1]"), F.lit(",third="), F.coalesce(at("$.see[2]"), F.lit("null"))), F.lit("")))
+    return r.select("page_id", "name", "description", "yield_text", F.array_join("ingredients", ",").alias("ingredients"), F.try_element_at("durations_seconds", F.lit("cookTime")).alias("cook_seconds"), "has_nutrition", F.when(F.col("nutrition").isNotNull(), addresses).alias("addresses"))
+
+
 @query("SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn) AS spoken FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g') AS text FROM conversations) WHERE trim(text) <> '' GROUP BY conv_id")
 def subtitle_text(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as VTT tracks, decoded again."""

@@ -8,8 +8,8 @@ from evidex.sources import html, jsonld, subtitles
 
 LD = '<script type="application/ld+json">{"@type":"Recipe","name":"x"}</script>'
 RECIPE = {
-    "@type": "https://schema.org/Recipe", "name": " Bread ", "recipeIngredient": ["200 g flour", "water"], "recipeYield": "4", "prepTime": "PT5M", "cookTime": "PT20M", "totalTime": "soon", "nutrition": {"kcal": 1},
-    "recipeInstructions": [{"@type": "HowToSection", "name": "Cocción", "itemListElement": [{"@type": "HowToStep", "text": "Mix <b>all</b>."}, {"name": "Bake."}]}],
+    "@type": "https://schema.org/Recipe", "name": " Bread ", "recipeIngredient": ["200 g flour", "water"], "recipeYield": "4", "prepTime": "PT7M", "cookTime": "PT25M", "totalTime": "soon", "nutrition": {"kcal": 1},
+    "recipeInstructions": [{"@type": "HowToSection", "name": "Horno", "itemListElement": [{"@type": "HowToStep", "text": "Mix <b>all</b>."}, {"name": "Bake."}]}],
 }
 
 
@@ -31,12 +31,12 @@ def test_recipes_are_found_in_any_shape(spark):
 def test_recipes_are_normalised_and_mapped(spark):
     n = jsonld.normalised(jsonld.recipe_nodes(scripts(spark, RECIPE, RECIPE | {"recipeIngredient": "salt", "recipeInstructions": "Stir <i>well</i>."})))
     a, b = n.orderBy("page_id").collect()
-    assert (a.name, a.ingredients, a.durations_seconds, a.durations["totalTime"], a.has_nutrition) == ("Bread", ["200 g flour", "water"], {"prepTime": 300, "cookTime": 1200}, "soon", True)
-    assert [tuple(s) for s in a.steps] == [("Mix all .", "Cocción"), ("Bake.", "Cocción")]
+    assert (a.name, a.ingredients, a.durations_seconds, a.durations["totalTime"], a.has_nutrition) == ("Bread", ["200 g flour", "water"], {"prepTime": 420, "cookTime": 1500}, "soon", True)
+    assert [tuple(s) for s in a.steps] == [("Mix all .", "Horno"), ("Bake.", "Horno")]
     assert b.ingredients == ["salt"] and [tuple(s) for s in b.steps] == [("Stir well .", None)]
     one = F.array(F.struct("name", "description", "ingredients", F.col("steps").alias("instructions"), F.col("yield_text").alias("recipe_yield"), "durations_seconds", "has_nutrition"))
     d = n.where("page_id = 0").select(evidence.direct_draft(one).alias("d")).first().d
-    assert d.ingredients[0].parsed.quantity == 200 and d.steps[0].text.startswith("Cocción: ") and (d.prep_minutes, d.cook_minutes, d.total_minutes) == (5, 20, None)
+    assert d.ingredients[0].parsed.quantity == 200 and d.steps[0].text.startswith("Horno: ") and (d.prep_minutes, d.cook_minutes, d.total_minutes) == (7, 25, None)
     assert [c.field_path for c in d.field_evidence] == ["title", *[f"ingredients.0.{f}" for f in ("raw_text", "name", "quantity", "unit")], *[f"ingredients.1.{f}" for f in ("raw_text", "name")], "steps.0.text", "steps.1.text"]
 
 
