@@ -99,7 +99,7 @@ _ELIGIBLE = "cohort IN ('view', 'click', 'error') AND serious_errors = 0 AND rev
 
 @query(f"""WITH r AS (SELECT * FROM ({ROUTES_SQL}) WHERE {_ELIGIBLE}), g AS (SELECT cohort, route, count(*) AS n, count(*) FILTER (WHERE useful) AS ok, quantile_cont(total_ms, 0.5) AS p50, quantile_cont(total_ms, 0.95) AS p95, sum(total_cost)::DOUBLE AS cost, count(*) FILTER (WHERE visual_needed)::DOUBLE / count(*) AS visual FROM r GROUP BY ALL),
   b AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY cost / ok, p95, route) AS place FROM g WHERE n >= 5 AND ok >= 0.95 * n)
-  SELECT g.cohort, '| ' || g.cohort || ' | ' || coalesce(any_value(b.route || ' (provisional) | ' || b.n || ' reviewed; ' || printf('%.0f', round_even(100.0 * b.ok / b.n, 0)) || '% accepted; 0 serious | ' || printf('%.2f / %.2f | %.6f | ', b.p50, b.p95, b.cost / b.ok) || printf('%.0f', round_even(100 * b.visual, 0)) || '%'),
+  SELECT g.cohort, '| ' || g.cohort || ' | ' || coalesce(any_value(b.route || ' (provisional) | ' || b.n || ' reviewed; ' || printf('%.0f', round_even(100.0 * b.ok / b.n, 0)) || '% accepted; 0 serious | ' || round(b.p50::DECIMAL(18,9), 2)::DECIMAL(18,2) || ' / ' || round(b.p95::DECIMAL(18,9), 2)::DECIMAL(18,2) || ' | ' || round((b.cost / b.ok)::DECIMAL(18,9), 6)::DECIMAL(18,6) || ' | ' || printf('%.0f', round_even(100 * b.visual, 0)) || '%'),
     'pending | too few cases or below the threshold | - | - | -') || ' |' AS line FROM g LEFT JOIN b ON b.cohort = g.cohort AND place = 1 GROUP BY g.cohort""")
 def decision_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.decision_lines(reports.route_report(route_rows(spark, d).where(_ELIGIBLE)))
