@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, histogram_sort, langid, mixing, resampling, simhash, templates, token_scan
+from . import chat, decontam, fim, fingerprint, histogram_sort, langid, mixing, resampling, simhash, templates, token_scan
 from .common import table
 
 
@@ -50,9 +50,17 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_document_fingerprints, op4_token_counts, op5_sharding, op6_decontamination, op7_simhash_dedup, op8_source_mixing, op9_quality_resampling, op10_html_extraction)}
+    every = (
+        op1_language_id, op2_chat_formatting, op3_document_fingerprints, op4_token_counts, op5_sharding, op6_decontamination, op7_simhash_dedup, op8_source_mixing,
+        op9_quality_resampling, op10_html_extraction, op12_fill_in_middle,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op6_decontamination": decontam.SQL, "op8_source_mixing": mixing.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op6_decontamination": decontam.SQL, "op8_source_mixing": mixing.SQL, "op12_fill_in_middle": fim.SQL}
