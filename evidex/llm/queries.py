@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, fingerprint, histogram_sort, langid, mixing, resampling, simhash, templates, token_scan
+from . import chat, decontam, fim, fingerprint, histogram_sort, langid, mixing, resampling, simhash, templates, token_scan, turn_repair
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_documents(table(spark, sf_dir, "documents"))
 
@@ -57,10 +61,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_chat_formatting, op3_document_fingerprints, op4_token_counts, op5_sharding, op6_decontamination, op7_simhash_dedup, op8_source_mixing,
-        op9_quality_resampling, op10_html_extraction, op12_fill_in_middle,
+        op9_quality_resampling, op10_html_extraction, op11_conversation_repair, op12_fill_in_middle,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op6_decontamination": decontam.SQL, "op8_source_mixing": mixing.SQL, "op12_fill_in_middle": fim.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op6_decontamination": decontam.SQL, "op8_source_mixing": mixing.SQL, "op11_conversation_repair": turn_repair.SQL, "op12_fill_in_middle": fim.SQL}
