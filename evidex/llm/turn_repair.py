@@ -337,11 +337,10 @@ WITH RECURSIVE h AS MATERIALIZED (
   SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM h, unnest(range(0, CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)
 ), o AS (
-  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS LAST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, left(role, 1) AS first FROM d
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS LAST) AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, left(role, 1) AS first FROM d
 ), f AS MATERIALIZED (
   SELECT *, lag(first) OVER (PARTITION BY g ORDER BY i) AS before, fault IS NULL OR fault = 'truncated' AS live FROM (
-    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM o)
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN i > min(i) OVER (PARTITION BY g, role, text) THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM o)
 ), w AS (
   SELECT DISTINCT g, 0::BIGINT AS i, {{'k': '000000000', 't': ''}} AS x0, NULL::STRUCT(k VARCHAR, t VARCHAR) AS x1, NULL::STRUCT(k VARCHAR, t VARCHAR) AS x2, NULL::STRUCT(k VARCHAR, t VARCHAR) AS x3 FROM f
   UNION ALL
