@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, fingerprint, histogram_sort, langid, mixing, resampling, simhash, templates, token_scan, turn_repair
+from . import chat, decontam, fim, fingerprint, histogram_sort, langid, mixing, resampling, sanitise, simhash, templates, token_scan, turn_repair
 from .common import table
 
 
@@ -58,10 +58,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.private_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_language_id, op2_chat_formatting, op3_document_fingerprints, op4_token_counts, op5_sharding, op6_decontamination, op7_simhash_dedup, op8_source_mixing,
-        op9_quality_resampling, op10_html_extraction, op11_conversation_repair, op12_fill_in_middle,
+        op9_quality_resampling, op10_html_extraction, op11_conversation_repair, op12_fill_in_middle, op13_sanitisation,
     )
     return {f.__name__: f for f in every}
 
