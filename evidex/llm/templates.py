@@ -9,14 +9,15 @@ text on ``loose_share`` of the host's pages is its content.
 
 A page's content is its article or main element, else the host's content place, else the innermost container with over half of the page's text. An
 exact template subtree goes wherever it stands, but for plain text blocks (paragraphs, headings, items, cells) of a marked article or the host's content place,
-which keep a paragraph that many pages share. A loose template subtree goes outside of the content, and inside it if a name supports it or, where nothing marks
+which keep a paragraph that many pages share. Inside a marked article it also needs a name that supports it, or to hold no paragraph or heading, be no list, table or figure, and have
+its structure on ``loose_share`` of the pages: a table that a tenth of the articles share is theirs. A loose template subtree goes outside of the content, and inside it if a name supports it or, where nothing marks
 the article, if it has a class or id, and no paragraph or heading. The content itself and what it stands in never go. What an element says about itself decides the rest: scripts, styles and
 forms never count; navigation, side and foot elements, roles and plain names ("comments", "cookie") go; names that may mean other things ("related", "notice") go outside of
 the content, and inside only with the template's support or on a host without template; a name never removes half of the content. Outside of a marked article, a
 host with a template keeps paragraphs and headings that are not template, a host without one keeps nothing.
 
-Templates are at most (subtrees a page / share) hashes a host; pages are joined to them by host, broadcast when Spark finds the table small enough, else with
-skewed hosts split. Defined results: null or empty html has the empty text; pages without a host, and hosts of fewer than ``least`` distinct pages, have no template;
+Templates are at most (subtrees a page / share) hashes a host; pages are joined to them by host: broadcast if the written table holds at most ``BROADCAST`` hashes, else merged with
+skewed hosts split. Of pages of one content, the one of least hash of its html counts. Defined results: null or empty html has the empty text; pages without a host, and hosts of fewer than ``least`` distinct pages, have no template;
 an empty table has no rows; an own column of the name ``out`` is replaced.
 """
 
@@ -263,6 +264,8 @@ def removal(nodes: list[Node], template: frozenset[int]) -> tuple[list[bool], bo
     gone = [False] * len(nodes)
     for n in nodes[1:]:
         mine = n.exact in template and n.tag not in WHOLE and not (n.tag in TEXT_BLOCKS and held[n.index]) and not (at and at[n.index])
+        if mine and marked and held[n.index]:
+            mine = n.said > NO or n.loose in template and not n.prose and n.tag not in NO_CONTAINERS
         gone[n.index] = gone[n.up] or n.never or mine
     out = [a or b for a, b in zip(out, gone, strict=True)]
     free = [n for n in nodes[1:] if not out[n.index]]
@@ -323,8 +326,8 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-#: The hash under which each page counts itself.
-PAGE = 0
+#: The hash under which each page counts itself, and the most hashes of templates that are broadcast (32 MB).
+PAGE, BROADCAST = 0, 4_000_000
 
 
 def subtree_counts(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -334,10 +337,12 @@ def subtree_counts(pages: DataFrame, *, url: str = "url", html: str = "html") ->
         lists = lambda sets: pa.ListArray.from_arrays(pa.array([0, *_running(map(len, sets))], pa.int32()), pa.array([h for s in sets for h in s], pa.int64()))
         for b in batches:
             found = [subtrees(x or "") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), lists([[PAGE, *sorted(f[1])] for f in found]), lists([sorted(f[2]) for f in found])], ["host", "content", "exact", "loose"])
+            own = [b.column(0), b.column(2), pa.array([f[0] for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, lists([[PAGE, *sorted(f[1])] for f in found]), lists([sorted(f[2]) for f in found])], ["host", "page", "content", "exact", "loose"])
 
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where(F.col("host").isNotNull())
-    distinct = rows.mapInArrow(hashes, "host string, content bigint, exact array<bigint>, loose array<bigint>").groupBy("host", "content").agg(F.first("exact").alias("exact"), F.first("loose").alias("loose"))
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.xxhash64(html).alias("page")).where(F.col("host").isNotNull())
+    rows = rows.mapInArrow(hashes, "host string, page bigint, content bigint, exact array<bigint>, loose array<bigint>")
+    distinct = rows.groupBy("host", "content").agg(F.min_by(F.struct("exact", "loose"), "page").alias("s")).select("host", "s.exact", "s.loose")
     one = lambda c, flag: F.transform(c, lambda h: F.struct(h.alias("hash"), F.lit(flag).alias("is_loose")))
     each = distinct.select("host", F.explode(F.concat(one("exact", False), one("loose", True))).alias("x")).select("host", "x.*")
     return each.groupBy("host", "hash", "is_loose").agg(F.count("*").alias("n"))
@@ -358,9 +363,11 @@ def site_templates(pages: DataFrame, *, url: str = "url", html: str = "html", sh
     return counts.where((F.col("hash") != PAGE) | F.col("is_loose")).join(sizes, "host").where(enough).groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template"))
 
 
-def with_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", share: float = 0.1, loose_share: float = 0.5, least: int = 3) -> DataFrame:
+def with_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", out: str = "main_text", share: float = 0.1, loose_share: float = 0.5, least: int = 3, broadcast: int = BROADCAST) -> DataFrame:
     """pages with their main text in column ``out``."""
     templates = written(site_templates(pages, url=url, html=html, share=share, loose_share=loose_share, least=least), "templates")
+    held = templates.agg(F.coalesce(F.sum(F.size("template") + 8), F.lit(0)).alias("n")).collect()[0]["n"]
+    templates = templates.hint("broadcast" if held <= broadcast else "merge")
 
     @F.arrow_udf("string")
     def extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
