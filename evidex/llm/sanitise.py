@@ -179,20 +179,23 @@ def counted(rows: DataFrame, text: str, terms: DataFrame, bits: int = TABLE_BITS
 
 
 def disclosures(rows: DataFrame, *, text: str = "text", window: int = WINDOW, support: int = SUPPORT, residue: float = RESIDUE, bits: int = TABLE_BITS) -> DataFrame:
-    """(term, entity, n_et, n_t, n_e, contexts, pmi, information, exceeds) of the terms seen near an entity in ``support`` different neighbourhoods."""
+    """(term, entity, n_et, n_t, n_e, contexts, pmi, information, exceeds) of the terms seen near an entity in ``support`` different neighbourhoods that may exceed the threshold."""
     near = written(spread(rows, text, window), "neighbourhoods")
     held = near.groupBy("entity", "digest").agg(F.count("*").alias("_")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = near.select("entity", "digest", "context", F.explode("terms").alias("term"))
     texts = pairs.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     contexts = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    often = written(contexts.join(texts, ["entity", "term"]), "near-terms")
+    # A term stands in at least the texts where it is near any entity, so pairs that these rule out need no count over the corpus.
+    around = pairs.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    often = contexts.join(texts, ["entity", "term"]).join(around, "term").where(F.log2(F.col("least") / F.col("n_et")) <= residue + 1e-9)
+    often = written(often.drop("least"), "near-terms")
     n_t = counted(rows, text, often.select("term").distinct(), bits)
     n = float(rows.select(F.md5(text).alias("digest")).where("digest is not null").distinct().count())
     both = often.join(n_t, "term").join(held, "entity")
     information = F.log2(F.lit(n) / F.col("n_e"))
     pmi = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     both = both.select("term", "entity", "n_et", "n_t", "n_e", "contexts", pmi.alias("pmi"), information.alias("information"))
-    return both.withColumn("exceeds", F.col("pmi") >= F.col("information") - residue - 1e-9)
+    return written(both.withColumn("exceeds", F.col("pmi") >= F.col("information") - residue - 1e-9), "disclosures")
 
 
 def revealing(found: DataFrame) -> DataFrame:
