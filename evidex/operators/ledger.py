@@ -39,19 +39,27 @@ def daily_quota(jobs: DataFrame, *, as_of: Column, most_a_day: int) -> DataFrame
 
 
 def admit(requests: DataFrame, *, owner: str, order: list[str], amount: str, limit: int) -> DataFrame:
-    """Requests with ``admitted``: in order, each is let in if what was let in before plus its amount is at most limit; a refused one uses nothing.
+    """Requests with ``admitted``: in order, each is let in if what was let in before plus its amount is at most limit; a refused one uses nothing. Null amounts are refused.
 
-    Not a running sum, since what is let in depends on what was refused, so it folds over each owner's requests in order.
+    Not a running sum, since what is let in depends on what was refused. But up to an owner's first request over the limit it is one, so running sums settle all of these, and only what follows is
+    folded, from the sum before it.
     """
     columns = list(dict.fromkeys([owner, *order, amount]))
+    w = Window.partitionBy(owner).orderBy(*order)
+    sofar = F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = requests.select(*columns).withColumn("_sofar", sofar)
+    over = F.col("_sofar") + F.coalesce(F.col(amount), F.lit(0)) > limit
+    rows = rows.withColumn("_over", F.coalesce(F.max(over).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    settled = rows.where(~F.col("_over")).select(*columns, F.col(amount).isNotNull().alias("admitted"))
     schema = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in columns) + ", admitted boolean"
 
     def step(held: dict, r: dict) -> list[tuple]:
-        fits = held["spent"] + r[amount] <= limit if r[amount] is not None else False
+        spent = held.setdefault("spent", r["_sofar"])
+        fits = r[amount] is not None and spent + r[amount] <= limit
         held["spent"] += r[amount] if fits else 0
         return [(*[r[c] for c in columns], fits)]
 
-    return fold_rows(requests.select(*columns), [owner], order, schema, lambda: {"spent": 0}, step)
+    return settled.unionByName(fold_rows(rows.where("_over").select(*columns, "_sofar"), [owner], order, schema, dict, step))
 
 
 def operations_metrics(jobs: DataFrame, heartbeats: DataFrame, usage: DataFrame, *, as_of: Column, live_seconds: int = 90) -> DataFrame:

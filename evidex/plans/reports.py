@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import money
 from evidex.functions.nulls import poisoned_sum
-from evidex.operators import ledger, reports
+from evidex.operators import budgets, ledger, reports
 from evidex.sources.tables import JOBS_SQL, OPERATIONS, ROUTES_SQL, USAGE_SQL, as_of, jobs, mapped, route_rows, table, usage
 
 QUERIES, SQL = {}, {}
@@ -193,3 +195,31 @@ def backoff(spark: SparkSession, d: str) -> DataFrame:
 def budget_admission(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("owner"), "o_orderdate", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
     return ledger.admit(o, owner="owner", order=["o_orderdate", "o_orderkey"], amount="cents", limit=50_000_000).select("owner", "o_orderkey", "cents", "admitted")
+
+
+CALLS_SQL = """SELECT event_id AS seq, user_id % 40 AS owner, user_id AS job, ts::DATE AS day, CASE event_type WHEN 'click' THEN 'stt' WHEN 'purchase' THEN 'visual_fallback' WHEN 'signup' THEN 'source' ELSE 'text_extract' END AS operation,
+    event_type || (event_id % 2) AS stage, (event_id % 13 * 10000000)::BIGINT AS amount, (event_id % 11 * 11000000)::BIGINT AS cost, (['succeeded', 'failed', 'failed', 'uncertain', 'failed'])[event_id % 5 + 1] AS settled, event_id % 3 > 0 AS transient,
+    row_number() OVER (ORDER BY event_id) AS n FROM events"""
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({CALLS_SQL}), f AS (
+    SELECT 0::BIGINT AS n, 0::BIGINT AS seq, '' AS outcome, 0::BIGINT AS charge, 0::BIGINT AS spent, MAP([]::VARCHAR[], []::BIGINT[]) AS groups, MAP([]::VARCHAR[], []::VARCHAR[]) AS stages
+    UNION ALL
+    SELECT n, seq, outcome, CASE WHEN outcome = 'reserved' THEN greatest(amount, cost) ELSE 0 END, spent + CASE WHEN outcome = 'reserved' THEN greatest(amount, cost) ELSE 0 END,
+      CASE WHEN outcome = 'reserved' THEN map_concat(groups, MAP([j, d, q], [job_spent + greatest(amount, cost), day_spent + greatest(amount, cost), calls + 1])) ELSE groups END, CASE WHEN outcome = 'reserved' THEN map_concat(stages, MAP([s], [settled || ':' || transient || ':' || (tries + 1)])) ELSE stages END
+    FROM (SELECT *, CASE WHEN amount < 0 OR operation <> 'source' AND amount = 0 THEN 'budget_exhausted' WHEN prior[1] = 'succeeded' THEN 'reuse'
+        WHEN tries > 0 AND (tries >= 3 OR operation <> 'source' AND (prior[1] IN ('reserved', 'uncertain') OR prior[2] = 'false' OR operation = 'stt')) THEN 'provider_down' WHEN operation = 'stt' AND calls >= 4 THEN 'quota_exceeded' WHEN operation = 'visual_fallback' AND calls >= 2 THEN 'visual_required_unavailable'
+        WHEN spent + amount > (SELECT count(*) * 16000000 FROM events) OR day_spent + amount > 500000000 OR job_spent + amount > 900000000 THEN 'budget_exhausted' ELSE 'reserved' END AS outcome
+      FROM (SELECT *, coalesce(groups[j], 0) AS job_spent, coalesce(groups[d], 0) AS day_spent, coalesce(groups[q], 0) AS calls, string_split(stages[s], ':') AS prior, coalesce(string_split(stages[s], ':')[3]::BIGINT, 0) AS tries
+        FROM (SELECT e.*, f.spent, f.groups, f.stages, 'j' || job AS j, 'd' || owner || '/' || day AS d, 'q' || owner || '/' || day || '/' || operation AS q, job || '/' || stage AS s FROM f JOIN e ON e.n = f.n + 1)))
+  ) SELECT seq, outcome, charge FROM f WHERE n > 0""")
+def reserve_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """events as the calls of jobs against a global budget that grows with the table, an owner's day's and a job's."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    usd = lambda n: (n * F.lit(Decimal("0.1"))).cast("decimal(14,8)")
+    calls = table(spark, d, "events").select(
+        i.alias("seq"), (F.col("user_id") % 40).alias("owner"), F.col("user_id").alias("job"), F.col("ts").cast("date").alias("day"), F.coalesce(mapped(kind, {"click": "stt", "purchase": "visual_fallback", "signup": "source"}), F.lit("text_extract")).alias("operation"),
+        F.concat(kind, (i % 2).cast("string")).alias("stage"), usd(i % 13).alias("amount"), (usd(i % 11) * F.lit(Decimal("1.1"))).cast("decimal(14,8)").alias("cost"), F.get(F.array(*[F.lit(x) for x in ("succeeded", "failed", "failed", "uncertain", "failed")]), (i % 5).cast("int")).alias("settled"), (i % 3 > 0).alias("transient"),
+    )
+    limits = budgets.Controls(global_usd=Decimal("0.16") * calls.count(), user_daily_usd=Decimal(5), job_usd=Decimal(9), daily={"stt": 4, "visual_fallback": 2})
+    return budgets.reserve(calls, limits).select("seq", "outcome", (F.col("charge") * 100_000_000).cast("bigint").alias("charge"))
