@@ -11,9 +11,11 @@ import re
 from collections.abc import Callable
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.functions.json_values import digest
+
 from .folds import fold_rows
 
 #: Error codes of the operations.
@@ -26,13 +28,13 @@ class Refused(Exception):
     """An operation that fails with a code and changes nothing."""
 
 
-def fold(log: DataFrame, apply: Callable[[dict, dict], dict]) -> DataFrame:
+def fold(log: DataFrame, apply: Callable[[dict, dict], dict], **more: Column) -> DataFrame:
     """RECEIPT rows of a log (owner, seq, operation_id, kind, payload JSON), by ``apply(state, operation) -> result``.
 
-    An operation id seen before replays its stored result if its request is the same, and fails with REUSED if not.
+    An operation id seen before replays its stored result if its request is the same by value, and fails with REUSED if not. ``more`` are columns that the operation carries besides.
     """
     often = F.count("*").over(Window.partitionBy("owner", "operation_id")) > 1
-    rows = log.select("owner", "seq", "operation_id", "kind", "payload", often.alias("often"))
+    rows = log.select("owner", "seq", "operation_id", "kind", "payload", often.alias("often"), *[c.alias(name) for name, c in more.items()])
 
     def step(held: tuple[dict, dict], op: dict) -> list[tuple]:
         state, receipts = held
@@ -69,110 +71,8 @@ def loaded(payload: str | None) -> dict:
 
 
 def canonical(payload: str | None) -> str | None:
-    """Equal for JSON documents that differ in key order or white space only."""
-    try:
-        return json.dumps(json.loads(payload), sort_keys=True) if payload is not None else None
-    except ValueError:
-        return payload
-
-
-# --- recipes and collections -------------------------------------------------------------------------------------------------------
-
-RECIPE_KEYS = frozenset("title description source ingredients steps prep_minutes cook_minutes total_minutes servings yield_text nutrition warnings schema_version".split())
-
-
-def recipe_shape(doc: dict) -> None:
-    lists = [doc.get(k) for k in ("ingredients", "steps")]
-    if not isinstance(doc.get("title"), str) or not doc["title"].strip() or not all(isinstance(x, list) and x for x in lists) or not isinstance(doc.get("warnings", []), list) or doc.keys() - RECIPE_KEYS:
-        raise Refused(BAD_SHAPE)
-
-
-def save_recipe(state: dict, target: str | None, doc: dict, expected: int | None) -> dict:
-    """Creates, replays or edits a recipe. The creation hash never changes, so a creation replays over edits and tombstones alike."""
-    if not target:
-        raise Refused(BAD_SHAPE)
-    recipe_shape(doc)
-    held = state.setdefault("recipes", {}).get(target)
-    if held and expected is None:
-        if held["created"] != canonical(json.dumps(doc)):
-            raise Refused(REUSED)
-        return view(held)
-    if held and held["deleted"]:
-        raise Refused(GONE)
-    if held and held["revision"] != expected:
-        raise Refused(STALE)
-    if not held and expected is not None:
-        raise Refused(MISSING)
-    if held:
-        held.update(doc=doc, revision=held["revision"] + 1)
-    else:
-        held = state["recipes"][target] = {"id": target, "doc": doc, "revision": 1, "deleted": False, "created": canonical(json.dumps(doc)), "collections": []}
-    return view(held)
-
-
-def view(held: dict) -> dict:
-    return {k: held[k] for k in ("id", "revision", "deleted", "doc") if k in held}
-
-
-def delete_recipe(state: dict, target: str, expected: int | None) -> dict:
-    held = state.setdefault("recipes", {}).get(target)
-    if not held:
-        raise Refused(MISSING)
-    if held["deleted"]:
-        return view(held)
-    if held["revision"] != expected:
-        raise Refused(STALE)
-    held.update(deleted=True, revision=held["revision"] + 1, collections=[])
-    return view(held)
-
-
-def library(state: dict, op: dict) -> dict:
-    """The five kinds of library operations. payload: id, recipe, expected_revision, collection_id, name, collections, expected_collections."""
-    p, target = op["payload"], op["payload"].get("id")
-    if target is None:
-        raise Refused(BAD_SHAPE)
-    collections = state.setdefault("collections", {})
-    expected = p.get("expected_revision")
-    match op["kind"]:
-        case "save_recipe":
-            if p.get("collection_id") is not None and expected is not None:
-                raise Refused(BAD_SHAPE)
-            before = state.setdefault("recipes", {}).get(target)
-            result = save_recipe(state, target, p.get("recipe") or {}, expected)
-            held = state["recipes"][target]
-            if held["deleted"]:
-                raise Refused(GONE)
-            if before is None and p.get("collection_id") is not None:
-                held["collections"] = [p["collection_id"]]
-            return result
-        case "delete_recipe":
-            return delete_recipe(state, target, expected)
-        case "save_collection":
-            held = collections.get(target)
-            if held and held["revision"] != expected:
-                raise Refused(STALE)
-            if not held and expected is not None:
-                raise Refused(MISSING)
-            collections[target] = {"id": target, "name": p.get("name"), "revision": held["revision"] + 1 if held else 1}
-            return dict(collections[target])
-        case "delete_collection":
-            held = collections.get(target)
-            if held and held["revision"] != expected:
-                raise Refused(STALE)
-            collections.pop(target, None)
-            return {"id": target, "revision": None}
-        case "set_collections":
-            held = state.setdefault("recipes", {}).get(target)
-            if not held or held["deleted"]:
-                raise Refused(MISSING)
-            wanted = p.get("collections")
-            if not isinstance(wanted, list) or not isinstance(p.get("expected_collections", []), list):
-                raise Refused(BAD_SHAPE)
-            if sorted(held["collections"]) != sorted(p.get("expected_collections", [])):
-                raise Refused(STALE)
-            held["collections"] = sorted(set(wanted))
-            return {"id": target, "revision": held["revision"], "collections": held["collections"]}
-    raise Refused(BAD_SHAPE)
+    """Equal for JSON documents that are equal by value."""
+    return digest(payload) or payload
 
 
 # --- shopping ----------------------------------------------------------------------------------------------------------------------

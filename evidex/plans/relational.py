@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidex.operators import evidence, ledger, oplog, quality, relational
+from evidex.operators import evidence, ledger, library, oplog, quality, relational
 from evidex.sources.tables import AS_OF, JOBS_SQL, as_of, jobs, table
 
 QUERIES, SQL = {}, {}
@@ -239,31 +239,42 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
 #: An event's operation, its place in its owner's log, and whether the owner's operation before it has the same id.
 OPS_SQL = "SELECT user_id::VARCHAR AS owner, event_id AS seq, 'op' || (event_id - CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type, ts FROM events"
 
-RECEIPTS_SQL = f"""WITH RECURSIVE e AS (
-  SELECT owner, seq, op, n, CASE seq % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'tag' WHEN 2 THEN 'collect' ELSE 'save' END AS kind, 't' || (seq % 6) AS id, 'r' || (seq % 9) AS title, event_type AS step, CASE WHEN seq % 2 = 0 THEN seq % 3 + 1 END AS expected FROM ({OPS_SQL})
+#: Owners of the library's log, with each operation's number j (of the owner's operation before it where it is a retry) and id; retries of every second such row are equal by value, the others not.
+LIBRARY_SQL = """SELECT owner, seq, CASE WHEN seq % 19 = 0 THEN coalesce(before, seq) ELSE seq END AS op, CASE WHEN seq % 38 = 0 THEN coalesce(before, seq) ELSE seq END AS j, CASE WHEN seq % 38 = 0 THEN coalesce(step_before, step) ELSE step END AS step, n
+  FROM (SELECT user_id % 50 AS owner, event_id AS seq, event_type AS step, lag(event_id) OVER w AS before, lag(event_type) OVER w AS step_before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id % 50 ORDER BY event_id))"""
+
+RECEIPTS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT owner, seq, op, n, j, step, CASE WHEN j % 11 = 0 THEN 'delete_recipe' WHEN j % 11 <= 2 THEN 'set_collections' WHEN j % 11 <= 4 THEN 'save_collection' WHEN j % 11 = 5 THEN 'delete_collection' ELSE 'save_recipe' END AS kind, CASE WHEN j % 11 BETWEEN 3 AND 5 THEN 'c' || (j % 4) ELSE 't' || (j % 6) END AS id, 'r' || (j % 9) AS title,
+    CASE WHEN j % 2 = 0 THEN j % 3 + 1 END AS revision, CASE WHEN j % 5 = 0 THEN 'c' || (j % 4) END AS wants, CASE WHEN j % 11 = 1 THEN list_sort(list_distinct(['c' || (j % 4), 'c' || ((j + 1) % 4), 'c' || (j % 4)])) ELSE [] END AS wanted,
+    CASE WHEN j % 4 = 0 THEN NULL WHEN j % 4 = 1 THEN [] WHEN j % 8 = 2 THEN ['c0', 'c1'] WHEN j % 8 = 6 THEN ['c1', 'c0'] ELSE ['c' || (j % 4)] END AS expected FROM ({LIBRARY_SQL})
 ), f AS (
-  SELECT DISTINCT owner, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS op, '' AS outcome, NULL::VARCHAR AS error_code, NULL::VARCHAR AS target, NULL::BIGINT AS revision, NULL::VARCHAR AS result,
-    []::STRUCT(id VARCHAR, title VARCHAR, step VARCHAR, made VARCHAR, revision BIGINT, deleted BOOLEAN, tagged BOOLEAN)[] AS recipes, []::STRUCT(id VARCHAR, revision BIGINT)[] AS collections FROM e
+  SELECT DISTINCT owner, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS op, '' AS outcome, NULL::VARCHAR AS error_code, NULL::VARCHAR AS target, NULL::BIGINT AS revision, NULL::VARCHAR AS title, NULL::BOOLEAN AS deleted,
+    []::STRUCT(id VARCHAR, title VARCHAR, made VARCHAR, revision BIGINT, deleted BOOLEAN)[] AS recipes, []::STRUCT(id VARCHAR, revision BIGINT)[] AS collections, []::STRUCT(r VARCHAR, c VARCHAR)[] AS members FROM e
   UNION ALL
-  SELECT owner, n, seq, op, CASE WHEN code IS NULL THEN 'applied' ELSE 'error' END, code, CASE WHEN code IS NULL THEN id END, CASE WHEN code IS NULL THEN coalesce(next.revision, c) END,
-    CASE WHEN code IS NOT NULL THEN NULL WHEN kind = 'collect' THEN '{{"id": "' || id || '", "name": null, "revision": ' || c || '}}' WHEN kind = 'tag' THEN '{{"collections": ["c1", "c2"], "id": "' || id || '", "revision": ' || next.revision || '}}'
-      ELSE '{{"deleted": ' || next.deleted || ', "doc": {{"ingredients": [{{"name": "salt"}}], "steps": [{{"text": "' || next.step || '"}}], "title": "' || next.title || '"}}, "id": "' || id || '", "revision": ' || next.revision || '}}' END,
-    CASE WHEN code IS NULL AND kind <> 'collect' THEN list_append(list_filter(recipes, lambda x: x.id <> next.id), next) ELSE recipes END,
-    CASE WHEN code IS NULL AND kind = 'collect' THEN list_append(list_filter(collections, lambda x: x.id <> seen.id), struct_pack(id := seen.id, revision := c)) ELSE collections END
-  FROM (
-    SELECT *, struct_pack(id := id) AS seen, coalesce(held_collection.revision, 0) + 1 AS c,
-      CASE kind WHEN 'delete' THEN CASE WHEN held.deleted THEN held ELSE struct_pack(id := id, title := held.title, step := held.step, made := held.made, revision := held.revision + 1, deleted := true, tagged := false) END
-        WHEN 'tag' THEN struct_pack(id := id, title := held.title, step := held.step, made := held.made, revision := held.revision, deleted := held.deleted, tagged := true)
-        WHEN 'save' THEN CASE WHEN held IS NULL THEN struct_pack(id := id, title := title, step := step, made := title || step, revision := 1::BIGINT, deleted := false, tagged := false) WHEN expected IS NULL THEN held
-          ELSE struct_pack(id := id, title := title, step := step, made := held.made, revision := held.revision + 1, deleted := false, tagged := held.tagged) END END AS next,
-      CASE WHEN again THEN '23505'
-        WHEN kind = 'save' THEN CASE WHEN held IS NOT NULL AND expected IS NULL AND held.made <> title || step THEN '23505' WHEN held.deleted THEN 'P0001' WHEN held.revision <> expected THEN '40001' WHEN held IS NULL AND expected IS NOT NULL THEN 'P0002' END
-        WHEN kind = 'delete' THEN CASE WHEN held IS NULL THEN 'P0002' WHEN held.deleted THEN NULL WHEN held.revision IS DISTINCT FROM expected THEN '40001' END
-        WHEN kind = 'tag' THEN CASE WHEN held IS NULL OR held.deleted THEN 'P0002' WHEN held.tagged THEN '40001' END
-        ELSE CASE WHEN held_collection.revision IS DISTINCT FROM expected AND held_collection IS NOT NULL THEN '40001' WHEN held_collection IS NULL AND expected IS NOT NULL THEN 'P0002' END END AS code
-    FROM (SELECT e.*, f.recipes, f.collections, f.op = e.op AND f.outcome = 'applied' AS again, list_filter(f.recipes, lambda x: x.id = e.id)[1] AS held, list_filter(f.collections, lambda x: x.id = e.id)[1] AS held_collection FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)
-  )
-), receipts AS (SELECT owner, seq, op AS operation_id, outcome, error_code, target, revision, result FROM f WHERE n > 0) """
+  SELECT owner, n, seq, op, CASE WHEN again AND same THEN 'replayed' WHEN code IS NULL THEN 'applied' ELSE 'error' END, code,
+    CASE WHEN code IS NULL THEN id END, CASE WHEN code IS NOT NULL THEN NULL WHEN again THEN old_revision WHEN kind IN ('save_recipe', 'delete_recipe') THEN next.revision WHEN kind = 'save_collection' THEN c END,
+    CASE WHEN code IS NULL AND kind IN ('save_recipe', 'delete_recipe') THEN next.title END, CASE WHEN code IS NULL AND kind IN ('save_recipe', 'delete_recipe') THEN next.deleted END,
+    CASE WHEN done AND kind IN ('save_recipe', 'delete_recipe') THEN list_append(list_filter(recipes, lambda x: x.id <> next.id), next) ELSE recipes END,
+    CASE WHEN done AND kind = 'save_collection' THEN list_append(list_filter(collections, lambda x: x.id <> me.id), struct_pack(id := me.id, revision := c)) WHEN done AND kind = 'delete_collection' THEN list_filter(collections, lambda x: x.id <> me.id) ELSE collections END,
+    CASE WHEN NOT done THEN members WHEN kind = 'delete_recipe' THEN list_filter(members, lambda m: m.r <> me.id) WHEN kind = 'delete_collection' THEN list_filter(members, lambda m: m.c <> me.id) WHEN kind = 'save_recipe' AND wants IS NOT NULL THEN list_append(members, struct_pack(r := me.id, c := wants))
+      WHEN kind = 'set_collections' THEN list_concat(list_filter(members, lambda m: m.r <> me.id), list_transform(wanted, lambda c: struct_pack(r := me.id, c := c))) ELSE members END
+  FROM (SELECT *, NOT again AND code IS NULL AS done FROM (
+    SELECT *, struct_pack(id := id) AS me, coalesce(collection.revision, 0) + 1 AS c,
+      CASE WHEN again AND same THEN struct_pack(id := id, title := old_title, made := '', revision := old_revision, deleted := old_deleted)
+        WHEN kind = 'delete_recipe' THEN CASE WHEN held.deleted THEN held ELSE struct_pack(id := id, title := held.title, made := held.made, revision := held.revision + 1, deleted := true) END
+        WHEN held IS NULL THEN struct_pack(id := id, title := title, made := title || step || (j % 13 = 0), revision := 1::BIGINT, deleted := false) WHEN revision IS NULL THEN held ELSE struct_pack(id := id, title := title, made := held.made, revision := held.revision + 1, deleted := false) END AS next,
+      CASE WHEN again THEN CASE WHEN NOT same THEN '23505' END
+        WHEN kind = 'save_recipe' THEN coalesce(CASE WHEN j % 17 = 0 THEN '22023' WHEN held IS NOT NULL AND revision IS NULL THEN CASE WHEN held.made <> title || step || (j % 13 = 0) THEN '23505' WHEN held.deleted THEN 'P0001' END
+            WHEN held.deleted THEN 'P0001' WHEN held.revision <> revision THEN '40001' WHEN held IS NULL AND revision IS NOT NULL THEN 'P0002' WHEN j % 13 = 0 THEN '23514' END,
+          CASE WHEN wants IS NOT NULL THEN CASE WHEN revision IS NOT NULL THEN '22023' WHEN NOT list_contains(list_transform(collections, lambda x: x.id), wants) THEN '23503' WHEN list_contains(own, wants) THEN '23505' END END)
+        WHEN kind = 'delete_recipe' THEN CASE WHEN held IS NULL THEN 'P0002' WHEN NOT held.deleted AND held.revision <> revision THEN '40001' END
+        WHEN kind = 'set_collections' THEN CASE WHEN held IS NULL OR held.deleted THEN 'P0002' WHEN list_sort(own) IS DISTINCT FROM expected THEN '40001' WHEN NOT list_has_all(list_transform(collections, lambda x: x.id), wanted) THEN '23503' END
+        WHEN kind = 'save_collection' THEN CASE WHEN collection IS NOT NULL AND collection.revision IS DISTINCT FROM revision THEN '40001' WHEN collection IS NULL AND revision IS NOT NULL THEN 'P0002' WHEN j % 7 = 0 THEN '23514' END
+        ELSE CASE WHEN collection IS NOT NULL AND collection.revision IS DISTINCT FROM revision THEN '40001' END END AS code
+    FROM (SELECT e.*, f.recipes, f.collections, f.members, f.revision AS old_revision, f.title AS old_title, f.deleted AS old_deleted, f.op = e.op AND f.outcome = 'applied' AS again, e.seq % 38 = 0 AS same, list_filter(f.recipes, lambda x: x.id = e.id)[1] AS held, list_filter(f.collections, lambda x: x.id = e.id)[1] AS collection,
+        list_transform(list_filter(f.members, lambda m: m.r = e.id), lambda m: m.c) AS own FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)
+  ))
+), receipts AS (SELECT owner::VARCHAR AS owner, seq, 'op' || op AS operation_id, outcome, error_code, target, revision, title, deleted FROM f WHERE n > 0) """
 
 SUBMIT_SQL = f"""WITH RECURSIVE e AS (
   SELECT owner, seq, op, n, event_type = 'view' AS finish, 'k' || (seq % 40) AS key, 'h' || (seq % 80) AS hash, strftime(ts, '%Y-%m-%d') AS day FROM ({OPS_SQL})
@@ -296,23 +307,45 @@ def _log(spark: SparkSession, d: str, kind, payload) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("owner"), F.col("event_id").alias("seq"), F.concat(F.lit("op"), (F.col("event_id") - F.when(F.col("event_id") % 19 == 0, 1).otherwise(0)).cast("string")).alias("operation_id"), kind.alias("kind"), payload.alias("payload"))
 
 
-def _recipes(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id")
-    doc = F.struct(F.concat(F.lit("r"), (i % 9).cast("string")).alias("title"), F.array(F.struct(F.lit("salt").alias("name"))).alias("ingredients"), F.array(F.struct(F.col("event_type").alias("text"))).alias("steps"))
-    target = F.concat(F.lit("t"), (i % 6).cast("string"))
-    kind = F.when(i % 7 == 0, "delete_recipe").when(i % 7 == 1, "set_collections").when(i % 7 == 2, "save_collection").otherwise("save_recipe")
-    payload = F.to_json(F.struct(target.alias("id"), doc.alias("recipe"), F.when(i % 2 == 0, (i % 3) + 1).alias("expected_revision"), F.when(i % 7 == 1, F.array(F.lit("c1"), F.lit("c2"))).alias("collections")))
-    return _log(spark, d, kind, payload)
+def library_log(spark: SparkSession, d: str) -> DataFrame:
+    """events as operations on fifty owners' libraries; some drafts have an unknown key in an ingredient, some a negative quantity, and a retry writes its numbers in another way."""
+    w = Window.partitionBy(F.col("user_id") % 50).orderBy("event_id")
+    e = table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("owner"), F.col("event_id").alias("seq"), F.col("event_type").alias("step"), F.lag("event_id").over(w).alias("before"), F.lag("event_type").over(w).alias("step_before"))
+    retry = F.col("seq") % 38 == 0
+    e = e.withColumns({"j": F.when(retry, F.coalesce("before", "seq")).otherwise(F.col("seq")), "step": F.when(retry, F.coalesce("step_before", "step")).otherwise(F.col("step")), "op": F.when(F.col("seq") % 19 == 0, F.coalesce("before", "seq")).otherwise(F.col("seq"))})
+    j, text = F.col("j"), lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    one = F.when(retry, "1.0").otherwise("1")
+    ingredient = F.concat(F.lit('{"position": '), one, F.lit(', "raw_text": "salt", "name": "salt", "evidence_source": "manual", "is_estimated": false'), F.when(j % 13 == 0, ', "quantity": -1').otherwise(""), F.when(j % 17 == 0, ', "bogus": 1').otherwise(""), F.lit("}"))
+    draft = F.concat(F.lit('{"schema_version": "1.0", "source": {"url": "https://example.org/", "platform": "web", "source_kind": "manual"}, "warnings": [], "title": "r'), (j % 9).cast("string"), F.lit('", "ingredients": ['), ingredient, F.lit('], "steps": [{"position": '), F.lit("1"), F.lit(', "text": "'), F.col("step"), F.lit('"}]}'))
+    part = lambda name, value: F.coalesce(F.concat(F.lit(f', "{name}": '), value), F.lit(""))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    c0, c1 = text("c", j % 4), text("c", (j + 1) % 4)
+    wanted = F.when(j % 11 == 1, F.to_json(F.array(c0, c1, c0))).otherwise("[]")
+    expected = F.when(j % 4 == 0, None).when(j % 4 == 1, "[]").when(j % 8 == 2, '["c0", "c1"]').when(j % 8 == 6, '["c1", "c0"]').otherwise(F.to_json(F.array(c0)))
+    save, about = j % 11 > 5, (j % 11).between(3, 5)
+    kind = F.when(j % 11 == 0, "delete_recipe").when(j % 11 <= 2, "set_collections").when(j % 11 <= 4, "save_collection").when(j % 11 == 5, "delete_collection").otherwise("save_recipe")
+    payload = F.concat(
+        F.lit('{"id": '), quoted(F.when(about, c0).otherwise(text("t", j % 6))), part("draft", F.when(save, draft)), part("revision", F.when(j % 2 == 0, (j % 3 + 1).cast("string"))), part("collection_id", F.when(save & (j % 5 == 0), quoted(c0))),
+        part("name", F.when(j % 7 == 0, '"  "').otherwise('"mine"')), part("collection_ids", F.when((j % 11).isin(1, 2), wanted)), part("expected_collection_ids", F.when((j % 11).isin(1, 2), expected)), F.lit("}"),
+    )
+    return e.select("owner", "seq", text("op", F.col("op")).alias("operation_id"), kind.alias("kind"), payload.alias("payload"))
+
+
+def _receipts(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda p: F.get_json_object("result", p)
+    return library.receipts(library_log(spark, d)).withColumns({"title": part("$.doc.title"), "deleted": part("$.deleted").cast("boolean")})
 
 
 @query(RECEIPTS_SQL + "SELECT * FROM receipts")
 def op_receipts(spark: SparkSession, d: str) -> DataFrame:
-    return oplog.fold(_recipes(spark, d), oplog.library)
+    return _receipts(spark, d).drop("result")
 
 
-@query(RECEIPTS_SQL + "SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(result, seq) AS result, count(*) AS changes FROM receipts WHERE outcome = 'applied' GROUP BY owner, target")
+@query(RECEIPTS_SQL + "SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(title, seq) AS title, arg_max(deleted, seq) AS deleted, count(*) AS changes FROM receipts WHERE outcome = 'applied' AND deleted IS NOT NULL GROUP BY owner, target")
 def recipe_state(spark: SparkSession, d: str) -> DataFrame:
-    return oplog.states(op_receipts(spark, d))
+    part = lambda p: F.get_json_object("result", p)
+    state = oplog.states(library.receipts(library_log(spark, d)).where(part("$.deleted").isNotNull()))
+    return state.select("owner", "target", "revision", part("$.doc.title").alias("title"), part("$.deleted").cast("boolean").alias("deleted"), "changes")
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS owner, event_id, (['flour', 'salt', 'milk'])[event_id % 3 + 1] AS name, event_id % 4 <> 1 AS weighed, (event_id % 10 + 1) * CASE WHEN event_id % 4 = 0 THEN 1000 ELSE 1 END AS quantity FROM events a

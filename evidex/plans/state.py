@@ -11,7 +11,7 @@ from evidex.operators import contracts, ledger, oplog, quality, relational, repo
 from evidex.sources.tables import ROUTES_SQL, as_of, jobs, route_rows, table
 
 from .contracts import CASES_SQL, _cases
-from .relational import NOW, RECEIPTS_SQL, op_receipts
+from .relational import NOW, RECEIPTS_SQL, recipe_state
 
 QUERIES, SQL = {}, {}
 
@@ -139,16 +139,15 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return relational.cascade(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), orders, ["l_orderkey"])
 
 
-@query(RECEIPTS_SQL + """, s AS (SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(result, seq) AS result FROM receipts WHERE outcome = 'applied' AND json_exists(result, '$.deleted') GROUP BY owner, target)
-  SELECT owner, target, result ->> '$.doc.title' AS title, revision, 'note=2,owner=' || owner || ',title=' || (result ->> '$.doc.title') AS document FROM s WHERE result ->> '$.deleted' = 'false'""")
+@query(RECEIPTS_SQL + """, s AS (SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(title, seq) AS title, arg_max(deleted, seq) AS deleted FROM receipts WHERE outcome = 'applied' AND deleted IS NOT NULL GROUP BY owner, target)
+  SELECT owner, target, title, revision, 'note=2,owner=' || owner || ',title=' || title AS document FROM s WHERE NOT deleted""")
 def library_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Each owner's recipes without tombstones, their document merged with what the snapshot adds."""
-    kept = oplog.states(op_receipts(spark, d).where(F.get_json_object("result", "$.deleted").isNotNull()))
-    title = F.get_json_object("result", "$.doc.title")
-    own = F.create_map(F.lit("title"), title, F.lit("note"), F.lit("1"))
+    kept = recipe_state(spark, d).where(~F.col("deleted"))
+    own = F.create_map(F.lit("title"), F.col("title"), F.lit("note"), F.lit("1"))
     document = relational.merged(own, F.create_map(F.lit("owner"), F.col("owner"), F.lit("note"), F.lit("2")))
     text = F.array_join(F.transform(F.array_sort(F.map_entries(document)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return kept.where(F.get_json_object("result", "$.deleted") == "false").select("owner", "target", title.alias("title"), "revision", text.alias("document"))
+    return kept.select("owner", "target", "title", "revision", text.alias("document"))
 
 
 CALLS_SQL = "SELECT user_id AS session, event_id AS seq, event_type || (event_id % 3) AS stage, CASE WHEN event_id % 37 > 0 THEN ((event_id % 9) * 100)::BIGINT END AS reservation, CASE WHEN event_id % 4 > 0 THEN ((event_id % 11) * 90)::BIGINT END AS cost, event_id % 6 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events"

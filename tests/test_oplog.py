@@ -3,33 +3,12 @@ import json
 from evidex.operators import oplog
 
 LOG = "owner string, seq bigint, operation_id string, kind string, payload string"
-DOC = {"title": "Bread", "ingredients": [{"name": "flour"}], "steps": [{"text": "Mix"}]}
-
 
 def folded(spark, apply, ops, owner="o"):
     rows = [(owner, i, op, kind, payload if isinstance(payload, str) or payload is None else json.dumps(payload)) for i, (op, kind, payload) in enumerate(ops)]
     return [(r.outcome, r.error_code, r.target, r.revision) for r in oplog.fold(spark.createDataFrame(rows, LOG), apply).orderBy("seq").collect()]
 
 
-def test_library(spark):
-    save = lambda rev=None, **x: {"id": "r", "recipe": DOC | x, "expected_revision": rev}
-    got = folded(
-        spark,
-        oplog.library,
-        [
-            ("1", "save_recipe", save()), ("1", "save_recipe", save()), ("1", "save_recipe", save(title="x")), ("2", "save_recipe", save()), ("3", "save_recipe", save(title="other")), ("4", "save_recipe", save(1, title="new")), ("5", "save_recipe", save(1)),
-            ("6", "save_recipe", {"id": "q", "recipe": DOC, "expected_revision": 1}), ("7", "save_recipe", {"id": "q", "recipe": DOC | {"odd": 1}}), ("8", "set_collections", {"id": "r", "collections": ["b", "a", "b"]}),
-            ("9", "set_collections", {"id": "r", "collections": [], "expected_collections": ["a"]}), ("10", "delete_recipe", {"id": "r", "expected_revision": 1}), ("11", "delete_recipe", {"id": "r", "expected_revision": 2}),
-            ("12", "delete_recipe", {"id": "r", "expected_revision": 1}), ("13", "save_recipe", save(3)), ("14", "unknown", {"id": "r"}), (None, "save_recipe", save()), ("15", "save_recipe", "not json"), ("5", "delete_collection", {"id": "none"}),
-        ],
-    )
-    ok, err = "applied", "error"
-    assert got == [
-        (ok, None, "r", 1), ("replayed", None, "r", 1), (err, "23505", None, None), (ok, None, "r", 1), (err, "23505", None, None), (ok, None, "r", 2), (err, "40001", None, None), (err, "P0002", None, None), (err, "22023", None, None),
-        (ok, None, "r", 2), (err, "40001", None, None), (err, "40001", None, None), (ok, None, "r", 3), (ok, None, "r", 3), (err, "P0001", None, None), (err, "22023", None, None), (err, "22023", None, None), (err, "22023", None, None), (ok, None, "none", None),
-    ]
-
-
 def test_shopping_merges_weights_of_one_product(spark):
     add = lambda i, raw, q, unit="g", name="flour", **x: (f"op{i}", "add", {"id": f"i{i}", "name": name, "raw_text": raw, "quantity": q, "unit": unit} | x)
     ops = [
@@ -55,9 +34,9 @@ def test_submissions(spark):
 
 
 def test_owners_are_apart_and_empty_logs_fold(spark):
-    rows = [(o, 1, "op", "save_recipe", json.dumps({"id": "r", "recipe": DOC})) for o in "ab"]
-    assert {(r.owner, r.outcome) for r in oplog.fold(spark.createDataFrame(rows, LOG), oplog.library).collect()} == {("a", "applied"), ("b", "applied")}
-    assert oplog.fold(spark.createDataFrame([], LOG), oplog.library).collect() == []
+    rows = [(o, 1, "op", "submit", json.dumps({"key": "k", "hash": "h", "day": "1"})) for o in "ab"]
+    assert {(r.owner, r.outcome) for r in oplog.fold(spark.createDataFrame(rows, LOG), oplog.submitter()).collect()} == {("a", "applied"), ("b", "applied")}
+    assert oplog.fold(spark.createDataFrame([], LOG), oplog.submitter()).collect() == []
 
 
 def test_reservations(spark):
