@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.operators import contracts, ledger, oplog, quality, relational, reports
+from evidex.operators import cascade, contracts, ledger, oplog, quality, relational, reports
 from evidex.sources.tables import ROUTES_SQL, as_of, jobs, route_rows, table
 
 from .contracts import CASES_SQL, _cases
@@ -139,6 +140,34 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return relational.cascade(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), orders, ["l_orderkey"])
 
 
+PART_OF = "CASE WHEN n_nationkey % 5 > 0 THEN (n_nationkey * 7 + 3) % 25 END"
+
+
+@query(f"""WITH RECURSIVE gone_nation AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0 AND n_nationkey > 10 UNION SELECT n_nationkey FROM (SELECT n_nationkey, {PART_OF} AS whole FROM nation) JOIN gone_nation ON whole = k),
+  gone_customer AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < -900 OR c_nationkey IN (SELECT k FROM gone_nation)), gone_supplier AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM gone_nation)),
+  gone_orders AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM gone_customer))
+  SELECT 'nation' AS name, n_nationkey::BIGINT AS id, NULL::INT AS line, NULL::BIGINT AS part FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone_nation) UNION ALL SELECT 'customer', c_custkey, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone_customer)
+  UNION ALL SELECT 'supplier', s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM gone_supplier) UNION ALL SELECT 'orders', o_orderkey, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM gone_orders)
+  UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM gone_orders) AND l_suppkey NOT IN (SELECT k FROM gone_supplier)""")
+def cascade_closure(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of five tables when some nations and customers are deleted; nations are parts of others, in circles too."""
+    n = F.col("n_nationkey")
+    tables = {name: table(spark, d, name) for name in ("nation", "customer", "supplier", "orders", "lineitem")}
+    tables["nation"] = tables["nation"].withColumn("whole", F.when(n % 5 > 0, (n * 7 + 3) % 25))
+    edge = lambda child, column, parent, key: cascade.Reference(child, (column,), parent, (key,))
+    references = [
+        edge("nation", "whole", "nation", "n_nationkey"), edge("customer", "c_nationkey", "nation", "n_nationkey"), edge("supplier", "s_nationkey", "nation", "n_nationkey"), edge("orders", "o_custkey", "customer", "c_custkey"),
+        edge("lineitem", "l_orderkey", "orders", "o_orderkey"), edge("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ]
+    deleted = {"nation": tables["nation"].where("n_regionkey = 0 AND n_nationkey > 10"), "customer": tables["customer"].where("c_acctbal < -900")}
+    left, _ = cascade.cascade_closure(tables, references, deleted)
+    ids = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
+    none = [F.lit(None).cast("int").alias("line"), F.lit(None).cast("bigint").alias("part")]
+    rows = [left[t].select(F.lit(t).alias("name"), F.col(k).cast("bigint").alias("id"), *none) for t, k in ids.items()]
+    lines = left["lineitem"].select(F.lit("lineitem").alias("name"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    return reduce(DataFrame.unionByName, [*rows, lines])
+
+
 @query(RECEIPTS_SQL + """, s AS (SELECT owner, target, arg_max(revision, seq) AS revision, arg_max(title, seq) AS title, arg_max(deleted, seq) AS deleted FROM receipts WHERE outcome = 'applied' AND deleted IS NOT NULL GROUP BY owner, target)
   SELECT owner, target, title, revision, 'note=2,owner=' || owner || ',title=' || title AS document FROM s WHERE NOT deleted""")
 def library_snapshot(spark: SparkSession, d: str) -> DataFrame:
