@@ -215,7 +215,13 @@ def apply(state: dict, op: dict) -> dict:
     raise Refused(BAD_SHAPE)
 
 
+def checks() -> dict[str, Column]:
+    """What a log's payloads alone decide, for ``fold`` or a stream: shape_code and rows_code of drafts to be saved."""
+    draft = F.when(F.col("kind") == "save_recipe", _part(F.try_parse_json("payload"), "$.draft"))
+    of = lambda code: F.when(F.col("kind") == "save_recipe", code)
+    return {"shape_code": of(shape_code(draft)), "rows_code": of(rows_code(draft))}
+
+
 def receipts(log: DataFrame) -> DataFrame:
     """Receipts of a log (owner, seq, operation_id, kind, payload JSON) of library operations."""
-    draft = F.when(F.col("kind") == "save_recipe", _part(F.try_parse_json("payload"), "$.draft"))
-    return fold(log, apply, shape_code=F.when(F.col("kind") == "save_recipe", shape_code(draft)), rows_code=F.when(F.col("kind") == "save_recipe", rows_code(draft)))
+    return fold(log, apply, **checks())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from decimal import Decimal, InvalidOperation
 
@@ -98,16 +99,21 @@ def can_merge(item: dict, product: tuple) -> bool:
     return known and not item["deleted"] and not item["checked"] and (item["name"].lower(), item["preparation"]) == product and plain(item["raw_text"]) == product[0]
 
 
-def file_under(by_product: dict, items: dict, key: str) -> None:
-    """Lists an item under its product in the order of time and id, which is the order of merging."""
-    item = items[key]
-    place = (item["at"], item["id"])
-    held = by_product.setdefault((item["name"].lower(), item["preparation"]), [])
-    at = len(held)
-    while at and (items[held[at - 1]]["at"], held[at - 1]) > place:  # nearly always the last
-        at -= 1
-    if not at or held[at - 1] != key:
-        held.insert(at, key)
+def file_under(by_product: dict, item: dict) -> None:
+    """Lists an item that may be merged with, and no other, under its product in the order of time and id, which is the order of merging."""
+    place = [item["at"], item["id"]]
+    product = json.dumps([item["name"].lower(), item["preparation"]], ensure_ascii=False)
+    if item.get("filed") is not None:
+        old = by_product[item["filed"]]
+        old.pop(bisect_left(old, place))
+    item["filed"] = product if can_merge(item, (item["name"].lower(), item["preparation"])) else None
+    if item["filed"] is not None:
+        insort(by_product.setdefault(product, []), place)
+
+
+def shown(item: dict, source: dict | None = None) -> dict:
+    """An item as its receipt shows it: with the number of its sources and, where the operation added one, that one."""
+    return {k: v for k, v in item.items() if k != "filed"} | ({"source": source} if source else {})
 
 
 def shopping(state: dict, op: dict) -> dict:
@@ -126,15 +132,14 @@ def shopping(state: dict, op: dict) -> dict:
             unit, low, high = "g", low and low * 1000, high and high * 1000
         name, raw = (p.get("name") or "").strip(), p.get("raw_text") or ""
         source = {"operation_id": op["operation_id"], "raw_text": raw}
-        product = (name.lower(), p.get("preparation"))
-        if low is not None and high is None and unit == "g" and plain(raw) == name.lower():
-            for other in (items[i] for i in by_product.get(product, ())):
-                if can_merge(other, product):
-                    other.update(quantity=other["quantity"] + low, revision=other["revision"] + 1, sources=[*other["sources"], source])
-                    return dict(other)
-        items[p["id"]] = {"id": p["id"], "name": name, "raw_text": raw, "quantity": low, "quantity_max": high, "unit": unit, "preparation": p.get("preparation"), "checked": False, "notes": p.get("notes"), "deleted": False, "revision": 1, "sources": [source], "at": int(op["seq"])}
-        file_under(by_product, items, p["id"])
-        return dict(items[p["id"]])
+        product = json.dumps([name.lower(), p.get("preparation")], ensure_ascii=False)
+        if low is not None and high is None and unit == "g" and plain(raw) == name.lower() and (places := by_product.get(product)):
+            other = items[places[0][1]]
+            other.update(quantity=other["quantity"] + low, revision=other["revision"] + 1, sources=other["sources"] + 1)
+            return shown(other, source)
+        item = items[p["id"]] = {"id": p["id"], "name": name, "raw_text": raw, "quantity": low, "quantity_max": high, "unit": unit, "preparation": p.get("preparation"), "checked": False, "notes": p.get("notes"), "deleted": False, "revision": 1, "sources": 1, "at": int(op["seq"])}
+        file_under(by_product, item)
+        return shown(item, source)
     if op["kind"] not in ("edit", "checked", "delete"):
         raise Refused(BAD_SHAPE)
     if not held or held["deleted"]:
@@ -144,27 +149,37 @@ def shopping(state: dict, op: dict) -> dict:
     match op["kind"]:
         case "edit":
             held.update(name=(p.get("name") or "").strip(), quantity=amount(p.get("quantity")), quantity_max=amount(p.get("quantity_max")), unit=p.get("unit"), notes=p.get("notes"))
-            file_under(by_product, items, p["id"])
         case "checked":
             held["checked"] = bool(p.get("checked"))
         case "delete":
             held["deleted"] = True
     held["revision"] += 1
-    return dict(held)
+    file_under(by_product, held)
+    return shown(held)
+
+
+def sources(receipts: DataFrame) -> DataFrame:
+    """(owner, target, n, operation_id, raw_text): the sources of every shopping item, one row each, in the order in which they were added."""
+    part = lambda p: F.get_json_object("result", p)
+    added = receipts.where((F.col("outcome") == "applied") & part("$.source").isNotNull())
+    return added.select("owner", "target", part("$.sources").cast("bigint").alias("n"), "operation_id", part("$.source.raw_text").alias("raw_text"))
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------------------------
 
 
 def submitter(*, enabled: bool = True, most_active: int = 3, most_a_day: int = 10) -> Callable[[dict, dict], dict]:
-    """apply() for submissions: payload key, hash, day, and end (a finished job's key). A known key replays or conflicts before any quota."""
+    """apply() for submissions: payload key, hash, day, and end (a finished job's key). A known key replays or conflicts before any quota. Active jobs and a day's are counted as they come and go."""
 
     def submit(state: dict, op: dict) -> dict:
-        p, jobs = op["payload"], state.setdefault("jobs", {})
+        p, jobs, counts = op["payload"], state.setdefault("jobs", {}), state.setdefault("counts", {})
+        day = f"day {p.get('day')}"
         if op["kind"] == "finish":
-            if p.get("key") not in jobs:
+            held = jobs.get(p.get("key"))
+            if not held:
                 raise Refused(MISSING)
-            jobs[p["key"]]["active"] = False
+            counts["active"] -= held["active"]
+            held["active"] = False
             return {"id": p["key"], "status": "finished"}
         held = jobs.get(p.get("key"))
         if held:
@@ -173,9 +188,10 @@ def submitter(*, enabled: bool = True, most_active: int = 3, most_a_day: int = 1
             return {"id": held["id"], "status": "replayed"}
         if not enabled:
             raise Refused("503")
-        if sum(j["active"] for j in jobs.values()) >= most_active or sum(j["day"] == p.get("day") for j in jobs.values()) >= most_a_day:
+        if counts.get("active", 0) >= most_active or counts.get(day, 0) >= most_a_day:
             raise Refused("429")
-        jobs[p.get("key")] = {"id": f"{op['owner']}/{p.get('key')}", "hash": p.get("hash"), "day": p.get("day"), "active": True}
+        counts["active"], counts[day] = counts.get("active", 0) + 1, counts.get(day, 0) + 1
+        jobs[p.get("key")] = {"id": f"{op['owner']}/{p.get('key')}", "hash": p.get("hash"), "active": True}
         return {"id": jobs[p.get("key")]["id"], "status": "queued"}
 
     return submit
@@ -217,8 +233,12 @@ def job_machine() -> dict[tuple[str, str], str]:
     return {("queued", "claim"): "running", ("running", "finish"): "succeeded", ("running", "fail"): "failed", ("running", "retry"): "queued", ("queued", "cancel"): "canceled", ("running", "cancel"): "canceled"}
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job, status, attempts, fencing_token, refused): a job's events (job, seq, event, token) folded; a finish, fail or retry under an old token is refused."""
+def job_states(events: DataFrame, *, most_attempts: int = 3, most_output: int = 2 << 20) -> DataFrame:
+    """(job, status, attempts, fencing_token, refused): a job's events (job, seq, event, token, and output_bytes if there are any) folded.
+
+    A finish, fail or retry under an old token is refused, a retry without attempts left fails, and so does a finish whose result is too large.
+    """
+    has_output = "output_bytes" in events.columns
 
     moves = job_machine()
 
@@ -229,7 +249,8 @@ def job_states(events: DataFrame) -> DataFrame:
         else:
             if e["event"] == "claim":
                 held.update(attempts=held["attempts"] + 1, token=held["token"] + 1)
-            held["status"] = to
+            spent = e["event"] == "retry" and held["attempts"] >= most_attempts
+            held["status"] = "failed" if spent or e["event"] == "finish" and has_output and (e["output_bytes"] or 0) > most_output else to
         return []
 
     schema = f"job {events.schema['job'].dataType.simpleString()}, status string, attempts bigint, fencing_token bigint, refused bigint"

@@ -296,7 +296,7 @@ MACHINE_SQL = """WITH RECURSIVE e AS (
 ), f AS (
   SELECT DISTINCT job, 0::BIGINT AS n, 'queued' AS status, 0::BIGINT AS attempts, 0::BIGINT AS refused FROM e
   UNION ALL
-  SELECT e.job, e.n, CASE WHEN e.event = 'claim' AND f.status = 'queued' THEN 'running' WHEN f.status = 'running' AND e.token = f.attempts THEN CASE e.event WHEN 'finish' THEN 'succeeded' WHEN 'fail' THEN 'failed' WHEN 'retry' THEN 'queued' ELSE f.status END ELSE f.status END,
+  SELECT e.job, e.n, CASE WHEN e.event = 'claim' AND f.status = 'queued' THEN 'running' WHEN f.status = 'running' AND e.token = f.attempts THEN CASE e.event WHEN 'finish' THEN 'succeeded' WHEN 'fail' THEN 'failed' WHEN 'retry' THEN CASE WHEN f.attempts < 3 THEN 'queued' ELSE 'failed' END ELSE f.status END ELSE f.status END,
     f.attempts + CASE WHEN e.event = 'claim' AND f.status = 'queued' THEN 1 ELSE 0 END, f.refused + CASE WHEN e.event = 'claim' THEN CASE WHEN f.status = 'queued' THEN 0 ELSE 1 END WHEN f.status = 'running' AND e.token = f.attempts THEN 0 ELSE 1 END
   FROM f JOIN e ON e.job = f.job AND e.n = f.n + 1
 ) SELECT job, status, attempts, attempts AS fencing_token, refused FROM f QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1"""

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .logs import WEEK_MS, in_order
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RECEIPTS = "owner string, operation_id string, outcome string"
 LEASES = "job string, seq bigint, outcome string, fencing_token bigint"
@@ -28,19 +30,21 @@ def with_state_store(spark: SparkSession) -> SparkSession:
 class Receipts(StatefulProcessor):
     """The first request of an operation id is applied, an equal one later replayed, another one a conflict."""
 
+    def __init__(self, keep_ms: int = WEEK_MS):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "operation_id string", "request string")
+        self.seen = handle.getMapState("seen", "operation_id string", "request string", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("seq").itertuples():
-                op = (r.operation_id,)
-                known = self.seen.getValue(op)[0] if self.seen.containsKey(op) else None
-                if known is None:
-                    self.seen.updateValue(op, (r.request,))
-                out.append((key[0], r.operation_id, "applied" if known is None else "replayed" if known == r.request else "conflict"))
-            yield pd.DataFrame(out, columns=["owner", "operation_id", "outcome"])
+        out = []
+        for r in in_order(rows, ["seq"]).itertuples():
+            op = (r.operation_id,)
+            known = self.seen.getValue(op)[0] if self.seen.containsKey(op) else None
+            if known is None:
+                self.seen.updateValue(op, (r.request,))
+            out.append((key[0], r.operation_id, "applied" if known is None else "replayed" if known == r.request else "conflict"))
+        yield pd.DataFrame(out, columns=["owner", "operation_id", "outcome"])
 
     def close(self) -> None:
         pass
@@ -56,50 +60,53 @@ class Leases(StatefulProcessor):
         self.lease = handle.getValueState("lease", "fencing_token bigint, until double, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("seq").itertuples():
-                token, until, done = self.lease.get() if self.lease.exists() else (0, 0.0, False)
-                now, outcome = r.ts.timestamp(), "lease_lost"
-                if r.event == "claim":
-                    outcome = "finished" if done else "busy" if now < until else "claimed"
-                    if outcome == "claimed":
-                        token, until = token + 1, now + self.lease_seconds
-                elif r.token == token and now < until and not done:
-                    outcome = "finished" if r.event == "finish" else "renewed"
-                    done, until = r.event == "finish", until if r.event == "finish" else now + self.lease_seconds
-                self.lease.update((token, until, done))
-                out.append((key[0], r.seq, outcome, token))
-            yield pd.DataFrame(out, columns=["job", "seq", "outcome", "fencing_token"])
+        out = []
+        for r in in_order(rows, ["seq"]).itertuples():
+            token, until, done = self.lease.get() if self.lease.exists() else (0, 0.0, False)
+            now, outcome = r.ts.timestamp(), "lease_lost"
+            if r.event == "claim":
+                outcome = "finished" if done else "busy" if now < until else "claimed"
+                if outcome == "claimed":
+                    token, until = token + 1, now + self.lease_seconds
+            elif r.token == token and now < until and not done:
+                outcome = "finished" if r.event == "finish" else "renewed"
+                done, until = r.event == "finish", until if r.event == "finish" else now + self.lease_seconds
+            self.lease.update((token, until, done))
+            out.append((key[0], r.seq, outcome, token))
+        yield pd.DataFrame(out, columns=["job", "seq", "outcome", "fencing_token"])
 
     def close(self) -> None:
         pass
 
 
 class Liveness(StatefulProcessor):
-    """A worker is live from its first beat; a timer says when it has been silent for ``silent_seconds`` of event time."""
+    """A worker is live from its first beat; a timer says when it has been silent for ``silent_seconds`` of event time, and one forgets it after ``forget_seconds``."""
 
-    def __init__(self, silent_seconds: int = 90):
-        self.silent_ms = silent_seconds * 1000
+    def __init__(self, silent_seconds: int = 90, forget_seconds: int = WEEK_MS // 1000):
+        self.silent_ms, self.forget_ms = silent_seconds * 1000, forget_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint")
+        self.last = handle.getValueState("last", "ms bigint, silent boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            newest = int(batch["ts"].max().timestamp() * 1000)
-            held = self.last.get()[0] if self.last.exists() else None
-            if held is None or newest > held:
-                self.last.update((newest,))
-                self.handle.registerTimer(newest + self.silent_ms)
-            if held is None:
-                yield pd.DataFrame([(key[0], True, batch["ts"].min())], columns=["worker", "live", "at"])
+        times = pd.concat(list(rows))["ts"]
+        newest = int(times.max().timestamp() * 1000)
+        held, silent = self.last.get() if self.last.exists() else (None, True)
+        if held is None or newest > held:
+            self.last.update((newest, False))
+            self.handle.registerTimer(newest + self.silent_ms)
+            if silent:
+                yield pd.DataFrame([(key[0], True, times.min())], columns=["worker", "live", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.last.exists() and self.last.get()[0] + self.silent_ms == due:
+        held, silent = self.last.get() if self.last.exists() else (None, True)
+        if held is not None and silent and held + self.forget_ms == due:
             self.last.clear()
+        elif held is not None and not silent and held + self.silent_ms == due:
+            self.last.update((held, True))
+            self.handle.registerTimer(held + self.forget_ms)
             yield pd.DataFrame([(key[0], False, pd.Timestamp(due, unit="ms"))], columns=["worker", "live", "at"])
 
     def close(self) -> None:
@@ -117,23 +124,22 @@ class Retries(StatefulProcessor):
         self.wait = handle.getValueState("wait", "due bigint, attempt int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("seq").itertuples():
-                due, attempt = self.wait.get() if self.wait.exists() else (0, 0)
-                if due:
-                    self.handle.deleteTimer(due)
-                if 0 < due <= r.ts.timestamp() * 1000:  # its timer would have gone off before this event
-                    attempt += 1
-                    out.append((key[0], "due", attempt, pd.Timestamp(due, unit="ms")))
-                if r.event == "cancel" or attempt >= self.most_attempts:
-                    self.wait.clear()
-                    out.append((key[0], "canceled" if r.event == "cancel" else "failed", attempt, r.ts))
-                else:
-                    due = int(r.due.timestamp() * 1000)
-                    self.handle.registerTimer(due)
-                    self.wait.update((due, attempt))
-            yield pd.DataFrame(out, columns=["job", "outcome", "attempt", "at"])
+        out = []
+        for r in in_order(rows, ["seq"]).itertuples():
+            due, attempt = self.wait.get() if self.wait.exists() else (0, 0)
+            if due:
+                self.handle.deleteTimer(due)
+            if 0 < due <= r.ts.timestamp() * 1000:  # its timer would have gone off before this event
+                attempt += 1
+                out.append((key[0], "due", attempt, pd.Timestamp(due, unit="ms")))
+            if r.event == "cancel" or attempt >= self.most_attempts:
+                self.wait.clear()
+                out.append((key[0], "canceled" if r.event == "cancel" else "failed", attempt, r.ts))
+            else:
+                due = int(r.due.timestamp() * 1000)
+                self.handle.registerTimer(due)
+                self.wait.update((due, attempt))
+        yield pd.DataFrame(out, columns=["job", "outcome", "attempt", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
@@ -146,9 +152,9 @@ class Retries(StatefulProcessor):
         pass
 
 
-def receipts(operations: DataFrame) -> DataFrame:
-    """operations: owner, seq, operation_id, request."""
-    return operations.groupBy("owner").transformWithStateInPandas(Receipts(), RECEIPTS, "append", "none")
+def receipts(operations: DataFrame, *, keep_ms: int = WEEK_MS) -> DataFrame:
+    """operations: owner, seq, operation_id, request. Receipts are forgotten ``keep_ms`` after they were written."""
+    return operations.groupBy("owner").transformWithStateInPandas(Receipts(keep_ms), RECEIPTS, "append", "processingTime")
 
 
 def leases(events: DataFrame, *, lease_seconds: int = 120) -> DataFrame:

@@ -22,8 +22,17 @@ def test_shopping_merges_weights_of_one_product(spark):
     assert [g[:2] for g in got[7:]] == [("error", "40001"), ("applied", None), ("applied", None), ("applied", None), ("error", "P0002"), ("error", "23505"), ("error", "22023"), ("error", "P0002")]
     assert got[9][2] == "i8"
     rows = [("o", i, op, kind, json.dumps(p)) for i, (op, kind, p) in enumerate(ops[:2])]
-    state = oplog.states(oplog.fold(spark.createDataFrame(rows, LOG), oplog.shopping)).collect()
-    assert len(state) == 1 and json.loads(state[0].result)["quantity"] in ("1000.0", "1000") and len(json.loads(state[0].result)["sources"]) == 2
+    receipts = oplog.fold(spark.createDataFrame(rows, LOG), oplog.shopping)
+    state = oplog.states(receipts).collect()
+    assert len(state) == 1 and json.loads(state[0].result)["quantity"] in ("1000.0", "1000") and json.loads(state[0].result)["sources"] == 2
+    assert sorted(map(tuple, oplog.sources(receipts).collect())) == [("o", "i1", 1, "op1", "500 g flour"), ("o", "i1", 2, "op2", "0.5 kg flour")]
+
+
+def test_merging_follows_what_is_checked_edited_and_deleted(spark):
+    add = lambda i: (f"a{i}", "add", {"id": f"i{i}", "name": "flour", "raw_text": "1 g flour", "quantity": 1, "unit": "g"})
+    check = lambda op, i, on: (op, "checked", {"id": f"i{i}", "checked": on})
+    ops = [add(1), check("c1", 1, True), add(2), check("c2", 2, True), add(3), check("c3", 2, False), add(4), check("c4", 1, False), add(5), ("e", "edit", {"id": "i1", "name": "Flour", "quantity": 9, "quantity_max": 10, "unit": "g", "revision": 4}), add(6), ("d", "delete", {"id": "i2", "revision": 5}), add(7)]
+    assert [g[2] for g in folded(spark, oplog.shopping, ops)] == ["i1", "i1", "i2", "i2", "i3", "i2", "i2", "i1", "i1", "i1", "i2", "i2", "i3"]
 
 
 def test_submissions(spark):
@@ -50,5 +59,8 @@ def test_reservations(spark):
 
 def test_job_machine(spark):
     rows = [(1, i, e, t) for i, (e, t) in enumerate([("claim", 0), ("finish", 0), ("retry", 1), ("claim", 0), ("finish", 2), ("cancel", 0)])] + [(2, 1, "cancel", 0)]
+    rows += [(3, 2 * i + k, e, i + 1) for i in range(3) for k, e in enumerate(("claim", "retry"))] + [(4, 1, "claim", 0), (4, 2, "finish", 1)]
+    big = spark.createDataFrame([(4, 1, "claim", 0, None), (4, 2, "finish", 1, 3 << 20)], "job int, seq bigint, event string, token bigint, output_bytes bigint")
+    assert oplog.job_states(big).collect()[0].status == "failed"
     got = {r.job: tuple(r)[1:] for r in oplog.job_states(spark.createDataFrame(rows, "job int, seq bigint, event string, token bigint")).collect()}
-    assert got == {1: ("succeeded", 2, 2, 2), 2: ("canceled", 0, 0, 0)}
+    assert got == {1: ("succeeded", 2, 2, 2), 2: ("canceled", 0, 0, 0), 3: ("failed", 3, 3, 0), 4: ("succeeded", 1, 1, 0)}
