@@ -3,8 +3,8 @@
 Rows are keyed by a hash of their group (equal texts), so groups stay together. Exact bytes below candidate keys ("probes") are counted over
 all partitions; where no probe meets a splitter's target closely enough, new probes refine its interval, until every splitter does. Then
 rows are exchanged once, by key range, and numbered. Groups heavier than the tolerance would make a splitter miss its target, so they
-are placed whole before (largest first, on the least loaded shard); one that fits no shard is keyed by its rows instead, and spread. Only
-splitters, probes' counts and heavy groups (at most shards / tolerance of them) reach the driver.
+are placed whole before (largest first, on the least loaded shard); one that fits no shard any more is keyed by its rows instead, and spread, and rows of it that are
+equal in id and text too, where they are heavy in turn, by the place at which they were written. Only splitters, probes' counts and heavy groups and rows (at most shards / tolerance of either) reach the driver.
 
 Law ``bytes``: the shards' sizes differ from the mean by at most the tolerance and the largest single row. Defined results: a null text counts no bytes,
 a row's size is one more than its text's bytes; ties and repeated rows are ordered by key, id and size; an empty table has no rows.
@@ -83,9 +83,10 @@ class Plan:
     heavy: np.ndarray
     heavy_shard: np.ndarray
     spread: np.ndarray
+    copies: tuple[int, ...]
 
-    def range_of(self, key: Column, row: Column) -> Column:
-        """The range of a row by its group key and a hash of the row."""
+    def range_of(self, key: Column, row: Column, place: Column) -> Column:
+        """The range of a row by its group key, a hash of the row and its place."""
 
         @F.arrow_udf("int")
         def find(keys: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -97,18 +98,23 @@ class Plan:
                 out = np.where(self.heavy[at] == k, self.heavy_shard[at] * self.per_shard + h % self.per_shard, out)
             return pa.array(out.astype(np.int32))
 
-        return find(key, row)
+        return find(key, row_key(self.copies, row, place))
+
+
+def row_key(copies: tuple[int, ...] | list[int], row: Column, place: Column) -> Column:
+    """What tells the rows of a spread group apart: their hash, or for very many equal ones their place."""
+    return F.when(row.isin(*copies), F.xxhash64(row, place)).otherwise(row) if copies else row
 
 
 def sized(docs: DataFrame, kept: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, id, size, key, row): ``kept`` of each row, its id, bytes, the hash of its text, and a hash of its id and text."""
+    """(doc, id, size, key, row, place): ``kept`` of each row, its id, bytes, the hash of its text, a hash of its id and text, and a number of its own, which holds once it is written."""
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = F.xxhash64(body)
-    return docs.select(kept.alias("doc"), F.col(key).alias("id"), (F.octet_length(body).cast("bigint") + 1).alias("size"), hashed.alias("key"), F.xxhash64(F.lit(5), F.col(key), hashed).alias("row"))
+    return docs.select(kept.alias("doc"), F.col(key).alias("id"), (F.octet_length(body).cast("bigint") + 1).alias("size"), hashed.alias("key"), F.xxhash64(F.lit(5), F.col(key), hashed).alias("row"), F.monotonically_increasing_id().alias("place"))
 
 
 def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
-    """keys: (key, row, size), read once for each round of probes."""
+    """keys: (key, row, place, size), read once for each round of probes."""
     spark = keys.sparkSession
     per = max(1, -(-4 * partitions(spark) // shards))  # several ranges a task, so that tasks come out even
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -123,8 +129,11 @@ def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
         else:
             spread.append(r["key"])
     light = keys.where(~F.col("key").isin(*heavy)) if heavy else keys
+    copies: list[int] = []
     if spread:
-        light = light.withColumn("key", F.when(F.col("key").isin(*spread), F.col("row")).otherwise(F.col("key")))
+        many = keys.where(F.col("key").isin(*spread)).groupBy("row").agg(F.sum("size").alias("b")).where(F.col("b") > tolerance * share).collect()
+        copies = sorted(r["row"] for r in many)
+        light = light.withColumn("key", F.when(F.col("key").isin(*spread), row_key(copies, F.col("row"), F.col("place"))).otherwise(F.col("key")))
     targets, done = [], 0.0
     for s in range(shards):
         room = share - load[s]
@@ -133,13 +142,14 @@ def plan(keys: DataFrame, shards: int, *, tolerance: float = 0.005) -> Plan:
     edge = [tolerance * share / 4 if (i + 1) % per == 0 else 0.1 * share / per for i in range(shards * per)]
     bounds = splitters(light, targets[:-1], edge[:-1])[0] if total else []
     order = sorted(heavy)
-    return Plan(shards, per, np.array([min(b, MOST) for b in bounds], np.int64), np.array(order, np.int64), np.array([heavy[k] for k in order], np.int64), np.array(sorted(spread), np.int64))
+    return Plan(shards, per, np.array([min(b, MOST) for b in bounds], np.int64), np.array(order, np.int64), np.array([heavy[k] for k in order], np.int64), np.array(sorted(spread), np.int64), tuple(copies))
 
 
-def placed(rows: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
-    """rows (of ``sized``) with shard and slot, in one exchange by key range; ``keys`` are their narrow columns, read for each round of probes."""
-    p = plan(keys.select("key", "row", "size"), shards)
-    at = p.range_of(F.col("key"), F.col("row"))
+def placed(rows: DataFrame, shards: int) -> DataFrame:
+    """written rows (of ``sized``) with shard and slot, in one exchange by key range; their narrow columns are read for each round of probes."""
+    keys = rows.select("key", "row", "place", "size")
+    p = plan(keys, shards)
+    at = p.range_of(F.col("key"), F.col("row"), F.col("place"))
     counts = {r["range"]: r["count"] for r in keys.select(at.alias("range")).groupBy("range").count().collect()}
     starts = []
     for s in range(shards):
@@ -153,15 +163,14 @@ def placed(rows: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with shard and slot, which replace own columns of these names. The texts are read twice: for the narrow keys, which are written, and for the exchange."""
-    rows = sized(docs, F.struct("*"), key=key, text=text)
-    keys = written(rows.select("key", "row", "size"), "shard-keys")
-    return unpacked(placed(rows, keys, shards), "doc", docs.columns, {"shard": F.col("shard"), "slot": F.col("slot")})
+    """docs with shard and slot, which replace own columns of these names. The rows are written once, so that their keys hold from the probes to the exchange."""
+    rows = written(sized(docs, F.struct("*"), key=key, text=text), "shard-rows")
+    return unpacked(placed(rows, shards), "doc", docs.columns, {"shard": F.col("shard"), "slot": F.col("slot")})
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = written(sized(docs, F.crc32(F.coalesce(F.col("text"), F.lit("")))), "shard-keys")
-    return placed(rows, rows, shards).select(
+    return placed(rows, shards).select(
         F.col("id").alias("doc_id"), "size", F.col("doc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -99,9 +99,9 @@ def mix(rows: DataFrame, *, key: str = "doc_id", source: str = "source", size: s
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken and by_shard (the words that each shard takes, comma-joined) of every document."""
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(rows).select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("shard_taken", lambda n: n.cast("string")), ",").alias("by_shard"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -127,15 +127,16 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
   SELECT rank, source, source_size, coalesce(weight * first_value(CASE WHEN level * weight < cap THEN level END IGNORE NULLS) OVER (
     ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), cap) AS target FROM l
 ), q AS (
-  SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS place, (SELECT ceil(sum(target) / 256) FROM t) AS house
+  SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS place, (SELECT sum(target) FROM t) AS total
   FROM t, unnest(range(0, (target / 256)::BIGINT + 40)) AS u(k)
-), b AS (SELECT rank, count(*) FILTER (WHERE place <= house) AS blocks FROM q GROUP BY rank
+), b AS (SELECT rank, list_transform(range(1, 9), lambda j: len(list_filter(list(place), lambda p: p <= ceil(max(total) / 256 * j / 8)))) AS blocks FROM q GROUP BY rank
 ), o AS (
-  SELECT doc_id, size, source_size, target, least(blocks * 256, source_size * 2, ceil(target)::BIGINT) AS wanted,
+  SELECT doc_id, size, source_size, target, list_transform(blocks, lambda n: least(n * 256, source_size * 2, ceil(target)::BIGINT)) AS wanted,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || size), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN b USING (rank)
+), s2 AS (
+  SELECT *, list_transform(wanted, lambda w: (CASE WHEN source_size > 0 THEN w // source_size * size + greatest(0, least(size, w - w // source_size * source_size - start)) ELSE 0 END)::BIGINT) AS upto FROM o
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN wanted // source_size * size + greatest(0, least(size, wanted - wanted // source_size * source_size - start)) ELSE 0 END)::BIGINT AS taken
-FROM o
+SELECT doc_id, size, source_size, target, upto[8] AS taken, array_to_string(list_transform(range(1, 9), lambda j: (upto[j::INT] - CASE WHEN j > 1 THEN upto[j::INT - 1] ELSE 0 END)::VARCHAR), ',') AS by_shard
+FROM s2
 """

@@ -32,6 +32,17 @@ def test_a_group_larger_than_a_shard_is_spread(spark):
     assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 8
 
 
+def test_rows_equal_in_everything_are_spread(spark):
+    rows = [(1, "ten bytes", "en", "a", 1, "", "", "", "", "")] * 4000 + [(i, f"own {i}", "en", "a", 1, "", "", "", "", "") for i in range(990)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    sizes = check(rows, hs.shard_documents(df).collect())
+    assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8 + 20
+    per = [0] * 8
+    for r in hs.shard(df).collect():
+        per[r.shard] += len(r.text) + 1
+    assert max(per) - min(per) < 0.02 * sum(per) / 8 + 20
+
+
 @pytest.mark.parametrize("rows", [odd_rows(), [], [(1, None, None, None, None, None, None, None, None, None)]])
 def test_odd_rows(spark, rows):
     df = spark.createDataFrame(rows, DOCS).drop("shard", "_size")
