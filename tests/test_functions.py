@@ -69,6 +69,10 @@ def test_stated_amount_quotes_the_name(spark):
     [
         ("https://YouTube.com/watch?v=abc_1&t=5#x", "https://youtube.com/watch?v=abc_1"), ("http://a.example", "http://a.example/"), ("https://a.example:443/p?id=1&v=%20", "https://a.example/p?id=1"),
         ("https://u:p@a.example/", None), ("ftp://a.example/", None), ("http://127.0.0.1/", None), ("http://10.1.2.3/", None), ("http://a.example:8080/", None), ("https://a.example/ b", None), (None, None), ("", None),
+        ("https://münchen.example/ä", "https://xn--mnchen-3ya.example/ä"), ("https://BÜCHER.example./", "https://xn--bcher-kva.example/"), ("https://日本.example/?id=1", "https://xn--wgv71a.example/?id=1"), ("https://a..b/", None), ("https://" + "a" * 64 + ".example/", None), ("https://a_b.example/", None),
+        ("http://8.8.8.8/x", "http://8.8.8.8/x"), ("http://8.8.8.8./", "http://8.8.8.8/"), ("http://100.64.0.1/", None), ("http://192.0.2.1/", None), ("http://198.18.0.1/", None), ("http://224.0.0.1/", None), ("http://255.255.255.255/", None), ("http://0.0.0.0/", None), ("http://172.32.0.1/", "http://172.32.0.1/"),
+        ("https://[2606:4700::1111]/a?v=1", "https://[2606:4700::1111]/a?v=1"), ("https://[2606:4700::1111]:443/", "https://[2606:4700::1111]/"), ("https://[::1]/", None), ("https://[fe80::1]/", None), ("https://[fc00::1]/", None), ("https://[::ffff:8.8.8.8]/", None), ("https://[2002:808:808::]/", None), ("https://[2001:0:1::]/", None),
+        ("https://[64:ff9b::808:808]/", None), ("https://[64:ff9b:1::1]/", None), ("https://[ff02::1]/", None), ("https://[2001:db8::1]/", None), ("https://[::]/", None), ("https://[fe80::1%25eth0]/", None), ("https://[1:2]/", None), ("https://[/", None), ("http://localhost/", None), ("http://x.local/", None),
     ],
 )
 def test_public_url(spark, url, want):
