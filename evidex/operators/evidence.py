@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidex.functions.text import numbers, on_screen, parse_ingredient, stated_amount, visual_hints, whole_minutes
 from evidex.functions.text import signals as text_signals
 
 CITATION = "struct<field_path:string,source_kind:string,quote:string,artifact_id:string>"
 GRAM = 6
+#: Bytes of quotes that one automaton takes, about 200 MB of it in a task.
+AUTOMATON = 4 << 20
 #: How a quote states a nutrition basis.
 BASIS = {"per_serving": "per serving|por ración", "per_100g": r"100\s*g", "whole_recipe": "whole recipe|receta completa"}
 NUTRIENTS = ("kcal", "protein_g", "carbs_g", "fat_g")
@@ -20,11 +26,53 @@ PROVIDER_ERRORS = ("provider_not_configured", "provider_transient_error", "provi
 OUTPUT_ERRORS = ("invalid_model_output", "provider_output_incomplete", "provider_refusal", "evidence_context_limit")
 
 
-def supported_quotes(texts: DataFrame, quotes: DataFrame, *, words: int = 3) -> DataFrame:
+def supported_quotes(texts: DataFrame, quotes: DataFrame, *, automaton_bytes: int = AUTOMATON) -> DataFrame:
     """(doc, quote_id): quotes contained verbatim in a text of their source kind.
 
-    texts: doc, source_kind, text; quotes: quote_id, source_kind, quote. Every text is joined by its source kind and runs of ``words``
-    words with the quotes' first whole such runs, ids only, so a pair is tested only where the quote can begin; quotes of too few words for
+    texts: doc, source_kind, text; quotes: quote_id, source_kind, quote. Quotes of at most ``automaton_bytes`` together become one automaton a source kind, which reads every text once, whatever the quotes'
+    number and lengths, so texts are never exchanged; more quotes than that are found by joins (``quotes_by_runs``). Null and empty quotes support nothing.
+    """
+    q = quotes.where(F.col("quote") != "").select("quote_id", "source_kind", "quote")
+    if (q.agg(F.sum(F.octet_length("quote") + 8).alias("n")).first()["n"] or 0) > automaton_bytes:
+        return quotes_by_runs(texts, quotes)
+    kind = to_arrow_schema(q.select("quote_id").schema).field(0).type
+    shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in q.collect()])  # at most automaton_bytes of them
+
+    @F.arrow_udf(f"array<{q.schema['quote_id'].dataType.simpleString()}>")
+    def within(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        machines = quote_machines(shared.value)
+        for kinds, bodies in batches:
+            found = []
+            for k, t in zip(kinds.to_pylist(), bodies.to_pylist(), strict=True):
+                machine = machines.get(k) if t else None
+                hits = {name for _, names in machine.iter(t) for name in names} if machine is not None else ()
+                found.append(list(hits))
+            yield pa.array(found, pa.list_(kind))
+
+    return texts.select("doc", F.explode(within(F.col("source_kind"), F.col("text"))).alias("quote_id")).distinct()
+
+
+def quote_machines(quotes: list[tuple]) -> dict:
+    """An Aho-Corasick automaton for each source kind; a state that ends quotes has all of their ids."""
+    import ahocorasick
+
+    names: dict[str, dict[str, list]] = {}
+    for name, kind, quote in quotes:
+        if kind is not None:
+            names.setdefault(kind, {}).setdefault(quote, []).append(name)
+    machines = {}
+    for kind, own in names.items():
+        machine = machines[kind] = ahocorasick.Automaton()
+        for quote, ids in own.items():
+            machine.add_word(quote, ids)
+        machine.make_automaton()
+    return machines
+
+
+def quotes_by_runs(texts: DataFrame, quotes: DataFrame, *, words: int = 3) -> DataFrame:
+    """supported_quotes for quotes of any number, by joins.
+
+    Every text is joined by its source kind and runs of ``words`` words with the quotes' first whole such runs, ids only, so a pair is tested only where the quote can begin; quotes of too few words for
     that are joined by their first ``GRAM`` characters (all, if they have fewer) with the texts' runs of as many characters. doc and quote_id are unique.
     """
     split = lambda c: F.split(F.col(c), " ")

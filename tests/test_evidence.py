@@ -1,5 +1,7 @@
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidex.operators import evidence, quality
@@ -50,6 +52,18 @@ def test_numbers_of_quotes(spark):
     assert [r.x for r in df.select(evidence.has_number(F.col("v"), F.col("q")).alias("x")).collect()] == [True, True, True, False, False]
 
 
+@pytest.mark.parametrize("most", [evidence.AUTOMATON, 0])
+def test_quotes_of_any_length_are_found_both_ways(spark, most):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["salt", "flour", "é", "ab", "aba", "b", "stir well", "a"])
+    texts = [(i, rng.choice(["a", "b", None]), rng.choice(["", None, " ".join(word() for _ in range(rng.randrange(1, 25)))])) for i in range(80)]
+    quotes = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["", None, "a", "ab", "aba b", " ".join(word() for _ in range(rng.randrange(1, 6)))])) for i in range(60)] + [(100, "a", "aa"), (101, "a", "x" * 200), (102, "b", "ab aba"), (103, "b", "ab aba")]
+    want = {(d, q) for d, k, t in texts for q, k2, v in quotes if t and v and k is not None and k == k2 and v in t}
+    found = evidence.supported_quotes(spark.createDataFrame(texts, "doc int, source_kind string, text string").repartition(3), spark.createDataFrame(quotes, "quote_id int, source_kind string, quote string"), automaton_bytes=most)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+
+
 def test_quotes_are_joined_by_their_words(spark):
     texts = spark.createDataFrame([(1, "a", "one two three four five six"), (2, "a", "xone two three four fivex"), (3, "b", "one two three four five"), (4, "a", None)], "doc int, source_kind string, text string")
     quotes = spark.createDataFrame([(1, "a", "one two three four five"), (2, "a", "hree"), (3, "a", ""), (4, "a", None), (5, "b", "five one two three six")], "quote_id int, source_kind string, quote string")
