@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidex.functions.nulls import guarded_ratio, poisoned_sum
 
+from .quantiles import exact_percentiles
+
 #: Stage groups, and the pairs of routes that are compared.
 GROUPS = {"stt": ("stt",), "extractor": ("text_extract", "direct_audio"), "visual": ("visual",)}
 PAIRS = (("B", "C"), ("C", "D"), ("C", "E"), ("F_frames", "F_video"))
@@ -38,7 +40,8 @@ def route_report(rows: DataFrame) -> DataFrame:
     n_useful = F.count_if(accepted & (F.col("analysis_status") == "recipe"))
     cost = poisoned_sum(F.col("total_cost"), empty_is_zero=True)
     clean = ~F.coalesce(F.bool_or(reviewed & (F.col("serious_errors") != 0)), F.lit(False))
-    return (
+    times = exact_percentiles(rows, ["cohort", "route"], "total_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnsRenamed({"cohort": "_cohort", "route": "_route"})
+    report = (
         rows.groupBy("cohort", "route")
         .agg(
             n.alias("cases"),
@@ -48,8 +51,6 @@ def route_report(rows: DataFrame) -> DataFrame:
             F.count_if(accepted & (F.col("analysis_status") == "no_recipe")).alias("correct_non_recipes"),
             guarded_ratio(n_accepted, n).alias("accepted_fraction"),
             F.coalesce(F.sum(F.when(reviewed, F.col("serious_errors"))), F.lit(0)).cast("bigint").alias("serious_errors"),
-            F.percentile("total_ms", F.lit(0.5)).alias("p50_ms"),
-            F.percentile("total_ms", F.lit(0.95)).alias("p95_ms"),
             cost.cast("double").alias("standalone_cost"),
             guarded_ratio(cost, n_useful).alias("cost_per_useful"),
             guarded_ratio(cost, n_accepted).alias("cost_per_accepted"),
@@ -57,6 +58,7 @@ def route_report(rows: DataFrame) -> DataFrame:
             ((n >= 5) & (F.count_if(reviewed) == n) & (n_accepted >= 0.95 * n) & clean & cost.isNotNull()).alias("eligible"),
         )
     )
+    return report.join(times, F.col("cohort").eqNullSafe(F.col("_cohort")) & F.col("route").eqNullSafe(F.col("_route")), "left").drop("_cohort", "_route")
 
 
 def route_decision(report: DataFrame) -> DataFrame:

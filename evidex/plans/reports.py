@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidex.functions import money
 from evidex.functions.nulls import poisoned_sum
 from evidex.operators import budgets, ledger, reports
+from evidex.operators.quantiles import exact_percentiles
 from evidex.sources.tables import JOBS_SQL, OPERATIONS, ROUTES_SQL, USAGE_SQL, as_of, jobs, mapped, route_rows, table, usage
 
 QUERIES, SQL = {}, {}
@@ -45,10 +46,9 @@ def route_report(spark: SparkSession, d: str) -> DataFrame:
   b AS (SELECT cohort, route, row_number() OVER (PARTITION BY cohort ORDER BY cost_per_accepted, p95_ms, route) AS n FROM g WHERE eligible)
   SELECT g.cohort, coalesce(max(b.route), 'pending') AS decision, count(*) FILTER (WHERE eligible) AS candidates FROM g LEFT JOIN b ON g.cohort = b.cohort AND b.n = 1 GROUP BY g.cohort""")
 def route_decision(spark: SparkSession, d: str) -> DataFrame:
-    g = route_rows(spark, d).groupBy("cohort", "route").agg(
-        (F.sum("total_cost").cast("double") / F.count("*")).alias("cost_per_accepted"), F.percentile("total_ms", F.lit(0.95)).alias("p95_ms"), (F.count_if(F.col("serious_errors") > 0) <= 12).alias("eligible")
-    )
-    return reports.route_decision(g)
+    rows = route_rows(spark, d)
+    g = rows.groupBy("cohort", "route").agg((F.sum("total_cost").cast("double") / F.count("*")).alias("cost_per_accepted"), (F.count_if(F.col("serious_errors") > 0) <= 12).alias("eligible"))
+    return reports.route_decision(g.join(exact_percentiles(rows, ["cohort", "route"], "total_ms", {"p95_ms": 0.95}), ["cohort", "route"], "left"))
 
 
 EXPERIMENT_SQL = f"""SELECT case_id, cohort AS route, arg_max(useful, o) AS useful, arg_max(review_status, o) AS review_status, arg_max(serious_errors, o) AS serious_errors, arg_max(visual_needed, o) FILTER (WHERE visual_needed IS NOT NULL) AS visual_needed,
