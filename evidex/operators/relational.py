@@ -81,7 +81,43 @@ def claim(jobs: DataFrame, *, as_of: Column, lease_seconds: int = 120, max_attem
 
 
 def exhausted(as_of: Column, *, max_attempts: int = 3) -> Column:
-    return (F.col("status") == "running") & (F.col("lease_until") <= as_of) & (F.col("attempt") >= max_attempts)
+    """A running job whose lease has ended and that has no attempt left."""
+    return (F.col("status") == "running") & (F.col("lease_until") < as_of) & (F.col("attempt") >= max_attempts)
+
+
+def claim_effects(jobs: DataFrame, usage: DataFrame, attempts: DataFrame, *, as_of: Column, worker: str, lease_seconds: int = 120, max_attempts: int = 3, concurrency: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, usage, attempts) after a worker asked for a job.
+
+    Exhausted jobs fail for good, whether or not a job is claimed. The claimed one gets the worker, a new token, attempt and lease; if another worker's lease on it has ended, that one's open reservations
+    become uncertain. Its open attempts end as lease_expired, and an attempt under the new token begins. jobs: id, status, worker, attempt, fencing_token, lease_until, next_attempt_at, created_at, error_code;
+    usage: job, state; attempts: job, fencing_token, worker, ended_at, outcome. Other columns stay.
+    """
+    dead = exhausted(as_of, max_attempts=max_attempts)
+    best = claim(jobs.where(~F.coalesce(dead, F.lit(False))), as_of=as_of, lease_seconds=lease_seconds, max_attempts=max_attempts, concurrency=concurrency)
+    mine = F.broadcast(best.select(F.col("id").alias("_id"), F.col("fencing_token").alias("_token"), F.col("attempt").alias("_attempt"), F.col("lease_until").alias("_lease")))  # one row at most
+    got = F.col("_id").isNotNull()
+    both = jobs.join(mine, F.col("id") == F.col("_id"), "left").withColumn("_dead", F.coalesce(dead, F.lit(False)))
+    taken_over = both.where(got & (F.col("status") == "running")).select(F.col("id").alias("_over"))
+    new = {
+        "status": F.when(F.col("_dead"), "failed").when(got, "running").otherwise(F.col("status")), "worker": F.when(got, worker).when(~F.col("_dead"), F.col("worker")), "attempt": F.when(got, F.col("_attempt")).otherwise(F.col("attempt")),
+        "fencing_token": F.when(got, F.col("_token")).otherwise(F.col("fencing_token")), "lease_until": F.when(got, F.col("_lease")).when(~F.col("_dead"), F.col("lease_until")), "error_code": F.when(F.col("_dead"), "provider_down").otherwise(F.col("error_code")),
+    }
+    after = both.withColumns({f"_{k}_": v for k, v in new.items()}).select(*[F.col(f"_{c}_" if c in new else c).alias(c) for c in jobs.columns])
+    spent = usage.join(F.broadcast(taken_over), F.col("job") == F.col("_over"), "left")
+    spent = spent.withColumn("state", F.when(F.col("_over").isNotNull() & (F.col("state") == "reserved"), "uncertain").otherwise(F.col("state"))).select(*usage.columns)
+    tries = attempts.join(mine.select("_id"), F.col("job") == F.col("_id"), "left")
+    ends = F.col("_id").isNotNull() & F.col("ended_at").isNull()
+    tries = tries.withColumns({"ended_at": F.when(ends, as_of).otherwise(F.col("ended_at")), "outcome": F.when(ends, "lease_expired").otherwise(F.col("outcome"))}).select(*attempts.columns)
+    begun = mine.select(F.col("_id").alias("job"), F.col("_token").alias("fencing_token"), F.lit(worker).alias("worker"), F.lit(None).cast("timestamp").alias("ended_at"), F.lit(None).cast("string").alias("outcome"))
+    return after, spent, tries.unionByName(begun, allowMissingColumns=True)
+
+
+def purged(artifacts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The artifacts (job, artifact_key) that stay when jobs (id, status) have ended: of a canceled one the transcript and responses, of any other none; of open and unknown jobs all."""
+    known = artifacts.join(jobs.select(F.col("id").alias("_id"), F.col("status").alias("_status")), F.col("job") == F.col("_id"), "left")
+    paid = (F.col("artifact_key") == "transcript") | F.col("artifact_key").startswith("response:")
+    stays = F.coalesce(F.col("_status").isin("queued", "running") | (F.col("_status") == "canceled") & paid, F.lit(True))
+    return known.where(stays).select(*artifacts.columns)
 
 
 def owns_lease(jobs: DataFrame, claims: DataFrame, *, as_of: Column) -> DataFrame:

@@ -60,6 +60,37 @@ def job_claim(spark: SparkSession, d: str) -> DataFrame:
     return relational.claim(jobs(spark, d), as_of=as_of()).withColumn("lease_until", F.col("lease_until").cast("timestamp_ntz"))
 
 
+CLAIM_SQL = f"""WITH j AS (SELECT id, status, attempt, fencing_token, CASE WHEN status = 'running' THEN worker END AS worker, CASE WHEN status = 'running' THEN lease_until END AS lease_until, next_attempt_at, created_at FROM ({JOBS_SQL.replace("event_id % 4 AS attempt", "CASE WHEN event_type = 'click' THEN event_id % 5 ELSE event_id % 4 END AS attempt")})),
+  dead AS (SELECT id FROM j WHERE status = 'running' AND lease_until < {NOW} AND attempt >= 3),
+  best AS (SELECT id, status FROM j WHERE ((status = 'queued' AND next_attempt_at <= {NOW} AND false) OR (status = 'running' AND lease_until <= {NOW})) AND attempt < 3 ORDER BY next_attempt_at, created_at, id LIMIT 1)"""
+
+
+@query(CLAIM_SQL + f""" SELECT 'job' AS kind, id, CASE WHEN id IN (SELECT id FROM dead) THEN 'failed' WHEN id IN (SELECT id FROM best) THEN 'running' ELSE status END AS state, CASE WHEN id IN (SELECT id FROM best) THEN 'me' WHEN id NOT IN (SELECT id FROM dead) THEN worker END AS worker,
+    fencing_token + CASE WHEN id IN (SELECT id FROM best) THEN 1 ELSE 0 END AS token, CASE WHEN id IN (SELECT id FROM dead) THEN 'provider_down' END AS code FROM j WHERE status IN ('queued', 'running')
+  UNION ALL SELECT 'usage', id, CASE WHEN id IN (SELECT id FROM best) THEN 'uncertain' ELSE 'reserved' END, NULL, NULL, NULL FROM j WHERE status = 'running'
+  UNION ALL SELECT 'attempt', id, CASE WHEN id IN (SELECT id FROM best) THEN 'lease_expired' END, worker, fencing_token, NULL FROM j WHERE status = 'running' UNION ALL SELECT 'attempt', id, NULL, 'me', fencing_token + 1, NULL FROM j WHERE id IN (SELECT id FROM best)""")
+def claim_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Open jobs, their reservations and attempts after one claim; no queued job is due, so a lease that has ended is taken over."""
+    running = F.col("status") == "running"
+    j = jobs(spark, d).withColumns({"attempt": F.when(running, F.col("id") % 5).otherwise(F.col("attempt")), "worker": F.when(running, F.col("worker")), "lease_until": F.when(running, F.col("lease_until")), "error_code": F.lit(None).cast("string")})
+    j = j.where(F.col("status").isin("queued", "running")).withColumn("next_attempt_at", F.when(running, F.col("next_attempt_at")).otherwise(as_of() + F.make_dt_interval(days=F.lit(1))))
+    usage = j.where(running).select(F.col("id").alias("job"), F.lit("reserved").alias("state"))
+    attempts = j.where(running).select(F.col("id").alias("job"), "fencing_token", "worker", F.lit(None).cast("timestamp").alias("ended_at"), F.lit(None).cast("string").alias("outcome"))
+    after, spent, tries = relational.claim_effects(j, usage, attempts, as_of=as_of(), worker="me")
+    row = lambda kind, id, state, worker, token, code: (F.lit(kind).alias("kind"), F.col(id).alias("id"), F.col(state).alias("state"), worker.cast("string").alias("worker"), token.cast("bigint").alias("token"), code.cast("string").alias("code"))
+    none = F.lit(None)
+    parts = [after.select(*row("job", "id", "status", F.col("worker"), F.col("fencing_token"), F.col("error_code"))), spent.select(*row("usage", "job", "state", none, none, none)), tries.select(*row("attempt", "job", "outcome", F.col("worker"), F.col("fencing_token"), none))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT id AS job, key AS artifact_key FROM (SELECT id, status, unnest(['transcript', 'html', 'response:' || id, 'audio']) AS key FROM ({JOBS_SQL})) WHERE status IN ('queued', 'running') OR status = 'failed' AND (key = 'transcript' OR key LIKE 'response:%')")
+def artifact_purge(spark: SparkSession, d: str) -> DataFrame:
+    """Four artifacts a job; failed jobs stand for canceled ones."""
+    j = jobs(spark, d).select("id", F.when(F.col("status") == "failed", "canceled").otherwise(F.col("status")).alias("status"))
+    keys = F.array(F.lit("transcript"), F.lit("html"), F.concat(F.lit("response:"), F.col("id").cast("string")), F.lit("audio"))
+    return relational.purged(j.select(F.col("id").alias("job"), F.explode(keys).alias("artifact_key")), j)
+
+
 @query(f"""SELECT id, token AS fencing_token, coalesce(token = fencing_token AND status = 'running' AND lease_until > TIMESTAMP '2024-01-15 00:00:00', false) AS owned FROM (SELECT *, id % 7 + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS token FROM ({JOBS_SQL}))""")
 def lease_owned(spark: SparkSession, d: str) -> DataFrame:
     j = jobs(spark, d)

@@ -247,6 +247,14 @@ def json_ld_recipes(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("page_id").agg(F.count("node").cast("int").alias("recipes"), F.bool_or("invalid").alias("partial"), F.max(name).alias("name"))
 
 
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 OR page_id % 4 = 3 THEN 'partial' ELSE 'ok' END AS status, concat_ws(',', CASE WHEN page_id % 5 = 0 OR page_id % 4 = 3 THEN '{jsonld.INVALID}' END, CASE page_id % 4 WHEN 3 THEN '{jsonld.NO_RECIPE}' WHEN 2 THEN '{jsonld.SEVERAL}' END) AS warnings FROM pages")
+def page_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """What a page's scripts, all together, warn of; every fifth page has one more script that is no JSON, unless it has one anyway."""
+    more = F.when((F.col("page_id") % 5 == 0) & (F.col("page_id") % 4 != 3), F.array(F.lit("{"))).otherwise(F.array().cast("array<string>"))
+    pages = html.extract(_recipe_pages(spark, d)).select("page_id", jsonld.found(F.concat("page.scripts", more)).alias("read"))
+    return pages.select("page_id", jsonld.page_status(F.col("read")).alias("status"), F.array_join(jsonld.page_warnings(F.col("read")), ",").alias("warnings"))
+
+
 @query("SELECT page_id, n AS copy_no, 'Mix.|Bake.' AS steps, (page_id % 9) || ' g salt|water' AS ingredients, 1200.0::DOUBLE AS cook_seconds FROM pages, unnest(range(CASE page_id % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END)) AS t(n)")
 def recipe_steps(spark: SparkSession, d: str) -> DataFrame:
     r = jsonld.normalised(_recipes(spark, d).where(F.col("node").isNotNull()))

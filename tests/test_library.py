@@ -113,3 +113,35 @@ def test_changes_name_the_paths(spark):
 @pytest.mark.parametrize("value", [json.dumps({"a": [1, 2, {"b": None}]}), "3", '"x"'])
 def test_a_document_equals_itself(value):
     assert jv.changes(value, value) == []
+
+
+JOB = "id int, status string, worker string, attempt int, fencing_token int, lease_until timestamp, next_attempt_at timestamp, created_at timestamp, error_code string"
+
+
+def test_a_claim_changes_jobs_usage_and_attempts(spark):
+    from evidex.operators import relational
+
+    t = lambda s: F.lit(f"2024-01-01 00:00:{s:02d}").cast("timestamp")
+    make = lambda *rows: spark.createDataFrame([(i, st, w, a, tok, None, None, None, None, lease, due) for i, st, w, a, tok, lease, due in rows], JOB + ", lease int, due int").withColumns({"lease_until": F.when(F.col("lease").isNotNull(), F.timestamp_seconds(F.unix_timestamp(t(0)) + F.col("lease"))), "next_attempt_at": F.timestamp_seconds(F.unix_timestamp(t(0)) + F.col("due")), "created_at": t(0)}).drop("lease", "due")
+    usage = spark.createDataFrame([(1, "reserved"), (1, "succeeded"), (2, "reserved")], "job int, state string")
+    attempts = spark.createDataFrame([(1, 4, "w", None, None), (1, 3, "v", None, "failed"), (2, 1, "x", None, None)], "job int, fencing_token int, worker string, ended_at timestamp, outcome string").withColumn("ended_at", F.when(F.col("outcome").isNotNull(), t(1)))
+
+    def after(*rows):
+        j, u, a = relational.claim_effects(make(*rows), usage, attempts, as_of=t(30), worker="me")
+        return {r.id: (r.status, r.worker, r.attempt, r.fencing_token, r.error_code, r.lease_until is None) for r in j.collect()}, sorted(map(tuple, u.collect())), {(r.job, r.fencing_token): (r.outcome, r.ended_at is None) for r in a.collect()}
+
+    jobs, use, tries = after((1, "running", "w", 1, 4, 10, 0), (2, "running", "x", 3, 1, 10, 0), (3, "queued", None, 0, 0, None, 5), (4, "queued", None, 0, 0, None, 59))
+    assert jobs == {1: ("running", "me", 2, 5, None, False), 2: ("failed", None, 3, 1, "provider_down", True), 3: ("queued", None, 0, 0, None, True), 4: ("queued", None, 0, 0, None, True)}
+    assert use == [(1, "succeeded"), (1, "uncertain"), (2, "reserved")]
+    assert tries == {(1, 4): ("lease_expired", False), (1, 3): ("failed", False), (2, 1): (None, True), (1, 5): (None, True)}
+    jobs, use, tries = after((1, "running", "w", 1, 4, 50, 0), (2, "running", "x", 3, 1, 10, 0), (3, "queued", None, 0, 0, None, 5))  # a live lease: nothing is claimed, the exhausted job fails all the same
+    assert jobs[1][:3] == ("running", "w", 1) and jobs[2][0] == "failed" and jobs[3][0] == "queued" and len(tries) == 3 and (1, "reserved") in use
+
+
+def test_artifacts_of_ended_jobs_are_purged(spark):
+    from evidex.operators import relational
+
+    jobs = spark.createDataFrame([(1, "canceled"), (2, "succeeded"), (3, "running"), (4, "failed")], "id int, status string")
+    rows = [(j, k) for j in range(1, 6) for k in ("transcript", "response:7", "html")]
+    got = sorted(map(tuple, relational.purged(spark.createDataFrame(rows, "job int, artifact_key string"), jobs).collect()))
+    assert got == [(1, "response:7"), (1, "transcript"), (3, "html"), (3, "response:7"), (3, "transcript"), (5, "html"), (5, "response:7"), (5, "transcript")]
