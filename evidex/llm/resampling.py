@@ -1,9 +1,9 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Words and word pairs are hashed to ``BUCKETS`` features. Two generative models, feature frequencies with add-``SMOOTH`` smoothing, are counted in one
-scan: over all texts (raw), and over the target texts. A document's log weight is the log of the ratio of the models' probabilities of its features; a
-document of more than ``LENGTH`` features has that ratio's mean a feature times ``LENGTH``, as if it had been LENGTH of them: a plain sum grows with
-the text, so that length alone would decide and the noise nothing. Seeded Gumbel noise is added, and the ``share`` of the documents with the largest sums
+scan: over all texts (raw), and over the target texts. A document's log weight is the log of the ratio of the models' probabilities of its n features, times
+LENGTH / (n + LENGTH): of a few features nearly the plain log ratio, of very many LENGTH times its mean a feature, and smooth between. The plain sum grows with the text, so
+that length alone would decide and the noise nothing. Seeded Gumbel noise is added, and the ``share`` of the documents with the largest sums
 is taken, which samples without replacement in proportion to the weights. Counting keeps one array of BUCKETS a task; the k-th largest
 sum is found by counting ranks below probes (histogram_sort), not by a global sort.
 
@@ -89,7 +89,7 @@ def with_weight(docs: DataFrame, ratios: np.ndarray, *, text: str = "text", out:
                 f, owner = features(body, at[lo : hi + 1])
                 total[lo:hi] += np.bincount(owner, ratios[f], minlength=hi - lo)
                 number[lo:hi] += np.bincount(owner, minlength=hi - lo)
-            yield pa.array(total * np.minimum(1.0, LENGTH / np.maximum(number, 1)))
+            yield pa.array(total * (LENGTH / (number + LENGTH)))
 
     return docs.withColumn(out, weigh(F.col(text)))
 
