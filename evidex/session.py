@@ -24,7 +24,10 @@ def session(name: str = "evidex", **settings: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the workers, once an application, so that it needn't be on their path."""
+    """Sends this package to the workers, once an application, so that it needn't be on their path, and gives a session made elsewhere the SETTINGS that results depend on."""
+    for name in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+        if spark.conf.get(name) != SETTINGS[name]:
+            spark.conf.set(name, SETTINGS[name])
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
