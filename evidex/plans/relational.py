@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidex.functions import json_values
 from evidex.operators import evidence, ledger, library, oplog, quality, relational
 from evidex.sources.tables import AS_OF, JOBS_SQL, as_of, jobs, table
 
@@ -379,6 +382,17 @@ def recipe_state(spark: SparkSession, d: str) -> DataFrame:
     return state.select("owner", "target", "revision", part("$.doc.title").alias("title"), part("$.deleted").cast("boolean").alias("deleted"), "changes")
 
 
+@query("""WITH e AS (SELECT event_id, props AS a, CASE event_id % 5 WHEN 0 THEN replace(replace(props, ': ', ' :  '), '}', '.0 }') WHEN 1 THEN replace(props, '}', '0}') WHEN 2 THEN replace(props, '}', ', "x": null}') WHEN 3 THEN replace(replace(props, ': ', ': "'), '}', '"}') ELSE '{' END AS b FROM events)
+  SELECT event_id, CASE WHEN json_valid(b) THEN array_to_string(list_transform(list_filter(list_sort(list_distinct(list_concat(json_keys(a), json_keys(b)))), lambda k: NOT coalesce(json_exists(a, '$.' || k) AND json_exists(b, '$.' || k) AND (json_type(a, '$.' || k) = 'VARCHAR') = (json_type(b, '$.' || k) = 'VARCHAR')
+    AND (a ->> ('$.' || k))::DOUBLE = (b ->> ('$.' || k))::DOUBLE, false)), lambda k: '$["' || k || '"]'), ',') END AS changed FROM e""")
+def json_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The paths at which a rewritten document isn't the event's own: the same number in another form, another number, one key more, a text, or no JSON."""
+    i, a = F.col("event_id"), F.col("props")
+    put = lambda c, *pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    b = F.when(i % 5 == 0, put(a, (": ", " :  "), ("}", ".0 }"))).when(i % 5 == 1, put(a, ("}", "0}"))).when(i % 5 == 2, put(a, ("}", ', "x": null}'))).when(i % 5 == 3, put(a, (": ", ': "'), ("}", '"}'))).otherwise("{")
+    return table(spark, d, "events").select("event_id", F.array_join(json_values.json_changes(a, b), ",").alias("changed"))
+
+
 @query("""WITH e AS (SELECT user_id::VARCHAR AS owner, event_id, (['flour', 'salt', 'milk'])[event_id % 3 + 1] AS name, event_id % 4 <> 1 AS weighed, (event_id % 10 + 1) * CASE WHEN event_id % 4 = 0 THEN 1000 ELSE 1 END AS quantity FROM events a
     WHERE NOT (event_id % 19 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.event_id = a.event_id - 1 AND b.user_id = a.user_id)))
   SELECT owner, 'i' || min(event_id) AS target, count(*) AS revision, sum(quantity)::DOUBLE AS quantity, count(*) AS changes FROM e GROUP BY owner, name, CASE WHEN NOT weighed THEN event_id END""")
