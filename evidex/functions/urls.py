@@ -39,6 +39,10 @@ def part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, ADDRESS, i)
 
 
+def raw_host(url: Column) -> Column:
+    return F.regexp_replace(F.lower(F.nullif(part(url, 2), F.lit(""))), r"^\[|\]$", "")
+
+
 def host(url: Column) -> Column:
     """The host of an address, without brackets: plain names natively, literals and international names by ``read_host``; null if it is none or not public."""
 
@@ -48,26 +52,36 @@ def host(url: Column) -> Column:
         known = [read_host(h) for h in each.dictionary.to_pylist()]
         return pa.array([None if i is None else known[i] for i in each.indices.to_pylist()], pa.string())
 
-    raw = F.regexp_replace(F.lower(F.nullif(part(url, 2), F.lit(""))), r"^\[|\]$", "")
+    raw = raw_host(url)
     name = F.rtrim(raw, F.lit("."))
     plain = name.rlike(NAME) & ~name.rlike(r"^[0-9.]+$")
     return F.coalesce(F.when(plain, name), odd(F.when(~plain, raw)))
 
 
-def is_valid(url: Column, *, longest: int = 2048) -> Column:
-    """http(s) on its default port, without user, within the length, to a host that is no private or reserved literal and no local name."""
-    scheme, port = F.lower(part(url, 1)), part(url, 3)
+def hosts(urls: Column) -> Column:
+    """The hosts of an array of addresses, for use inside of a lambda function, which can't call Python."""
+
+    @F.arrow_udf("array<string>")
+    def read(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [None if h is None else read_host(h) for h in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return read(F.transform(urls, raw_host))
+
+
+def is_valid(url: Column, *, longest: int = 2048, of: Column | None = None) -> Column:
+    """http(s) on its default port, without user, within the length, to a host that is no private or reserved literal and no local name. of: the host, if it is known."""
+    scheme, port, h = F.lower(part(url, 1)), part(url, 3), host(url) if of is None else of
     default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    return F.coalesce(url.rlike(ADDRESS) & (F.char_length(url) <= longest) & default & ~host(url).rlike(LOCAL), F.lit(False))
+    return F.coalesce(url.rlike(ADDRESS) & (F.char_length(url) <= longest) & default & ~h.rlike(LOCAL), F.lit(False))
 
 
-def public_url(url: Column, keys: tuple[str, ...] = PUBLIC_KEYS) -> Column:
-    """scheme://host/path?query of a valid address, keeping only query keys of public identity with plain values; else null."""
+def public_url(url: Column, keys: tuple[str, ...] = PUBLIC_KEYS, *, of: Column | None = None) -> Column:
+    """scheme://host/path?query of a valid address, keeping only query keys of public identity with plain values; else null. of: the host, if it is known."""
     pairs = F.filter(F.split(part(url, 5), "&"), lambda p: p.rlike(rf"^(?:{'|'.join(keys)})=[A-Za-z0-9_\-]{{1,128}}$"))
     query = F.array_join(pairs, "&")
-    path, h = part(url, 4), host(url)
+    path, h = part(url, 4), host(url) if of is None else of
     out = F.concat(F.lower(part(url, 1)), F.lit("://"), F.when(h.contains(":"), F.concat(F.lit("["), h, F.lit("]"))).otherwise(h), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(is_valid(url), out)
+    return F.when(is_valid(url, of=h), out)
 
 
 def platform(url: Column, platforms: dict[str, tuple[str, ...]] | None = None) -> Column:

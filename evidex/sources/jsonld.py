@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.nulls import blank_to_null
 from evidex.functions.text import iso_seconds
-from evidex.functions.urls import public_url
+from evidex.functions.urls import hosts, public_url
 
 DEPTH = 30
 DURATIONS = ("prepTime", "cookTime", "totalTime")
@@ -149,8 +149,13 @@ def scrubbed(document: Column) -> Column:
     address = r'"(https?://(?:[^"\\]|\\.)*)"(?!\s*:)'
     each = F.array_distinct(F.regexp_extract_all(document, F.lit(address), F.lit(1)))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    swap = lambda doc, u: F.regexp_replace(doc, F.concat(F.lit(r'"\Q'), u, F.lit(r'\E"(?!\s*:)')), F.coalesce(F.regexp_replace(quoted(public_url(u)), r"([\\$])", r"\\$1"), F.lit("null")))
-    return F.aggregate(each, document, swap)
+    known = F.arrays_zip(each.alias("url"), hosts(each).alias("host"))
+
+    def swap(doc: Column, u: Column) -> Column:
+        kept = F.coalesce(F.regexp_replace(quoted(public_url(u["url"], of=u["host"])), r"([\\$])", r"\\$1"), F.lit("null"))
+        return F.regexp_replace(doc, F.concat(F.lit(r'"\Q'), u["url"], F.lit(r'\E"(?!\s*:)')), kept)
+
+    return F.aggregate(known, document, swap)
 
 
 def normalised(nodes: DataFrame, *, key: str = "page_id") -> DataFrame:
