@@ -71,11 +71,13 @@ def eligible(as_of: Column, *, max_attempts: int = 3) -> Column:
     return (due | expired) & (F.col("attempt") < max_attempts)
 
 
-def claim(jobs: DataFrame, *, as_of: Column, lease_seconds: int = 120, max_attempts: int = 3, concurrency: int = 1) -> DataFrame:
-    """The job a worker gets next, with its new token, attempt and lease; none while ``concurrency`` leases are live."""
-    live = jobs.agg(F.count_if((F.col("status") == "running") & (F.col("lease_until") > as_of)).alias("_live"))
+def claim(jobs: DataFrame, *, as_of: Column, lease_seconds: int = 120, max_attempts: int = 3, concurrency: int | None = 1) -> DataFrame:
+    """The job a worker gets next, with its new token, attempt and lease; none while ``concurrency`` leases are live (None: however many are)."""
     best = jobs.where(eligible(as_of, max_attempts=max_attempts)).orderBy("next_attempt_at", "created_at", "id").limit(1)
-    return best.join(live, F.col("_live") < concurrency).select(
+    if concurrency is not None:
+        live = jobs.agg(F.count_if((F.col("status") == "running") & (F.col("lease_until") > as_of)).alias("_live"))
+        best = best.join(live, F.col("_live") < concurrency)
+    return best.select(
         "id", (F.col("fencing_token") + 1).alias("fencing_token"), (F.col("attempt") + 1).alias("attempt"), (as_of + F.make_dt_interval(secs=F.lit(lease_seconds))).alias("lease_until")
     )
 
@@ -85,7 +87,7 @@ def exhausted(as_of: Column, *, max_attempts: int = 3) -> Column:
     return (F.col("status") == "running") & (F.col("lease_until") < as_of) & (F.col("attempt") >= max_attempts)
 
 
-def claim_effects(jobs: DataFrame, usage: DataFrame, attempts: DataFrame, *, as_of: Column, worker: str, lease_seconds: int = 120, max_attempts: int = 3, concurrency: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def claim_effects(jobs: DataFrame, usage: DataFrame, attempts: DataFrame, *, as_of: Column, worker: str, lease_seconds: int = 120, max_attempts: int = 3, concurrency: int | None = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs, usage, attempts) after a worker asked for a job.
 
     Exhausted jobs fail for good, whether or not a job is claimed. The claimed one gets the worker, a new token, attempt and lease; if another worker's lease on it has ended, that one's open reservations
