@@ -115,7 +115,7 @@ def decision_lines(report: DataFrame) -> DataFrame:
     """(cohort, line): a table row in Markdown for each cohort of a route report, of its recommended route or that one is pending."""
     best = F.min_by(F.when(F.col("eligible"), F.struct("*")), F.when(F.col("eligible"), F.struct("cost_per_accepted", "p95_ms", "route"))).alias("b")
     rows = report.groupBy("cohort").agg(best)
-    num = lambda c, digits: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c)))
+    num = lambda c, digits: F.round(F.col(c).cast("decimal(38,9)"), digits).cast("string")  # noqa: E731  # nine digits first: an interpolated tie is a tie again
     percent = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.0f%%", F.bround(100 * F.col(c), 0)))
     cells = [
         F.coalesce(F.concat("b.route", F.lit(" (provisional)")), F.lit("pending")),

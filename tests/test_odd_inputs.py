@@ -30,3 +30,10 @@ def test_a_claim_while_another_lease_is_live(spark, tmp_path, name):
     at = [datetime(2024, 1, 5, 1), datetime(2024, 1, 5), datetime(2024, 1, 9), datetime(2024, 1, 30, 23, 59, 30)]
     rows = [(i, t, i, "click", 1.0, "{}") for i, t in enumerate(at)]
     assert_equals_sql(spark, tmp_path, name, events=(rows, EVENTS))
+
+
+def test_an_interpolated_time_between_two_hundredths(spark, tmp_path):
+    """The 95th percentile of eleven times is 80.665, which falls short of it as a double."""
+    ids = [i for i in range(1, 200, 10) if i % 11]
+    rows = [(i, datetime(2024, 1, 5), 4, "error", v, "{}") for i, v in zip(ids, [1.0] * 9 + [80.56, 80.77], strict=False)]
+    assert_equals_sql(spark, tmp_path, "decision_report", events=(rows, EVENTS))
