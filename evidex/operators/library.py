@@ -7,6 +7,7 @@ revisions, tombstones, creation digests and memberships. Memberships refer to co
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -24,37 +25,47 @@ def _part(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def parts(draft: Column) -> dict[str, Column]:
+    """What the checks look at, read from a draft in one pass: the texts of its objects (null where there is none), the keys of those that are objects, and which parts are there but of the wrong kind."""
+    get = lambda path, kind: F.try_variant_get(draft, path, kind)
+    texts = lambda keys: "struct<" + ",".join(f"`{k}`:string" for k in keys if k not in ("source", "ingredients", "steps", "nutrition", "warnings", "assumptions")) + ">"
+    keys = lambda path: F.map_keys(get(path, "map<string,boolean>"))
+    each = lambda path: F.transform(get(path, "array<map<string,boolean>>"), F.map_keys)
+    given = lambda path: _part(draft, path).isNotNull()
+    label = _part(draft, "$.nutrition")
+    return {
+        "own": get("$", texts(DRAFT_KEYS)), "source": get("$.source", texts(SOURCE_KEYS)), "label": get("$.nutrition", texts(NUTRITION_KEYS)), "assumptions": get("$.nutrition.assumptions", "array<string>"),
+        "ingredients": get("$.ingredients", f"array<{texts(INGREDIENT_KEYS)}>"), "steps": get("$.steps", f"array<{texts(STEP_KEYS)}>"), "own_keys": keys("$"), "source_keys": keys("$.source"), "label_keys": keys("$.nutrition"),
+        "ingredient_keys": each("$.ingredients"), "step_keys": each("$.steps"), "there": draft.isNotNull(), "source_there": given("$.source"), "label_there": label.isNotNull() & ~F.is_variant_null(label),
+        "ingredients_there": given("$.ingredients"), "steps_there": given("$.steps"), "no_warnings": given("$.warnings") & get("$.warnings", "array<boolean>").isNull(),
+    }
 
 
-def _within(v: Column, keys: tuple[str, ...]) -> Column:
-    """Whether v is an object without other keys; what is no object has none to list."""
-    return _kind(v).startswith("OBJECT") & (F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, keys)))) == 0)
+def _strange(keys: Column, known: tuple[str, ...]) -> Column:
+    """Whether what has these keys is no object (null) or has other keys."""
+    return keys.isNull() | (F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0)
 
 
-def shape_code(draft: Column) -> Column:
-    """BAD_SHAPE for a draft that isn't one. A part that is missing is unknown, and only what is known to be wrong counts; a title must be there."""
-    text = lambda p: F.try_variant_get(draft, p, "string")
-    kind = lambda p: _kind(_part(draft, p))
-    items = lambda p: F.try_variant_get(draft, p, "array<variant>")
+def shape_code(draft: Column, read: dict[str, Column] | None = None) -> Column:
+    """BAD_SHAPE for a draft that isn't one. A part that is missing is unknown, and only what is known to be wrong counts; a title must be there. ``read``: its parts, if they have been read."""
+    p = parts(draft) if read is None else read
     wrong = [
-        ~_kind(draft).startswith("OBJECT"), text("$.schema_version") != "1.0", F.coalesce(F.trim(text("$.title")), F.lit("")) == "", ~kind("$.source").startswith("OBJECT"), ~kind("$.warnings").startswith("ARRAY"),
-        *[~kind(p).startswith("ARRAY") | (F.size(items(p)) == 0) for p in ("$.ingredients", "$.steps")], ~_within(draft, DRAFT_KEYS), ~_within(_part(draft, "$.source"), SOURCE_KEYS),
-        F.exists(items("$.ingredients"), lambda x: ~_within(x, INGREDIENT_KEYS)), F.exists(items("$.steps"), lambda x: ~_within(x, STEP_KEYS)), (kind("$.nutrition") != "VOID") & ~_within(_part(draft, "$.nutrition"), NUTRITION_KEYS),
+        p["own"]["schema_version"] != "1.0", F.coalesce(F.trim(p["own"]["title"]), F.lit("")) == "", p["there"] & _strange(p["own_keys"], DRAFT_KEYS), p["source_there"] & _strange(p["source_keys"], SOURCE_KEYS), p["no_warnings"],
+        *[p[f"{n}_there"] & (p[n].isNull() | (F.size(p[n]) == 0)) for n in ("ingredients", "steps")], F.exists(p["ingredient_keys"], lambda x: _strange(x, INGREDIENT_KEYS)), F.exists(p["step_keys"], lambda x: _strange(x, STEP_KEYS)),
+        p["label_there"] & _strange(p["label_keys"], NUTRITION_KEYS),
     ]
-    return F.when(F.array_contains(F.array(*[F.coalesce(w, F.lit(False)) for w in wrong]), True), BAD_SHAPE)
+    return F.when(reduce(lambda a, b: a | b, [F.coalesce(w, F.lit(False)) for w in wrong]), BAD_SHAPE)
 
 
 class _Fields:
-    """Typed fields of an object, with the code that their values give: a cast that fails, a value that must be there, a broken rule."""
+    """Typed fields of an object (a struct of its texts), with the code that their values give: a cast that fails, a value that must be there, a broken rule."""
 
     def __init__(self, v: Column, whole: tuple[str, ...], numbers: tuple[str, ...], flags: tuple[str, ...] = ()) -> None:
         self.v, self.casts = v, [(n, t) for names, t in ((whole, "int"), (numbers, "double"), (flags, "boolean")) for n in names]
         self.types = dict(self.casts)
 
     def text(self, name: str) -> Column:
-        return F.try_variant_get(self.v, f"$.{name}", "string")
+        return self.v[name]
 
     def __call__(self, name: str) -> Column:
         kind = self.types.get(name)
@@ -67,11 +78,12 @@ class _Fields:
         return F.when(any_(bad), BAD_VALUE).when(any_([self.text(n).isNull() for n in required]), NULL).when(any_(broken), CHECK)
 
 
-def rows_code(draft: Column) -> Column:
-    """The code with which a draft's rows would be refused: the recipe's, then the first ingredient's, then the first step's; a repeated position is a repeated key."""
+def rows_code(draft: Column, read: dict[str, Column] | None = None) -> Column:
+    """The code with which a draft's rows would be refused: the recipe's, then the first ingredient's, then the first step's; a repeated position is a repeated key. ``read``: its parts, if they have been read."""
+    p = parts(draft) if read is None else read
     minutes = ("prep_minutes", "cook_minutes", "total_minutes")
-    own, source, label = _Fields(draft, minutes, ("servings",)), _Fields(_part(draft, "$.source"), (), ()), _Fields(_part(draft, "$.nutrition"), (), (*NUTRIENTS, "known_mass_g"))
-    assumptions = F.coalesce(F.try_variant_get(label.v, "$.assumptions", "array<string>"), F.array().cast("array<string>"))
+    own, source, label = _Fields(p["own"], minutes, ("servings",)), _Fields(p["source"], (), ()), _Fields(p["label"], (), (*NUTRIENTS, "known_mass_g"))
+    assumptions = F.coalesce(p["assumptions"], F.array().cast("array<string>"))
 
     def field(name: str) -> Column:
         if name == "nutrition_assumptions":
@@ -86,9 +98,8 @@ def rows_code(draft: Column) -> Column:
 
     recipe = F.coalesce(F.when(source.text("source_kind").isNull(), NULL), own.code(("schema_version", "title"), contracts.recipe(field)), label.code((), {}))
 
-    def first(path: str, of: Any) -> Column:
-        items = F.try_variant_get(draft, path, "array<variant>")
-        positions = F.transform(items, lambda x: F.try_variant_get(x, "$.position", "string"))
+    def first(items: Column, of: Any) -> Column:
+        positions = F.transform(items, lambda x: x["position"])
         again = F.when(F.size(F.array_distinct(positions)) < F.size(positions), REUSED)
         return F.coalesce(F.get(F.array_compact(F.transform(items, of)), F.lit(0)), again)
 
@@ -100,7 +111,7 @@ def rows_code(draft: Column) -> Column:
         f = _Fields(x, ("position", "duration_seconds"), ("temperature_c", "source_timestamp_seconds"))
         return f.code(("position", "text"), contracts.step(f))
 
-    return F.coalesce(recipe, first("$.ingredients", ingredient), first("$.steps", step))
+    return F.coalesce(recipe, first(p["ingredients"], ingredient), first(p["steps"], step))
 
 
 def view(held: dict) -> dict:
@@ -215,13 +226,19 @@ def apply(state: dict, op: dict) -> dict:
     raise Refused(BAD_SHAPE)
 
 
-def checks() -> dict[str, Column]:
-    """What a log's payloads alone decide, for ``fold`` or a stream: shape_code and rows_code of drafts to be saved."""
-    draft = F.when(F.col("kind") == "save_recipe", _part(F.try_parse_json("payload"), "$.draft"))
+def drafts() -> Column:
+    """The draft (variant) that a log's payload asks to save."""
+    return F.when(F.col("kind") == "save_recipe", _part(F.try_parse_json("payload"), "$.draft"))
+
+
+def checks(read: dict[str, Column] | None = None) -> dict[str, Column]:
+    """What a log's payloads alone decide, for ``fold`` or a stream: shape_code and rows_code of drafts to be saved. ``read``: the drafts' parts, if they have been read."""
     of = lambda code: F.when(F.col("kind") == "save_recipe", code)
-    return {"shape_code": of(shape_code(draft)), "rows_code": of(rows_code(draft))}
+    return {"shape_code": of(shape_code(drafts(), read)), "rows_code": of(rows_code(drafts(), read))}
 
 
 def receipts(log: DataFrame) -> DataFrame:
-    """Receipts of a log (owner, seq, operation_id, kind, payload JSON) of library operations."""
-    return fold(log, apply, **checks())
+    """Receipts of a log (owner, seq, operation_id, kind, payload JSON) of library operations. Drafts are read before the exchange that the fold needs anyway: the checks ask for a part many times and would parse the payload each time."""
+    read = parts(drafts())
+    parsed = log.withColumns({f"_{k}": v for k, v in read.items()}).repartition("owner", "operation_id")
+    return fold(parsed, apply, **checks({k: F.col(f"_{k}") for k in read}))
