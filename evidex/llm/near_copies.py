@@ -2,8 +2,8 @@
 
 Documents of equal shingle sets are one node. A node's 80 min-hashes make 20 bands of four, and nodes that share a band are candidates: a pair of likeness
 0.8 shares one with a chance of 1 - (1 - 0.8^4)^20, over 0.9999. Every candidate is checked on the whole sets. First each node is checked against
-``HUBS`` drawn nodes of its bucket; then pairs of a bucket that still aren't in one component are checked all, or,
-in a bucket of more than ``dense`` nodes, those that share the next band too, in groups of about ``dense`` dealt anew in each band, so work grows with the members. Links of simhash.links join the same graph.
+``HUBS`` drawn nodes of its bucket, in a crowded one also against about ``dense`` that share the next band; then every pair of a bucket that still isn't in one component, however large the bucket is. Work grows with the members times those outside of the bucket's largest component.
+Links of simhash.links join the same graph.
 
 Defined results: as in simhash; texts without a word are one node; with fewer words than a shingle the whole sequence is one.
 """
@@ -11,6 +11,7 @@ Defined results: as in simhash; texts without a word are one node; with fewer wo
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import text_bytes, written
 
-BANDS, ROWS, HUBS = 20, 4, 5
+BANDS, ROWS, HUBS, CELLS = 20, 4, 5, 1024
 _RNG = np.random.default_rng(7)
 TURNS, FACTORS = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -39,25 +40,34 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * WEIGHTS).sum(axis=1, dtype=np.uint64)
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """Which of 1024 cells a set of hashes has members in, as 16 words. A cell of one set that another lacks has a member that the other lacks."""
+    marks = np.zeros(CELLS, bool)
+    marks[(hashes >> np.uint64(54)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view(np.int64)
+
+
 def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, h, fp, and of the set of shingles: node (its digest), n (its size), bands."""
+    """id, h, fp, and of the set of shingles: node (its digest), n (its size), bands, cells."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, at = text_bytes(b.column("t"))
-            node, sizes, keys = [], [], []
+            node, sizes, keys, marks = [], [], [], []
             for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 found = np.unique(simhash.shingle_hashes(body[x:y], shingle))
                 node.append(xxhash.xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 keys.append(bands(found))
+                marks.append(cells(found))
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            columns = [b.column("id"), b.column("h"), b.column("fp"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "fp", "node", "n", "bands"])
+            words = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (CELLS // 64)), pa.array(np.concatenate([np.zeros(0, np.int64), *marks])))
+            columns = [b.column("id"), b.column("h"), b.column("fp"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, words]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "fp", "node", "n", "bands", "cells"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "h", "fp", "t").mapInArrow(sets, f"id {kind}, h bigint, fp bigint, node bigint, n int, bands array<bigint>")
+    return docs.select("id", "h", "fp", "t").mapInArrow(sets, f"id {kind}, h bigint, fp bigint, node bigint, n int, bands array<bigint>, cells array<bigint>")
 
 
 def with_hashes(docs: DataFrame, shingle: int) -> DataFrame:
@@ -87,7 +97,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent: int = 80, dense: int = 32) -> DataFrame:
-    """(a, b), a < b: links between nodes (node, n, bands) of likeness ``percent`` or more; ``sets`` gives (node, hashes) of the nodes that have candidates."""
+    """(a, b), a < b: links between nodes (node, n, bands, cells) of likeness ``percent`` or more; ``sets`` gives (node, hashes) of the nodes that have candidates."""
     indexed = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "k"))
     indexed = indexed.select("node", "n", "band", "k", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
     hubs = F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in range(HUBS)])
@@ -102,17 +112,36 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent:
     checked = written(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-hubs")
     found = written(alike(checked, rows, percent), "near-links")
 
-    # A crowded bucket is parted by the next band as well, so that its members meet those most like them; a part that is still crowded is dealt out.
+    # Members of a crowded bucket that also share the next band are compared in groups of about ``dense``: linear, and it brings large groups of copies into one component.
     roots = written(simhash.components(found), "near-roots")
     known = shared.drop("hubs").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = known.where(F.col("size") > dense).groupBy("band", "k", "next").agg(F.count("*").alias("part"))
-    crowded = F.col("size") > dense
-    dealt = F.when(crowded, F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("part") / dense))).otherwise(F.lit(0).cast("bigint"))
-    groups = known.join(parts, ["band", "k", "next"], "left").select("band", "k", F.when(crowded, F.col("next")).alias("next"), dealt.alias("deal"), F.struct("node", "n", "root").alias("m"))
-    members = groups.groupBy("band", "k", "next", "deal").agg(F.array_sort(F.collect_list("m")).alias("m")).where(F.size(F.array_distinct(F.col("m.root"))) > 1)
-    each = members.select("m", F.explode("m").alias("one"))
+    dealt = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("part") / dense))
+    groups = known.join(parts, ["band", "k", "next"]).groupBy("band", "k", "next", dealt.alias("deal")).agg(F.array_sort(F.collect_list(F.struct("node", "n", "root"))).alias("m")).where(F.size(F.array_distinct(F.col("m.root"))) > 1)
     others = F.filter("m", lambda two: (two["root"] > F.col("one.root")) & fits(F.col("one.n"), two["n"]))  # of other components only, and of a size that may be alike
-    pairs = each.select("one", F.explode(others).alias("two"))
+    near = groups.select("m", F.explode("m").alias("one")).select("one", F.explode(others).alias("two")).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
+    crowded = written(near.distinct().join(checked, ["a", "b"], "left_anti"), "near-crowded")
+    checked, found = checked.unionByName(crowded), written(found.unionByName(alike(crowded, rows, percent)), "near-links")
+
+    # Each pair of a bucket that isn't in one component yet: members outside of the bucket's largest component meet all others. Both sides are dealt into blocks of about ``dense``, so one task never has a whole bucket.
+    roots = written(simhash.components(found), "near-roots")
+    known = shared.drop("hubs", "size", "next").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = known.groupBy("band", "k", "root").agg(F.count("*").alias("c"))
+    mixed = held.groupBy("band", "k").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.ceil(F.sum("c") / dense).alias("blocks"), F.ceil((F.sum("c") - F.max("c")) / dense).alias("chunks")).where("chunks > 0")
+    known = known.join(mixed, ["band", "k"])
+    deal = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    one = known.where("root != top").select("band", "k", deal("chunks").alias("chunk"), every("blocks").alias("block"), F.struct("node", "n", "root").alias("one"))
+    two = known.select("band", "k", deal("blocks").alias("block"), every("chunks").alias("chunk"), (F.col("root") == F.col("top")).alias("main"), F.struct("node", "n", "root").alias("two"))
+    marked = nodes.select(F.col("node").alias("_node"), "cells").join(known.select(F.col("node").alias("_node")).distinct(), "_node")
+    one, two = (x.join(marked, F.col(f"{side}.node") == F.col("_node")).drop("_node") for x, side in ((one, "one"), (two, "two")))
+    lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.cells", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}.cells", F.lit(i))))) for i in range(CELLS // 64)])
+    # Of sets of n and m members with this likeness, the first has at most (100 n - percent m) / (100 + percent) that the other lacks; the cells bound that number from below, so no link is lost.
+    may = lambda a, b, n, m: (100 + percent) * lacks(a, b) <= 100 * F.col(n) - percent * F.col(m)
+    meet = (F.col("one.root") != F.col("two.root")) & (F.col("main") | (F.col("one.node") < F.col("two.node"))) & fits(F.col("one.n"), F.col("two.n"))
+    meet = meet & may("x", "y", "one.n", "two.n") & may("y", "x", "two.n", "one.n")
+    keys = reduce(lambda x, y: x & y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "k", "chunk", "block")])
+    pairs = one.alias("x").join(two.alias("y"), keys & meet).select("one", "two")
     apart = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
     return found.unionByName(alike(apart.distinct().join(checked, ["a", "b"], "left_anti"), rows, percent))
 
@@ -123,7 +152,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     prints = simhash.with_fingerprint(named, text="t", out="fp").withColumn("h", F.xxhash64("t"))
     rows = written(with_sets(prints, shingle), "near-sets")
     least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h"))
-    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), least.alias("least")), "near-nodes")
+    nodes = written(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"), least.alias("least")), "near-nodes")
 
     def sets(wanted: DataFrame) -> DataFrame:
         at = nodes.join(wanted, "node").select("node", F.col("least.id").alias("_id"), F.col("least.h").alias("_h"))

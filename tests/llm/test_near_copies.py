@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,3 +58,16 @@ def test_one_large_group_of_near_copies(spark, dense):
     sets = lambda wanted: nc.with_hashes(docs.join(nodes.select("id", "node"), "id").join(wanted, "node"), 5)
     found = nc.simhash.components(nc.links(nodes, sets, dense=dense)).collect()
     assert len(found) == 90 and len({r.root for r in found}) == 1
+
+
+def test_a_crowded_band_of_unlike_texts_loses_no_pair(spark):
+    """A hundred nodes share one band; two pairs of them are alike, and no node is like a hub."""
+    rng = random.Random(3)
+    sets = {i: [rng.getrandbits(60) for _ in range(40)] for i in range(100)}
+    sets[41], sets[83] = [*sets[7][:38], 1], [*sets[22][:37], 2, 3]
+    sets = {i: [x << 3 for x in s] for i, s in sets.items()}
+    rows = [(i, len(x), [5, *(1000 * b + i for b in range(1, nc.BANDS))], nc.cells(np.array(x, np.uint64)).tolist()) for i, x in sets.items()]
+    nodes = spark.createDataFrame(rows, "node bigint, n int, bands array<bigint>, cells array<bigint>")
+    hashes = spark.createDataFrame(list(sets.items()), "node bigint, hashes array<bigint>")
+    found = nc.links(nodes, lambda wanted: hashes.join(wanted, "node"), dense=4)
+    assert {tuple(r) for r in found.distinct().collect()} == {(7, 41), (22, 83)}
