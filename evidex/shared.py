@@ -5,9 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a column that are Python objects at once.
+SLICE = 1 << 20
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; where that is unset under an own folder, on a local master only."""
@@ -26,3 +32,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_slices(values: pa.Array, f: Callable[[Any], Any], kind: pa.DataType, size: int = SLICE) -> pa.Array:
+    """f of every value of an Arrow array, of about ``size`` bytes at a time: beside the array and its result only one slice's Python objects are held."""
+    rows = max(1, len(values) * size // max(1, values.nbytes))
+    found = [pa.array([f(x) for x in values.slice(lo, rows).to_pylist()], kind) for lo in range(0, len(values), rows)]
+    return pa.concat_arrays(found) if found else pa.array([], kind)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from evidex.functions.nulls import blank_to_null
 from evidex.functions.text import iso_seconds
 from evidex.functions.urls import hosts, public_url
+from evidex.shared import in_slices
 
 DEPTH = 30
 DURATIONS = ("prepTime", "cookTime", "totalTime")
@@ -121,7 +122,7 @@ def found(scripts: Column) -> Column:
     @F.arrow_udf(FOUND)
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            yield pa.array([read_scripts(x) for x in rows.to_pylist()], ARROW)
+            yield in_slices(rows, read_scripts, ARROW)
 
     return read(scripts)
 
