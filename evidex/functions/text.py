@@ -73,10 +73,10 @@ def parse_ingredient(text: Column) -> Column:
 
 def iso_seconds(duration: Column) -> Column:
     """Seconds of an ISO 8601 duration of days, hours, minutes and seconds; null for any other text or without a part."""
-    shape = r"^P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+    shape = r"^P(?=.*\d)(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
     parts = [F.regexp_extract(duration, shape, i) for i in (1, 2, 3, 4)]
     total = sum((F.coalesce(p.try_cast("double"), F.lit(0.0)) * unit for p, unit in zip(parts, (86400, 3600, 60, 1), strict=True)), F.lit(0.0))
-    return F.when(duration.rlike(shape) & (F.concat(*parts) != ""), total)
+    return F.when(duration.rlike(shape), total)
 
 
 def whole_minutes(seconds: Column) -> Column:

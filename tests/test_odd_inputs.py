@@ -56,3 +56,8 @@ def test_closed_references():
 
     html = '<a href="?x=1&copy=2&amp;y">&amp;&lt; &#38;&#x26; &amp &ampx; R&D &;</a><script>a && b &amp c</script>&lt'
     assert closed_references(html) == '<a href="?x=1&amp;copy=2&amp;y">&amp;&lt; &#38;&#x26; &amp;amp &amp;ampx; R&amp;D &amp;;</a><script>a && b &amp c</script>&amp;lt'
+
+
+def test_a_duration_is_read_once(spark):
+    plan = registry.queries()["iso_duration"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4 and plan.count("RLIKE") <= 1
