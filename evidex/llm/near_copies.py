@@ -128,13 +128,11 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent:
     known = shared.drop("hubs", "size", "next").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = known.groupBy("band", "k", "root").agg(F.count("*").alias("c"))
     mixed = held.groupBy("band", "k").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.ceil(F.sum("c") / dense).alias("blocks"), F.ceil((F.sum("c") - F.max("c")) / dense).alias("chunks")).where("chunks > 0")
-    known = known.join(mixed, ["band", "k"])
+    known = written(known.join(mixed, ["band", "k"]).join(nodes.select("node", "cells"), "node"), "near-apart")  # no plan has more than a step: what the driver keeps of plans grows with the square of their size
     deal = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    one = known.where("root != top").select("band", "k", deal("chunks").alias("chunk"), every("blocks").alias("block"), F.struct("node", "n", "root").alias("one"))
-    two = known.select("band", "k", deal("blocks").alias("block"), every("chunks").alias("chunk"), (F.col("root") == F.col("top")).alias("main"), F.struct("node", "n", "root").alias("two"))
-    marked = nodes.select(F.col("node").alias("_node"), "cells").join(known.select(F.col("node").alias("_node")).distinct(), "_node")
-    one, two = (x.join(marked, F.col(f"{side}.node") == F.col("_node")).drop("_node") for x, side in ((one, "one"), (two, "two")))
+    one = known.where("root != top").select("band", "k", deal("chunks").alias("chunk"), every("blocks").alias("block"), F.struct("node", "n", "root").alias("one"), "cells")
+    two = known.select("band", "k", deal("blocks").alias("block"), every("chunks").alias("chunk"), (F.col("root") == F.col("top")).alias("main"), F.struct("node", "n", "root").alias("two"), "cells")
     lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.cells", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}.cells", F.lit(i))))) for i in range(CELLS // 64)])
     # Of sets of n and m members with this likeness, the first has at most (100 n - percent m) / (100 + percent) that the other lacks; the cells bound that number from below, so no link is lost.
     may = lambda a, b, n, m: (100 + percent) * lacks(a, b) <= 100 * F.col(n) - percent * F.col(m)
@@ -143,7 +141,8 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent:
     keys = reduce(lambda x, y: x & y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "k", "chunk", "block")])
     pairs = one.alias("x").join(two.alias("y"), keys & meet).select("one", "two")
     apart = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
-    return found.unionByName(alike(apart.distinct().join(checked, ["a", "b"], "left_anti"), rows, percent))
+    apart = written(apart.distinct().join(checked, ["a", "b"], "left_anti"), "near-pairs")
+    return found.unionByName(written(alike(apart, rows, percent), "near-links"))
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -162,7 +161,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     held = rows.select("fp", "node").distinct()
     faces = written(held.groupBy("fp").agg(F.min("node").alias("face")), "near-faces")
     same = held.join(faces, "fp").select(F.col("face").alias("a"), F.col("node").alias("b"))
-    close = simhash.links(faces.select("fp"))
+    close = written(simhash.links(faces.select("fp")), "near-close")
     close = close.join(faces.select(F.col("fp").alias("a"), F.col("face").alias("x")), "a").join(faces.select(F.col("fp").alias("b"), F.col("face").alias("y")), "b")
     close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     edges = links(nodes, sets, percent=percent).unionByName(same).unionByName(close).where("a < b").distinct()

@@ -142,11 +142,14 @@ def links(prints: DataFrame, *, bits: int = 2, dense: int = 32) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of every linked node's component, by alternating large-star and small-star contraction."""
+    """(node, root): the least node of every linked node's component, by alternating large-star and small-star contraction.
+
+    Every star is a table of its own: in one plan with the next it would be planned, and its text kept by the driver, four times.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        near = both if large else both.where(F.col("v") < F.col("u"))
+        ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        near = e.select(F.inline(ends)) if large else e.select(F.col("b").alias("u"), F.col("a").alias("v"))  # a < b
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         moved = near.where(F.col("v") > F.col("u")) if large else near
         joined = moved.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -158,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     last = sign(edges)
     while last["n"]:
-        edges = written(star(star(edges, True), False), "links")
+        edges = written(star(written(star(edges, True), "stars"), False), "links")
         now = sign(edges)
         if now == last:
             break

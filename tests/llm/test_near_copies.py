@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from evidex.llm import near_copies as nc
+from evidex.llm import simhash
 
 from .brute import shingles
 
@@ -71,3 +72,19 @@ def test_a_crowded_band_of_unlike_texts_loses_no_pair(spark):
     hashes = spark.createDataFrame(list(sets.items()), "node bigint, hashes array<bigint>")
     found = nc.links(nodes, lambda wanted: hashes.join(wanted, "node"), dense=4)
     assert {tuple(r) for r in found.distinct().collect()} == {(7, 41), (22, 83)}
+
+
+def test_no_step_plans_many_operators(spark, monkeypatch):
+    """The driver keeps each plan's text at every stage that ends, so its memory follows the largest plan."""
+    sizes = []
+
+    def noted(df, name, write=simhash.written):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sizes.append((len([x for x in plan.splitlines() if x.strip(" :+-")]), name))
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(nc, "written", noted)
+    pairs = planted(n=6)
+    nc.drop_near_copies(spark.createDataFrame([(2 * i + k, p[k], "en", "a", 1) for i, p in enumerate(pairs) for k in (0, 1)], SCHEMA)).collect()
+    assert max(sizes)[0] < 80, sorted(sizes)[-3:]
