@@ -1,7 +1,8 @@
 """Deletes that cascade over a graph of references, to a fixpoint.
 
 Semi-naive: a round looks only at rows that refer to keys which the round before took away, so each key is sought once, through as many tables, self-references and cycles as there are. What is gone is kept
-as keys of the tables that are referred to; tables that nothing refers to are looked at once, in the end.
+as keys of the tables that are referred to; tables that nothing refers to are looked at once, in the end. Rows meet gone keys in hash tables of these, broadcast or one a partition, so rows are never sorted
+and a task's memory follows the keys of its partition only.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ class Reference:
     keys: tuple[str, ...]
 
 
+#: Gone keys of a table that are sent to all executors; more are exchanged.
+BROADCAST = 100_000
+
+
 def _keys(rows: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
     return rows.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
-def cascade_closure(tables: Mapping[str, DataFrame], references: Sequence[Reference], deleted: Mapping[str, DataFrame], *, most_rounds: int = 1000) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def cascade_closure(tables: Mapping[str, DataFrame], references: Sequence[Reference], deleted: Mapping[str, DataFrame], *, most_rounds: int = 1000, most_broadcast: int = BROADCAST) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(what is left of every table, gone keys of each table that is referred to) after ``deleted`` rows (with the table's referred keys, or of a leaf all its columns) went with all that refer to them.
 
     All references to a table are to the same keys. Rounds are as many as the longest chain of references that falls; ``most_rounds`` guards against tables that change meanwhile.
@@ -40,22 +45,29 @@ def cascade_closure(tables: Mapping[str, DataFrame], references: Sequence[Refere
     numbered = {t: [f"k{i}" for i in range(len(k))] for t, k in keys.items()}
     gone: dict[str, list[DataFrame]] = {t: [] for t in keys}
     fresh = {t: written(_keys(deleted[t], keys[t], numbered[t]).distinct(), f"gone-{t}") for t in keys if t in deleted}
+    sizes = dict.fromkeys(keys, 0)
+
+    def hashed(rows: DataFrame, n: int) -> DataFrame:
+        return rows.hint("broadcast" if n <= most_broadcast else "shuffle_hash")
+
     for _ in range(most_rounds):
-        fresh = {t: rows for t, rows in fresh.items() if not rows.isEmpty()}
+        counts = {t: rows.count() for t, rows in fresh.items()}
+        fresh = {t: rows for t, rows in fresh.items() if counts[t]}
         if not fresh:
             break
         for t, rows in fresh.items():
             gone[t].append(rows)
+            sizes[t] += counts[t]
         found: dict[str, list[DataFrame]] = {}
         for r in references:
             if r.parent in fresh and r.child in keys:
                 lost = fresh[r.parent].select(*[F.col(k).alias(c) for k, c in zip(numbered[r.parent], r.columns, strict=True)])
-                found.setdefault(r.child, []).append(_keys(tables[r.child].join(lost, list(r.columns), "left_semi"), keys[r.child], numbered[r.child]))
+                found.setdefault(r.child, []).append(_keys(tables[r.child].join(hashed(lost, counts[r.parent]), list(r.columns), "left_semi"), keys[r.child], numbered[r.child]))
         fresh = {}
         for t, parts in found.items():
             rows = reduce(DataFrame.unionByName, parts).distinct()
             if gone[t]:
-                rows = rows.join(reduce(DataFrame.unionByName, gone[t]), numbered[t], "left_anti")
+                rows = rows.join(hashed(reduce(DataFrame.unionByName, gone[t]), sizes[t]), numbered[t], "left_anti")
             fresh[t] = written(rows, f"gone-{t}")
     else:
         raise ValueError(f"references fall for over {most_rounds} rounds")
@@ -63,7 +75,8 @@ def cascade_closure(tables: Mapping[str, DataFrame], references: Sequence[Refere
     left = {}
     for t, rows in tables.items():
         if t in every:
-            rows = rows.join(every[t].select(*[F.col(n).alias(k) for n, k in zip(numbered[t], keys[t], strict=True)]), list(keys[t]), "left_anti").select(*rows.columns)
+            lost = every[t].select(*[F.col(n).alias(k) for n, k in zip(numbered[t], keys[t], strict=True)])
+            rows = rows.join(hashed(lost, sizes[t]), list(keys[t]), "left_anti").select(*rows.columns)
         elif t not in keys:  # a leaf: its own deletes, and what each of its references took away
             if t in deleted:
                 same = reduce(lambda a, b: a & b, [F.col(f"own.{c}").eqNullSafe(F.col(f"del.{c}")) for c in deleted[t].columns])
@@ -71,6 +84,6 @@ def cascade_closure(tables: Mapping[str, DataFrame], references: Sequence[Refere
             for r in references:
                 if r.child == t and r.parent in every:
                     lost = every[r.parent].select(*[F.col(n).alias(c) for n, c in zip(numbered[r.parent], r.columns, strict=True)])
-                    rows = rows.join(lost, list(r.columns), "left_anti").select(*rows.columns)
+                    rows = rows.join(hashed(lost, sizes[r.parent]), list(r.columns), "left_anti").select(*rows.columns)
         left[t] = rows
     return left, {t: rows.select(*[F.col(n).alias(k) for n, k in zip(numbered[t], keys[t], strict=True)]) for t, rows in every.items()}

@@ -52,3 +52,22 @@ def test_nothing_deleted_and_no_rows(spark):
     ref = Reference("t", ("of",), "t", ("id",))
     assert cascade_closure({"t": t}, [ref], {})[0]["t"].count() == 2
     assert cascade_closure({"t": t.limit(0)}, [ref], {"t": t.limit(0)})[0]["t"].count() == 0
+
+
+@pytest.mark.parametrize("most_broadcast", [0, 100])
+def test_rows_are_not_sorted_to_meet_gone_keys(spark, most_broadcast):
+    rows = [(i, i // 2 if i else None) for i in range(40)]
+    frames = {t: spark.createDataFrame(rows, "id int, of int") for t in ("t", "leaf")}
+    references = [Reference("t", ("of",), "t", ("id",)), Reference("leaf", ("of",), "t", ("id",))]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, _ = cascade_closure(frames, references, {"t": frames["t"].where("id = 3")}, most_broadcast=most_broadcast)
+        for df in left.values():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and ("BroadcastHashJoin" if most_broadcast else "ShuffledHashJoin") in plan
+        gone = {3, 6, 7, *range(12, 16), *range(24, 32)}
+        assert sorted(r.id for r in left["t"].collect()) == [i for i in range(40) if i not in gone]
+        assert sorted(r.id for r in left["leaf"].collect()) == [i for i, of in rows if of not in gone]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
