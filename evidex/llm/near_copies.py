@@ -2,7 +2,8 @@
 
 Documents of equal shingle sets are one node. A node's 80 min-hashes make 20 bands of four, and nodes that share a band are candidates: a pair of likeness
 0.8 shares one with a chance of 1 - (1 - 0.8^4)^20, over 0.9999. Every candidate is checked on the whole sets. First each node is checked against
-``HUBS`` drawn nodes of its bucket, in a crowded one also against about ``dense`` that share the next band; then every pair of a bucket that still isn't in one component, however large the bucket is. Work grows with the members times those outside of the bucket's largest component.
+``HUBS`` drawn nodes of its bucket, in a crowded one also against about ``dense`` that share the next band; then every pair of a bucket that still isn't in one component, however large the bucket is, unless a bound shows
+that it is no link: sets as unlike as that tell themselves from a hub by members of their own, so an index of these finds the others without pairing up the bucket. Rows grow with the members; pairs only where many sets share what the hub lacks, or lack the same of it.
 Links of simhash.links join the same graph.
 
 Defined results: as in simhash; texts without a word are one node; with fewer words than a shingle the whole sequence is one.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import text_bytes, written
 
-BANDS, ROWS, HUBS, CELLS = 20, 4, 5, 1024
+BANDS, ROWS, HUBS, DRAWN, CELLS = 20, 4, 5, 16, 1024
 _RNG = np.random.default_rng(7)
 TURNS, FACTORS = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -96,6 +97,42 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def fits(m: Column, n: Column, percent: int) -> Column:
+    """Whether sets of so many members may have a likeness of so many percent."""
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def apart_pairs(meeting: DataFrame, sets: DataFrame, *, percent: int, dense: int) -> DataFrame:
+    """Pairs (a, b) of different roots among the nodes that meet at a hub (hub, node, n, root); each such pair of so many percent is one of them. Nodes linked to the hub have its root.
+
+    Let D be what tells a set from its hub: members that it has more, and those that it lacks. Two sets x and y of n and m members differ in as many members as their Ds do; for a link that is at most
+    T = (n + m) (100 - percent) / (100 + percent), so their Ds share (|Dx| + |Dy| - T) / 2 or more. If that is none, |Dx| <= T - |Dy| makes x itself a link of the hub, and so y: they have one root. Else, in
+    any order that all at the hub have in common, the first that the Ds share has as many behind it in both. The order puts members first that few Ds have, as far as ``DRAWN`` sets of a hub with more than
+    ``dense`` show; it decides how many pairs come up, not whether a link does.
+    """
+    drawn = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(DRAWN)]))
+    hubs = meeting.groupBy("hub").agg(F.count("*").alias("size"), (F.min("root") < F.max("root")).alias("mixed"), drawn.alias("drawn"))
+    hubs = written(hubs.where("mixed"), "near-mixed")
+    tops = meeting.groupBy("hub", "root").agg(F.count("*").alias("c")).groupBy("hub").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
+    shown = hubs.where(F.col("size") > dense).select("hub", F.explode("drawn").alias("node")).join(sets, "node").groupBy("hub").agg(F.array_sort(F.flatten(F.collect_list("hashes"))).alias("all"))
+    common = shown.select("hub", F.array_distinct(F.filter("all", lambda x, i: x == F.get("all", i - 1))).alias("common"))
+    named = hubs.select("hub").join(tops, "hub").join(sets.select(F.col("node").alias("hub"), F.col("hashes").alias("y")), "hub").join(common, "hub", "left")
+    named = written(named.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>"))), "near-centres")
+
+    told = meeting.join(sets.select("node", F.col("hashes").alias("x")), "node").join(named, "hub").withColumn("more", F.array_except("x", "y")).withColumn("less", F.array_except("y", "x"))
+    ordered = F.concat(F.array_except("more", "common"), F.array_intersect("less", "common"), F.array_intersect("more", "common"), F.array_except("less", "common"))
+    told = told.select("hub", "node", "n", "root", (F.col("root") == F.col("top")).alias("main"), ordered.alias("d"))
+    first = F.slice("d", 1, F.floor(F.col("n") * (100 - percent) / percent).cast("int") + 1)  # T for the largest m, and one
+    told = told.select("hub", "main", F.struct("node", "n", "root", F.size("d").alias("d")).alias("of"), F.posexplode(first).alias("i", "member"))
+    told = written(told.select(F.xxhash64("hub", "member").alias("key"), "main", "of", "i"), "near-told")
+
+    behind = F.least(F.col("x.of.d") - F.col("x.i"), F.col("y.of.d") - F.col("y.i")).cast("bigint")  # itself included
+    enough = (100 + percent) * (F.col("x.of.d") + F.col("y.of.d") - 2 * behind) <= (100 - percent) * (F.col("x.of.n").cast("bigint") + F.col("y.of.n"))
+    meet = (F.col("x.of.root") != F.col("y.of.root")) & (F.col("y.main") | (F.col("x.of.node") < F.col("y.of.node"))) & fits(F.col("x.of.n"), F.col("y.of.n"), percent)
+    pairs = told.where("not main").hint("merge").alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & meet & enough)
+    return pairs.select(F.least("x.of.node", "y.of.node").alias("a"), F.greatest("x.of.node", "y.of.node").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent: int = 80, dense: int = 32) -> DataFrame:
     """(a, b), a < b: links between nodes (node, n, bands, cells) of likeness ``percent`` or more; ``sets`` gives (node, hashes) of the nodes that have candidates."""
     indexed = nodes.where("n > 0").select("node", "n", "bands", F.posexplode("bands").alias("band", "k"))
@@ -105,10 +142,7 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent:
     shared = written(indexed.join(buckets, ["band", "k"]), "near-keys")
     rows = written(sets(shared.select("node").distinct()), "near-hashes")
 
-    def fits(m: Column, n: Column) -> Column:
-        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
-
-    near = shared.select("node", "n", F.explode("hubs").alias("hub")).where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.n"), F.col("n")))
+    near = shared.select("node", "n", F.explode("hubs").alias("hub")).where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.n"), F.col("n"), percent))
     checked = written(near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-hubs")
     found = written(alike(checked, rows, percent), "near-links")
 
@@ -118,31 +152,22 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], *, percent:
     parts = known.where(F.col("size") > dense).groupBy("band", "k", "next").agg(F.count("*").alias("part"))
     dealt = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("part") / dense))
     groups = known.join(parts, ["band", "k", "next"]).groupBy("band", "k", "next", dealt.alias("deal")).agg(F.array_sort(F.collect_list(F.struct("node", "n", "root"))).alias("m")).where(F.size(F.array_distinct(F.col("m.root"))) > 1)
-    others = F.filter("m", lambda two: (two["root"] > F.col("one.root")) & fits(F.col("one.n"), two["n"]))  # of other components only, and of a size that may be alike
+    others = F.filter("m", lambda two: (two["root"] > F.col("one.root")) & fits(F.col("one.n"), two["n"], percent))  # of other components only, and of a size that may be alike
     near = groups.select("m", F.explode("m").alias("one")).select("one", F.explode(others).alias("two")).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
     crowded = written(near.distinct().join(checked, ["a", "b"], "left_anti"), "near-crowded")
     checked, found = checked.unionByName(crowded), written(found.unionByName(alike(crowded, rows, percent)), "near-links")
 
-    # Each pair of a bucket that isn't in one component yet: members outside of the bucket's largest component meet all others. Both sides are dealt into blocks of about ``dense``, so one task never has a whole bucket.
+    # Each pair of a bucket that isn't in one component yet. Every table is a step of its own: what the driver keeps of plans grows with the square of their size.
     roots = written(simhash.components(found), "near-roots")
-    known = shared.drop("hubs", "size", "next").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = known.groupBy("band", "k", "root").agg(F.count("*").alias("c"))
-    mixed = held.groupBy("band", "k").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.ceil(F.sum("c") / dense).alias("blocks"), F.ceil((F.sum("c") - F.max("c")) / dense).alias("chunks")).where("chunks > 0")
-    known = written(known.join(mixed, ["band", "k"]).join(nodes.select("node", "cells"), "node"), "near-apart")  # no plan has more than a step: what the driver keeps of plans grows with the square of their size
-    deal = lambda n: F.pmod(F.xxhash64("node", "band"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    one = known.where("root != top").select("band", "k", deal("chunks").alias("chunk"), every("blocks").alias("block"), F.struct("node", "n", "root").alias("one"), "cells")
-    two = known.select("band", "k", deal("blocks").alias("block"), every("chunks").alias("chunk"), (F.col("root") == F.col("top")).alias("main"), F.struct("node", "n", "root").alias("two"), "cells")
+    meeting = shared.select(F.col("hubs")[0]["node"].alias("hub"), "node", "n").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = written(apart_pairs(written(meeting, "near-meeting"), rows, percent=percent, dense=dense).join(checked, ["a", "b"], "left_anti"), "near-apart")
+    marks = F.struct("n", "cells")
+    both = apart.join(nodes.select(F.col("node").alias("a"), marks.alias("x")), "a").join(nodes.select(F.col("node").alias("b"), marks.alias("y")), "b")
     lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.get(f"{a}.cells", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{b}.cells", F.lit(i))))) for i in range(CELLS // 64)])
     # Of sets of n and m members with this likeness, the first has at most (100 n - percent m) / (100 + percent) that the other lacks; the cells bound that number from below, so no link is lost.
-    may = lambda a, b, n, m: (100 + percent) * lacks(a, b) <= 100 * F.col(n) - percent * F.col(m)
-    meet = (F.col("one.root") != F.col("two.root")) & (F.col("main") | (F.col("one.node") < F.col("two.node"))) & fits(F.col("one.n"), F.col("two.n"))
-    meet = meet & may("x", "y", "one.n", "two.n") & may("y", "x", "two.n", "one.n")
-    keys = reduce(lambda x, y: x & y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "k", "chunk", "block")])
-    pairs = one.alias("x").join(two.alias("y"), keys & meet).select("one", "two")
-    apart = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
-    apart = written(apart.distinct().join(checked, ["a", "b"], "left_anti"), "near-pairs")
-    return found.unionByName(written(alike(apart, rows, percent), "near-links"))
+    may = lambda a, b: (100 + percent) * lacks(a, b) <= 100 * F.col(f"{a}.n") - percent * F.col(f"{b}.n")
+    left = written(both.where(may("x", "y") & may("y", "x")).select("a", "b"), "near-pairs")
+    return found.unionByName(written(alike(left, rows, percent), "near-links"))
 
 
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -88,3 +88,67 @@ def test_no_step_plans_many_operators(spark, monkeypatch):
     pairs = planted(n=6)
     nc.drop_near_copies(spark.createDataFrame([(2 * i + k, p[k], "en", "a", 1) for i, p in enumerate(pairs) for k in (0, 1)], SCHEMA)).collect()
     assert max(sizes)[0] < 80, sorted(sizes)[-3:]
+
+
+def one_band(spark, sets):
+    """links' arguments for sets of hashes that share one band and no other."""
+    rows = [(i, len(x), [5, *(1000 * b + i for b in range(1, nc.BANDS))], nc.cells(np.array(sorted(x), np.uint64)).tolist()) for i, x in sets.items()]
+    nodes = spark.createDataFrame(rows, "node bigint, n int, bands array<bigint>, cells array<bigint>")
+    hashes = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node bigint, hashes array<bigint>")
+    return nodes, lambda wanted: hashes.join(wanted, "node")
+
+
+def edited(rng, base, most):
+    """base with up to so many runs of five members replaced, some cut off, some added."""
+    out = list(base)
+    for _ in range(rng.randrange(most + 1)):
+        at = rng.randrange(len(base) - 5)
+        out[at : at + 5] = [rng.getrandbits(62) for _ in range(5)]
+    return set(out[: len(out) - rng.choice([0, 0, 3, 20])]) | {rng.getrandbits(62) for _ in range(rng.choice([0, 0, 8]))}
+
+
+@pytest.mark.parametrize(("seed", "percent", "dense"), [(1, 80, 4), (2, 80, 1000), (3, 65, 4), (4, 90, 4)])
+def test_a_crowded_band_has_the_components_of_all_its_pairs(spark, seed, percent, dense):
+    """Sets around three centres, the second half like the first, the third unlike; their likeness lies about the bound."""
+    rng = random.Random(seed)
+    first, third = ([rng.getrandbits(62) for _ in range(100)] for _ in range(2))
+    centres = [first, first[:60] + [rng.getrandbits(62) for _ in range(40)], third]
+    sets = {i: edited(rng, centres[i % 3], 7) for i in range(150)}
+    found = {tuple(sorted(r)) for r in nc.links(*one_band(spark, sets), percent=percent, dense=dense).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+    def roots(pairs):
+        at = {i: i for i in sets}
+        while moved := [(a, b) for a, b in pairs if at[a] != at[b]]:
+            for a, b in moved:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert found <= links and roots(found) == roots(links)
+    assert 10 < len(set(roots(links).values())) < 140
+
+
+def test_the_rows_of_a_crowded_band_grow_with_its_members(spark):
+    """Copies of one text with five edits of their own each: none is a link, and all of them share a band."""
+
+    def made(m):
+        rng = random.Random(6)
+        base = [rng.getrandbits(62) for _ in range(150)]
+        store, sets = spark._jsparkSession.sharedState().statusStore(), {}
+        for i in range(m):
+            sets[i] = list(base)
+            for at in rng.sample(range(0, 150, 5), 5):
+                sets[i][at : at + 5] = [rng.getrandbits(62) for _ in range(5)]
+        before = store.executionsCount()
+        assert nc.links(*one_band(spark, sets), dense=4).count() == 0
+        most = 0
+        for x in range(before, store.executionsCount()):
+            x = store.executionsList().apply(x).executionId()
+            values, nodes = store.executionMetrics(x), store.planGraph(x).allNodes()
+            for node in (nodes.apply(j) for j in range(nodes.size())):
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+        return most
+
+    assert made(480) <= 2.5 * made(240)
